@@ -106,14 +106,18 @@ def panel(
     )
     so_far = W.partitionBy("customer_id").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
     until = F.lead("slot", 1, len(dates)).over(W.partitionBy("customer_id").orderBy("slot"))
-    state = per_slot.select(
+    reached = per_slot.select(
         "customer_id",
-        F.explode(F.sequence(F.col("slot"), until - 1)).alias("slot"),
+        "slot",
+        until.alias("until"),
         *[F.sum(c).over(so_far).alias(c) for c in added],
         F.max("gap_max").over(so_far).alias("gap_max"),
         F.min("first").over(so_far).alias("first"),
         F.max("last").over(so_far).alias("last"),
     ).where("orders > 0")
+    # The state holds until the customer's next change.
+    held = F.explode(F.sequence(F.col("slot"), F.col("until") - 1)).alias("slot")
+    state = reached.select(held, *[c for c in reached.columns if c not in ("slot", "until")])
     snap = F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("slot") + 1)
     pairs = F.col("orders") - 1
     return state.select(

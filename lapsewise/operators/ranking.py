@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lapsewise.functions import ntile_of
-from lapsewise.session import freeze, shared_dir
+from lapsewise.session import freeze
 
 SINGLE_TASK_ROWS = 200_000
 ROWS_PER_RANGE = 2_000_000
@@ -63,19 +63,17 @@ def _ranged(
     df: DataFrame, order: Sequence[Column], by: Sequence[str], sums: Sequence[str], rows: int
 ) -> DataFrame:
     spark = df.sparkSession
-    shared_dir(spark)
     ranges = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_RANGE)
     )
     keys = [*[F.col(c).asc() for c in by], *order]
     # Frozen, since the range number of a row must never change once offsets are derived from it.
-    placed = (
+    placed, _ = freeze(
         df.repartitionByRange(ranges, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_range", F.shiftright("_at", 33))
     )
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
     # At most one row per range.
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy("_range").agg(

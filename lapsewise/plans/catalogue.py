@@ -54,7 +54,7 @@ RFM_TYPES = {
     "mean_order": "double", "tenure": "bigint",
 }
 GAP_TYPES = {
-    "mean_gap": "double", "sd_gap": "double:6", "max_gap": "bigint", "recency_to_gap": "double:9",
+    "mean_gap": "double", "sd_gap": "double:6", "max_gap": "double", "recency_to_gap": "double:9",
 }
 TRAILING_TYPES = {
     f"{kind}_{n}": t
@@ -63,7 +63,7 @@ TRAILING_TYPES = {
 }
 TREND_TYPES = {"spend_trend": "double", "spend_slope": "double:4"}
 BASKET_TYPES = {
-    "lines": "bigint", "quantity": "double", "distinct_parts": "bigint", "mean_discount": "double",
+    "lines": "double", "quantity": "double", "distinct_parts": "double", "mean_discount": "double",
 }
 MIX_TYPES = {
     **{f"share_{t.lower()}": "double" for t in features.PART_TYPES},
@@ -170,7 +170,7 @@ def d5_missing_quarantine(spark, folder):
 def d5_missing_placeholder(spark, folder):
     done = quality.handle_missing(S.purchases(spark, folder), _solvent(spark, folder), "placeholder")
     return typed(
-        done, customer_id="bigint", nation_id="bigint", market_segment="string", balance="double",
+        done, customer_id="bigint", nation_id="double", market_segment="string", balance="double",
         placeholder="int",
     )
 
@@ -187,7 +187,7 @@ def _facts(spark, folder):
 
 FACT_TYPES = {
     "order_id": "bigint", "customer_id": "bigint", "order_day": "string", "amount": "double",
-    "lines": "bigint", "quantity": "double", "market_segment": "string", "nation": "string",
+    "lines": "double", "quantity": "double", "market_segment": "string", "nation": "string",
     "region": "string",
 }
 
@@ -357,7 +357,7 @@ def f14_standardize(spark, folder):
 def f15_panel(spark, folder):
     done = panel(S.purchases(spark, folder), SNAPSHOTS, HORIZON).withColumn("snapshot", iso("snapshot"))
     return typed(
-        done, snapshot="string", **RFM_TYPES, mean_gap="double", max_gap="bigint",
+        done, snapshot="string", **RFM_TYPES, mean_gap="double", max_gap="double",
         orders_180="bigint", spend_180="double", orders_365="bigint", spend_365="double",
         churned="bigint",
     )
@@ -504,7 +504,7 @@ def g7_cross_tab(spark, folder):
 
 
 CANDIDATE_TYPES = {
-    "campaign_id": "string", "customer_id": "bigint", "priority": "bigint", "cost": "double",
+    "campaign_id": "string", "customer_id": "bigint", "priority": "int", "cost": "double",
     "value_at_risk": "double",
 }
 
@@ -621,7 +621,7 @@ def m9_reliability(spark, folder):
 def m9_calibrate(spark, folder):
     rows, _ = freeze(_rule_scores(spark, folder))
     done = evaluation.calibrate(rows, evaluation.fit_calibration(rows))
-    return done.select("customer_id", "probability", "calibrated")
+    return typed(done, customer_id="bigint", probability="double", calibrated="double:9")
 
 
 @query
@@ -653,8 +653,9 @@ SCORE_COLUMNS = ("customer_id", "churned", "probability", "margin", "predicted")
 @query
 def m1_assemble(spark, folder):
     rfm = features.rfm(S.purchases(spark, folder), DAY)
-    vectors = models.assemble(rfm, ("recency", "frequency", "monetary"))
-    return vectors.select("customer_id", models.vector_to_array("features").alias("features"))
+    cols = ("recency", "frequency", "monetary")
+    slots = models.vector_to_array("features")
+    return models.assemble(rfm, cols).select("customer_id", *[slots[i].alias(c) for i, c in enumerate(cols)])
 
 
 @query

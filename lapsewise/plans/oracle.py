@@ -89,7 +89,7 @@ GAPS = f"""steps AS (
                    order_ts) AS gap
   FROM cut),
 gaps AS (
-  SELECT customer_id, avg(gap) AS mean_gap, stddev_samp(gap) AS sd_gap, max(gap) AS max_gap,
+  SELECT customer_id, avg(gap) AS mean_gap, stddev_samp(gap) AS sd_gap, CAST(max(gap) AS DOUBLE) AS max_gap,
          date_diff('day', max(order_ts), {T}) / nullif(avg(gap), 0) AS recency_to_gap
   FROM steps GROUP BY customer_id)"""
 TRAILING = (
@@ -114,8 +114,8 @@ BOUGHT = """bought AS (
          CAST(l_discount AS DECIMAL(6,4)) AS discount, l_returnflag
   FROM lineitem JOIN cut ON l_orderkey = order_id LEFT JOIN part ON l_partkey = p_partkey)"""
 BASKET = """basket AS (
-  SELECT customer_id, count(*) AS lines, CAST(sum(quantity) AS DOUBLE) AS quantity,
-         count(DISTINCT l_partkey) AS distinct_parts,
+  SELECT customer_id, CAST(count(*) AS DOUBLE) AS lines, CAST(sum(quantity) AS DOUBLE) AS quantity,
+         CAST(count(DISTINCT l_partkey) AS DOUBLE) AS distinct_parts,
          CAST(sum(discount) AS DOUBLE) / count(*) AS mean_discount
   FROM bought GROUP BY customer_id)"""
 MIX = f"""typed AS (SELECT customer_id, p_type, CAST(sum(quantity) AS DOUBLE) AS q FROM bought GROUP BY 1, 2),
@@ -136,7 +136,7 @@ panel AS (
   SELECT snapshot, customer_id, date_diff('day', max(order_ts), snapshot) AS recency,
     count(*) AS frequency, sum(amount) AS monetary,
     CAST(sum(amount) AS DOUBLE) / count(*) AS mean_order,
-    date_diff('day', min(order_ts), snapshot) AS tenure, avg(gap) AS mean_gap, max(gap) AS max_gap,
+    date_diff('day', min(order_ts), snapshot) AS tenure, avg(gap) AS mean_gap, CAST(max(gap) AS DOUBLE) AS max_gap,
     count(*) FILTER (WHERE order_ts >= snapshot - INTERVAL 180 DAY) AS orders_180,
     CAST(coalesce(sum(amount) FILTER (WHERE order_ts >= snapshot - INTERVAL 180 DAY), 0) AS DOUBLE) AS spend_180,
     count(*) FILTER (WHERE order_ts >= snapshot - INTERVAL 365 DAY) AS orders_365,
@@ -249,6 +249,21 @@ CONTRIBUTIONS = [
 ]
 
 
+# Isotonic fit by its max-min form: the greatest over starts of the least mean over ends.
+CALIBRATED = [
+    *RULE_SCORES,
+    """cells AS (SELECT round(probability, 4) AS x, sum(churned) AS y, count(*) AS w FROM rule_scores GROUP BY 1),
+blocks AS (
+  SELECT i.x, a.x AS start, min(CAST(m.y AS DOUBLE) / m.w) AS least
+  FROM cells i JOIN cells a ON a.x <= i.x
+  JOIN (SELECT s.x AS sx, e.x AS ex, sum(c.y) AS y, sum(c.w) AS w
+        FROM cells s JOIN cells e ON e.x >= s.x JOIN cells c ON c.x BETWEEN s.x AND e.x
+        GROUP BY 1, 2) m ON m.sx = a.x AND m.ex >= i.x
+  GROUP BY 1, 2),
+fitted AS (SELECT x, max(least) AS calibrated FROM blocks GROUP BY 1)""",
+]
+
+
 def auc_sql(group: str = "") -> str:
     lead = f"{group}, " if group else ""
     over = f"PARTITION BY {group} " if group else ""
@@ -293,7 +308,7 @@ ORACLE: dict[str, str] = {
     "d5_missing_drop": with_(PURCHASES) + purchase_rows("purchases", f"WHERE customer_id IN {SOLVENT}"),
     "d5_missing_quarantine": with_(PURCHASES)
     + purchase_rows("purchases", f"WHERE customer_id NOT IN {SOLVENT}"),
-    "d5_missing_placeholder": f"""SELECT c_custkey AS customer_id, CAST(c_nationkey AS BIGINT) AS nation_id,
+    "d5_missing_placeholder": f"""SELECT c_custkey AS customer_id, CAST(c_nationkey AS DOUBLE) AS nation_id,
   c_mktsegment AS market_segment, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance,
   0 AS placeholder FROM customer WHERE c_acctbal >= 0
   UNION ALL SELECT DISTINCT o_custkey, NULL, NULL, NULL, 1 FROM orders WHERE o_custkey NOT IN {SOLVENT}""",
@@ -302,7 +317,7 @@ ORACLE: dict[str, str] = {
     "d7_save": with_(PURCHASES) + """SELECT customer_id, order_id, strftime(order_ts, '%Y-%m-%d') AS order_day,
   CAST(amount AS DOUBLE) AS amount, year(order_ts) AS order_year FROM purchases""",
     "d8_facts": with_(PURCHASES, PEOPLE, FACTS) + """SELECT order_id, customer_id,
-  strftime(order_ts, '%Y-%m-%d') AS order_day, CAST(amount AS DOUBLE) AS amount, lines, quantity,
+  strftime(order_ts, '%Y-%m-%d') AS order_day, CAST(amount AS DOUBLE) AS amount, CAST(lines AS DOUBLE) AS lines, quantity,
   market_segment, nation, region FROM facts""",
     "a1_by_period": with_(PURCHASES, """per AS (
   SELECT date_trunc('month', order_ts) AS m, count(*) AS orders, count(DISTINCT customer_id) AS customers,
@@ -475,6 +490,12 @@ FROM per""",
   CAST(least(floor(probability * 10), 9) AS BIGINT) AS bin, count(*) AS customers,
   round(avg(probability), 6) AS mean_score, round(avg(CAST(churned AS DOUBLE)), 9) AS observed
 FROM rule_scores GROUP BY 1""",
+    "m1_assemble": with_(*BASE) + """SELECT customer_id, CAST(recency AS DOUBLE) AS recency,
+  CAST(frequency AS DOUBLE) AS frequency, CAST(monetary AS DOUBLE) AS monetary FROM rfm""",
+    "m9_calibrate": with_(*CALIBRATED) + """SELECT customer_id, probability, round(calibrated, 9) AS calibrated
+FROM rule_scores JOIN fitted ON x = round(probability, 4)""",
+    "r1_risk_score": with_(*CALIBRATED) + """SELECT customer_id, round(100 * calibrated, 2) AS risk
+FROM rule_scores JOIN fitted ON x = round(probability, 4)""",
     "m11_linear_contributions": with_(*CONTRIBUTIONS)
     + "SELECT customer_id, feature, round(contribution, 6) AS contribution FROM contrib",
     "m13_reasons": with_(*CONTRIBUTIONS) + """SELECT customer_id,
