@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(20,2)"
 
 
 def as_date(day: str | dt.date) -> dt.date:
@@ -22,8 +23,11 @@ def at(day: str | dt.date, plus_days: int = 0) -> Column:
     return F.lit(dt.datetime.combine(moment, dt.time())).cast(TimestampNTZType())
 
 
-def money(col: Column | str) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast(MONEY)
+def money(cents: Column | str) -> Column:
+    """A sum of cents as a decimal amount. Sums run on integer cents, which stay exact and
+    are several times cheaper to add than wide decimals."""
+    cents = F.col(cents) if isinstance(cents, str) else cents
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

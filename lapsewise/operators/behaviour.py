@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import ratio
+from lapsewise.functions import money, ratio
 from lapsewise.operators.ranking import ntiles
 
 
@@ -19,11 +19,11 @@ def by_period(purchases: DataFrame, unit: str = "month") -> DataFrame:
     """
     per_customer = purchases.groupBy(
         F.date_trunc(unit, "order_ts").cast("date").alias("period"), "customer_id"
-    ).agg(F.count(F.lit(1)).alias("orders"), F.sum("amount").alias("revenue"))
+    ).agg(F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("_cents"))
     per_period = per_customer.groupBy("period").agg(
         F.sum("orders").alias("orders"),
         F.count("customer_id").alias("customers"),
-        F.sum("revenue").alias("revenue"),
+        money(F.sum("_cents")).alias("revenue"),
     )
     # One row per calendar period.
     previous = F.lag("revenue").over(W.orderBy("period"))
@@ -77,11 +77,16 @@ def rollup_report(scored: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def concentration(
-    df: DataFrame, value: str = "monetary", tiles: int = 10, single_task_rows: int | None = None
+    df: DataFrame,
+    value: str = "monetary",
+    tiles: int = 10,
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
     """Share of ``value`` held by each decile of customers, decile 1 the highest."""
     order = [F.col(value).desc(), F.col("customer_id")]
-    tiled = ntiles(df.select("customer_id", value), {"decile": order}, tiles, (), single_task_rows)
+    narrow = df.select("customer_id", value)
+    tiled = ntiles(narrow, {"decile": order}, tiles, (), at_most, single_task_rows)
     held = tiled.groupBy("decile").agg(F.count(F.lit(1)).alias("customers"), F.sum(value).alias("held"))
     # One row per decile.
     running = W.orderBy("decile").rowsBetween(W.unboundedPreceding, W.currentRow)

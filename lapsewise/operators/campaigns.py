@@ -82,6 +82,7 @@ def budget(
     candidates: DataFrame,
     caps: Mapping[str, Decimal],
     value: str = "value_at_risk",
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Highest value first, as long as the summed ``cost`` of a campaign is within its cap.
@@ -90,7 +91,7 @@ def budget(
     global over ranges, not one task per campaign.
     """
     order = [F.col(value).desc(), F.col("customer_id")]
-    ranked = global_rank(candidates, order, ["campaign_id"], ["cost"], single_task_rows=single_task_rows)
+    ranked = global_rank(candidates, order, ["campaign_id"], ["cost"], at_most, single_task_rows)
     cap = F.lit(None).cast("decimal(18,2)")
     for campaign, amount in caps.items():
         cap = F.when(F.col("campaign_id") == campaign, F.lit(amount).cast("decimal(18,2)")).otherwise(cap)

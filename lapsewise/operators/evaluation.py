@@ -20,6 +20,7 @@ def auc(
     score: str = "probability",
     label: str = "churned",
     by: Sequence[str] = (),
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Tie-correct area under the ROC curve, per ``by``.
@@ -30,7 +31,7 @@ def auc(
     counts = scored.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
-    ranked = global_rank(counts, [F.col("_score")], by, ["_neg"], single_task_rows=single_task_rows)
+    ranked = global_rank(counts, [F.col("_score")], by, ["_neg"], at_most, single_task_rows)
     # Half units keep the sums exact.
     twice = (2 * F.col("run__neg") - F.col("_neg")).cast("decimal(20,0)") * F.col("_pos")
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
@@ -92,11 +93,13 @@ def lift(
     tiles: int = 10,
     score: str = "probability",
     label: str = "churned",
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Churn rate, lift and cumulative gain per score decile, decile 1 the highest scores."""
     order = [F.col(score).desc(), F.col("customer_id")]
-    tiled = ntiles(scored.select("customer_id", score, label), {"decile": order}, tiles, (), single_task_rows)
+    narrow = scored.select("customer_id", score, label)
+    tiled = ntiles(narrow, {"decile": order}, tiles, (), at_most, single_task_rows)
     per = tiled.groupBy("decile").agg(
         F.count(F.lit(1)).alias("customers"), F.sum(label).cast("bigint").alias("churners")
     )

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.functions import at
+from lapsewise.functions import at, money
 
 
 def facts(purchases: DataFrame, lines: DataFrame, customers: DataFrame, places: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def facts(purchases: DataFrame, lines: DataFrame, customers: DataFrame, places:
     Lines are totalled per order before they meet the orders; orders without lines stay.
     """
     per_order = lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity")
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity_hundredths").alias("_quantity")
     )
     who = customers.join(places, "nation_id", "left").select(
         "customer_id", "market_segment", "nation", "region"
@@ -25,7 +25,7 @@ def facts(purchases: DataFrame, lines: DataFrame, customers: DataFrame, places:
         purchases.join(per_order, "order_id", "left")
         .join(who, "customer_id")
         .select(
-            "order_id", "customer_id", "order_ts", "amount", "lines", "quantity",
+            "order_id", "customer_id", "order_ts", "cents", "lines", money("_quantity").alias("quantity"),
             "market_segment", "nation", "region",
         )
     )
@@ -37,7 +37,7 @@ def as_of(df: DataFrame, day: str | dt.date) -> DataFrame:
 
 
 def by_day(purchases: DataFrame) -> DataFrame:
-    """``customer_id, day, orders, spend``: bounded per customer by the calendar."""
+    """``customer_id, day, orders, spend`` (in cents): bounded per customer by the calendar."""
     return purchases.groupBy("customer_id", F.to_date("order_ts").alias("day")).agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("amount").alias("spend")
+        F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("spend")
     )

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import as_date, at, entropy, ratio
+from lapsewise.functions import as_date, at, entropy, money, ratio
 from lapsewise.operators.facts import as_of, by_day
-from lapsewise.operators.ranking import percent_ranks, quantiles
+from lapsewise.operators.ranking import percent_ranks, quantiles, settle
 
 WINDOWS = (30, 90, 180, 365)
 # The part types, in the order in which ties for the favourite are resolved.
@@ -28,7 +28,7 @@ def _single(purchases: DataFrame) -> DataFrame:
         "customer_id",
         F.to_date("order_ts").alias("day"),
         F.lit(1).cast("bigint").alias("orders"),
-        F.col("amount").alias("spend"),
+        F.col("cents").alias("spend"),
     )
 
 
@@ -41,8 +41,8 @@ def _rfm(day: dt.date) -> list[Column]:
     return [
         F.min(_age(day)).alias("recency"),
         F.sum("orders").alias("frequency"),
-        F.sum("spend").alias("monetary"),
-        ratio(F.sum("spend"), F.sum("orders")).alias("mean_order"),
+        money(F.sum("spend")).alias("monetary"),
+        ratio(F.sum("spend") / 100.0, F.sum("orders")).alias("mean_order"),
         F.max(_age(day)).alias("tenure"),
     ]
 
@@ -53,9 +53,7 @@ def _trailing(day: dt.date, windows: Sequence[int]) -> list[Column]:
         inside = _age(day) <= n
         out.append(F.coalesce(F.sum(F.when(inside, F.col("orders"))), F.lit(0)).alias(f"orders_{n}"))
         out.append(
-            F.coalesce(F.sum(F.when(inside, F.col("spend"))), F.lit(0))
-            .cast("decimal(28,2)")
-            .alias(f"spend_{n}")
+            money(F.coalesce(F.sum(F.when(inside, F.col("spend"))), F.lit(0))).alias(f"spend_{n}")
         )
     return out
 
@@ -64,15 +62,16 @@ def _trend(day: dt.date, span: int) -> list[Column]:
     age = _age(day)
     last = F.sum(F.when(age <= span, F.col("spend")).otherwise(F.lit(0)))
     prior = F.sum(F.when((age > span) & (age <= 2 * span), F.col("spend")).otherwise(F.lit(0)))
-    # Least squares of spend per order on time, from sums that are exact and combine map-side.
+    # Least squares of spend per order on time, from sums that combine map-side. Only the
+    # product sum is a double: it could exceed 64 bits for a very large customer.
     x = -age.cast("bigint")
     n = F.sum("orders").cast("double")
     sx = F.sum(x * F.col("orders")).cast("double")
     sxx = F.sum(x * x * F.col("orders")).cast("double")
-    sy = F.sum("spend").cast("double")
-    sxy = F.sum(x.cast("decimal(9,0)") * F.col("spend")).cast("double")
+    sy = F.sum("spend") / 100.0
+    sxy = F.sum((x * F.col("spend")).cast("double")) / 100.0
     return [
-        ratio(last, prior).alias("spend_trend"),
+        ratio(last / 100.0, prior / 100.0).alias("spend_trend"),
         F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx).alias("spend_slope"),
     ]
 
@@ -145,7 +144,7 @@ def snapshot(
         before.alias("before"),
         F.when(before, F.to_date("order_ts")).alias("day"),
         F.when(before, F.lit(1).cast("bigint")).alias("orders"),
-        F.when(before, F.col("amount")).alias("spend"),
+        F.when(before, F.col("cents")).alias("spend"),
     )
     return (
         rows.groupBy("customer_id")
@@ -166,17 +165,17 @@ def _customer_lines(purchases: DataFrame, lines: DataFrame, day: str | dt.date)
 def _basket() -> list[Column]:
     return [
         F.sum("lines").alias("lines"),
-        F.sum("quantity").alias("quantity"),
+        money(F.sum("quantity")).alias("quantity"),
         F.count(F.lit(1)).alias("distinct_parts"),
-        ratio(F.sum("discount"), F.sum("lines")).alias("mean_discount"),
+        ratio(F.sum("discount") / 10000.0, F.sum("lines")).alias("mean_discount"),
     ]
 
 
 def _per_part(lines: DataFrame) -> DataFrame:
     return lines.groupBy("customer_id", "part_id").agg(
         F.count(F.lit(1)).alias("lines"),
-        F.sum("quantity").alias("quantity"),
-        F.sum("discount").alias("discount"),
+        F.sum("quantity_hundredths").alias("quantity"),
+        F.sum("discount_bp").alias("discount"),
     )
 
 
@@ -187,9 +186,7 @@ def basket(purchases: DataFrame, lines: DataFrame, day: str | dt.date) -> DataFr
 
 def _mix(types: Sequence[str]) -> list[Column]:
     return [
-        F.coalesce(F.sum(F.when(F.col("part_type") == t, F.col("quantity"))), F.lit(0))
-        .cast("decimal(28,2)")
-        .alias(f"_q_{t}")
+        F.coalesce(F.sum(F.when(F.col("part_type") == t, F.col("quantity"))), F.lit(0)).alias(f"_q_{t}")
         for t in types
     ]
 
@@ -250,9 +247,14 @@ def returns(purchases: DataFrame, lines: DataFrame, day: str | dt.date) -> DataF
 
 
 def peer(
-    df: DataFrame, cols: Sequence[str], by: str, single_task_rows: int | None = None
+    df: DataFrame,
+    cols: Sequence[str],
+    by: str,
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
     """z-score ``<col>_z`` and percent rank ``<col>_pr`` of each column within ``by``."""
+    df, rows = settle(df, at_most, single_task_rows)
     stats = df.groupBy(F.col(by).alias("_by")).agg(
         *[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in cols],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}") for c in cols],
@@ -265,7 +267,7 @@ def peer(
         ],
     )
     for c in cols:
-        out = percent_ranks(out, c, f"{c}_pr", [by], single_task_rows)
+        out = percent_ranks(out, c, f"{c}_pr", [by], rows, single_task_rows)
     return out
 
 
@@ -275,16 +277,19 @@ def running_spend(purchases: DataFrame, days: int = 90) -> DataFrame:
     The frame runs over the customer's days, not orders, and is joined back to the orders.
     """
     span = W.partitionBy("customer_id").orderBy(F.unix_date("day")).rangeBetween(-days, 0)
-    spent = by_day(purchases).select("customer_id", "day", F.sum("spend").over(span).alias("spend_window"))
+    spent = by_day(purchases).select("customer_id", "day", money(F.sum("spend").over(span)).alias("spend_window"))
     return (
         purchases.withColumn("day", F.to_date("order_ts"))
         .join(spent, ["customer_id", "day"])
-        .select("order_id", "customer_id", "order_ts", "amount", "spend_window")
+        .select("order_id", "customer_id", "order_ts", "cents", "spend_window")
     )
 
 
 def impute_values(
-    train: DataFrame, plan: Mapping[str, str | float], single_task_rows: int | None = None
+    train: DataFrame,
+    plan: Mapping[str, str | float],
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
     """One row of fill values, learnt on the training rows: 'mean', 'median' or a constant."""
     medians = [c for c, how in plan.items() if how == "median"]
@@ -298,7 +303,7 @@ def impute_values(
     )
     if not medians:
         return fixed.drop("_one")
-    middle = quantiles(train, medians, [0.5], single_task_rows=single_task_rows)
+    middle = quantiles(train, medians, [0.5], (), at_most, single_task_rows)
     wide = middle.agg(
         F.lit(1).alias("_one"),
         *[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in medians],
@@ -324,10 +329,11 @@ def winsor_limits(
     cols: Sequence[str],
     lo: float = 0.01,
     hi: float = 0.99,
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """One row with ``<col>_lo`` and ``<col>_hi``, exact percentiles of the training rows."""
-    found = quantiles(train, cols, [lo, hi], single_task_rows=single_task_rows)
+    found = quantiles(train, cols, [lo, hi], (), at_most, single_task_rows)
 
     def pick(c: str, p: float, name: str) -> Column:
         here = (F.col("feature") == c) & (F.col("prob") == F.lit(float(p)))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.functions import percent_bucket
 from lapsewise.operators.evaluation import auc
-from lapsewise.operators.ranking import global_rank
+from lapsewise.operators.ranking import global_rank, settle
 from lapsewise.session import freeze
 
 LABEL = "churned"
@@ -129,14 +129,15 @@ def importance(
     Every customer is paired once with a donor through two hashed rankings; one scoring pass
     covers all features and the intact rows.
     """
-    base = as_doubles(df.select("customer_id", LABEL, *cols), cols)
+    base, rows = settle(
+        as_doubles(df.select("customer_id", LABEL, *cols), cols), None, single_task_rows
+    )
 
     def shuffled(name: str) -> DataFrame:
         key = F.md5(F.concat(F.lit(f"{salt}:{name}:"), F.col("customer_id").cast("string")))
         keyed = base.withColumn("_key", key)
-        return global_rank(
-            keyed, [F.col("_key"), F.col("customer_id")], single_task_rows=single_task_rows
-        ).drop("_key", "rn_rows")
+        order = [F.col("_key"), F.col("customer_id")]
+        return global_rank(keyed, order, (), (), rows, single_task_rows).drop("_key", "rn_rows")
 
     donors = shuffled("donor").select("rn", *[F.col(c).alias(f"_d_{c}") for c in cols])
     paired = shuffled("receiver").join(donors, "rn")

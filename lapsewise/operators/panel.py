@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import as_date, ratio
+from lapsewise.functions import as_date, money, ratio
 from lapsewise.operators.facts import as_of, by_day
 from lapsewise.operators.features import _with_gap
 
@@ -48,7 +48,7 @@ def panel(
     def change(slot: Column, **values: Column) -> Column:
         fields = {
             "orders": F.lit(0).cast("bigint"),
-            "spend": F.lit(0).cast("decimal(28,2)"),
+            "spend": F.lit(0).cast("bigint"),
             "gap": F.lit(0).cast("bigint"),
             "gap_sq": F.lit(0).cast("bigint"),
             "gap_max": F.lit(None).cast("int"),
@@ -56,14 +56,27 @@ def panel(
             "last": F.lit(None).cast("date"),
             "ahead": F.lit(0).cast("bigint"),
             **{f"orders_{n}": F.lit(0).cast("bigint") for n in windows},
-            **{f"spend_{n}": F.lit(0).cast("decimal(28,2)") for n in windows},
+            **{f"spend_{n}": F.lit(0).cast("bigint") for n in windows},
         }
         fields.update(values)
         return F.struct(slot.alias("slot"), *[v.alias(k) for k, v in fields.items()])
 
-    enters = _first_after(day, dates)
+    # An order is in the label window of snapshot s while s <= day < s + horizon, and in the
+    # trailing n days while day < s <= day + n. A window that is entered and left between two
+    # snapshots is never seen and makes no change.
+    enters = F.col("enters")
+    days = days.select(
+        "*",
+        _first_after(day, dates).alias("enters"),
+        _first_after(F.date_sub(day, horizon), dates).alias("awaits"),
+        *[_first_after(F.date_add(day, n), dates).alias(f"leaves_{n}") for n in windows],
+    ).select(
+        "*",
+        (~F.col("awaits").eqNullSafe(enters)).alias("awaited"),
+        *[(~F.col(f"leaves_{n}").eqNullSafe(enters)).alias(f"held_{n}") for n in windows],
+    )
     gap = F.coalesce(F.col("gap"), F.lit(0)).cast("bigint")
-    spend = F.col("spend").cast("decimal(28,2)")
+    spend = F.col("spend")
     changes = [
         change(
             enters,
@@ -74,25 +87,21 @@ def panel(
             gap_max=F.when(F.col("orders") > 1, F.greatest(gap, F.lit(0))).otherwise(F.col("gap")).cast("int"),
             first=day,
             last=day,
-            **{f"orders_{n}": F.col("orders") for n in windows},
-            **{f"spend_{n}": spend for n in windows},
+            ahead=F.when(F.col("awaited"), F.lit(-1)).otherwise(F.lit(0)).cast("bigint"),
+            **{f"orders_{n}": F.when(F.col(f"held_{n}"), F.col("orders")).otherwise(0) for n in windows},
+            **{f"spend_{n}": F.when(F.col(f"held_{n}"), spend).otherwise(0) for n in windows},
         ),
-        # In the label window of a snapshot s while s <= day < s + horizon.
-        change(_first_after(F.date_sub(day, horizon), dates), ahead=F.lit(1).cast("bigint")),
-        change(enters, ahead=F.lit(-1).cast("bigint")),
+        change(F.when(F.col("awaited"), F.col("awaits")), ahead=F.lit(1).cast("bigint")),
     ]
     for n in windows:
-        # Still inside on a snapshot exactly n days later, out on the next.
         changes.append(
             change(
-                _first_after(F.date_add(day, n), dates),
-                **{f"orders_{n}": -F.col("orders"), f"spend_{n}": (-spend).cast("decimal(28,2)")},
+                F.when(F.col(f"held_{n}"), F.col(f"leaves_{n}")),
+                **{f"orders_{n}": -F.col("orders"), f"spend_{n}": -spend},
             )
         )
     added = ["orders", "spend", "gap", "gap_sq", "ahead"]
     added += [f"{kind}_{n}" for n in windows for kind in ("orders", "spend")]
-    # "ahead" is back to front: an order counts from the first snapshot whose window reaches it
-    # up to the last snapshot not after it.
     per_slot = (
         days.select("customer_id", F.inline(F.array(*changes)))
         .where("slot is not null")
@@ -125,11 +134,12 @@ def panel(
         "customer_id",
         F.datediff(snap, "last").alias("recency"),
         F.col("orders").alias("frequency"),
-        F.col("spend").alias("monetary"),
-        ratio(F.col("spend"), F.col("orders")).alias("mean_order"),
+        money("spend").alias("monetary"),
+        ratio(F.col("spend") / 100.0, F.col("orders")).alias("mean_order"),
         F.datediff(snap, "first").alias("tenure"),
         F.try_divide(F.col("gap").cast("double"), pairs.cast("double")).alias("mean_gap"),
         F.col("gap_max").alias("max_gap"),
-        *[F.col(f"{kind}_{n}") for n in windows for kind in ("orders", "spend")],
+        *[F.col(f"orders_{n}") for n in windows],
+        *[money(f"spend_{n}").alias(f"spend_{n}") for n in windows],
         (F.col("ahead") <= 0).cast("int").alias("churned"),
     )

@@ -3,8 +3,9 @@
 A plain ``Window.orderBy`` without partition, or partitioned by a key that holds a large part
 of the rows, sorts that part in a single task. Here the rows are range-partitioned by
 (group, order), frozen, and numbered inside each range; only one summary row per range is
-ordered globally. Up to ``SINGLE_TASK_ROWS`` rows, counted and not estimated, the plain
-window is used.
+ordered globally. The plain window is used for up to ``SINGLE_TASK_ROWS`` rows, a number that
+is counted and never estimated: the caller passes a proven bound ``at_most`` (say, the size of
+the customer table for one row per customer), or the rows are frozen and counted here.
 """
 
 from __future__ import annotations
@@ -24,23 +25,43 @@ ROWS_PER_RANGE = 2_000_000
 _LOW_BITS = (1 << 33) - 1
 
 
+def settle(
+    df: DataFrame, at_most: int | None = None, single_task_rows: int | None = None
+) -> tuple[DataFrame, int]:
+    """``df`` and a bound on its rows: as it is when known to be small, else frozen and counted."""
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    if at_most is not None and at_most <= limit:
+        return df, at_most
+    return freeze(df)
+
+
 def global_rank(
     df: DataFrame,
     order: Sequence[Column],
     by: Sequence[str] = (),
     sums: Sequence[str] = (),
-    rows: int | None = None,
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Add ``rn`` (row number within ``by``), ``rn_rows`` (rows in the group) and, for each
     column in ``sums``, the inclusive running sum ``run_<column>`` and the group's ``all_<column>``.
 
     ``order`` must be a total order within a group. Summed columns must be exact (integer or
-    decimal). ``rows`` is the row count when the caller has already frozen ``df``.
+    decimal).
     """
+    df, rows = settle(df, at_most, single_task_rows)
+    return _numbered(df, order, by, sums, rows, single_task_rows)
+
+
+def _numbered(
+    df: DataFrame,
+    order: Sequence[Column],
+    by: Sequence[str],
+    sums: Sequence[str],
+    rows: int,
+    single_task_rows: int | None,
+) -> DataFrame:
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    if rows is None:
-        df, rows = freeze(df)
     if rows <= limit:
         return _plain(df, order, by, sums)
     return _ranged(df, order, by, sums, rows)
@@ -129,13 +150,14 @@ def ntiles(
     tiles: Mapping[str, Sequence[Column]],
     k: int,
     by: Sequence[str] = (),
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Add one ``ntile(k)`` column per entry of ``tiles`` (name -> total order)."""
-    df, rows = freeze(df)
+    df, rows = settle(df, at_most, single_task_rows)
     for name, order in tiles.items():
         kept = df.columns
-        df = global_rank(df, order, by, rows=rows, single_task_rows=single_task_rows).select(
+        df = _numbered(df, order, by, (), rows, single_task_rows).select(
             *kept, ntile_of(F.col("rn"), F.col("rn_rows"), k).alias(name)
         )
     return df
@@ -146,14 +168,16 @@ def percent_ranks(
     value: str,
     name: str,
     by: Sequence[str] = (),
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Add SQL ``percent_rank()`` of ``value`` (ascending) within ``by`` as column ``name``.
 
     Ranks are worked out on the distinct values only, so ties never have to meet in one task.
     """
+    df, rows = settle(df, at_most, single_task_rows)
     values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    ranked = global_rank(values, [F.col(value)], by, ["_ties"], single_task_rows=single_task_rows)
+    ranked = global_rank(values, [F.col(value)], by, ["_ties"], rows, single_task_rows)
     below = (F.col("run__ties") - F.col("_ties")).cast("double")
     rank = F.when(F.col("all__ties") > 1, below / (F.col("all__ties") - 1)).otherwise(F.lit(0.0))
     ranks = ranked.select(
@@ -170,6 +194,7 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
+    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles, one row per (``by``, column, prob): ``feature, prob, value``.
@@ -187,7 +212,8 @@ def quantiles(
         .groupBy(*group, "value")
         .agg(F.count(F.lit(1)).alias("_ties"))
     )
-    ranked = global_rank(values, [F.col("value")], group, ["_ties"], single_task_rows=single_task_rows)
+    bound = None if at_most is None else at_most * len(cols)
+    ranked = global_rank(values, [F.col("value")], group, ["_ties"], bound, single_task_rows)
     spots = ranked.select(
         *group,
         "value",

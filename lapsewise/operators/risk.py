@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.operators.ranking import global_rank, percent_ranks
+from lapsewise.operators.ranking import global_rank, percent_ranks, settle
 
 BANDS = ("low", "medium", "high", "critical")
 CUTS = (25, 50, 75)
@@ -48,11 +48,17 @@ def value_at_risk_by(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     )
 
 
-def risk_rank(df: DataFrame, within: str = "region", single_task_rows: int | None = None) -> DataFrame:
+def risk_rank(
+    df: DataFrame,
+    within: str = "region",
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
+) -> DataFrame:
     """Add ``overall_rank`` (1 = highest risk), ``overall_pr`` and ``<within>_pr``."""
     kept = df.columns
     order = [F.col("risk").desc(), F.col("customer_id")]
-    ranked = global_rank(df, order, single_task_rows=single_task_rows)
+    df, rows = settle(df, at_most, single_task_rows)
+    ranked = global_rank(df, order, (), (), rows, single_task_rows)
     ranked = ranked.select(*kept, F.col("rn").alias("overall_rank"))
-    ranked = percent_ranks(ranked, "risk", "overall_pr", (), single_task_rows)
-    return percent_ranks(ranked, "risk", f"{within}_pr", [within], single_task_rows)
+    ranked = percent_ranks(ranked, "risk", "overall_pr", (), rows, single_task_rows)
+    return percent_ranks(ranked, "risk", f"{within}_pr", [within], rows, single_task_rows)

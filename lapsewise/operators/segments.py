@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.functions import ratio
-from lapsewise.operators.ranking import ntiles, quantiles
+from lapsewise.operators.ranking import ntiles, quantiles, settle
 from lapsewise.session import freeze
 
 
-def rfm5(rfm: DataFrame, by: Sequence[str] = (), single_task_rows: int | None = None) -> DataFrame:
+def rfm5(
+    rfm: DataFrame,
+    by: Sequence[str] = (),
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
+) -> DataFrame:
     """Add quintiles ``r5, f5, m5``; 5 is best, ties go by customer id."""
     tie = F.col("customer_id")
     tiles = {
@@ -24,7 +29,7 @@ def rfm5(rfm: DataFrame, by: Sequence[str] = (), single_task_rows: int | None =
         "f5": [F.col("frequency").asc(), tie],
         "m5": [F.col("monetary").asc(), tie],
     }
-    return ntiles(rfm, tiles, 5, by, single_task_rows)
+    return ntiles(rfm, tiles, 5, by, at_most, single_task_rows)
 
 
 def rule_segment(quintiled: DataFrame) -> DataFrame:
@@ -74,15 +79,20 @@ def choose_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int =
 
 
 def profile(
-    df: DataFrame, segment: str, cols: Sequence[str], single_task_rows: int | None = None
+    df: DataFrame,
+    segment: str,
+    cols: Sequence[str],
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
     """Size, share, churn rate and mean / median of each column per segment."""
+    df, rows = settle(df, at_most, single_task_rows)
     sizes = df.groupBy(segment).agg(
         F.count(F.lit(1)).alias("customers"),
         ratio(F.sum("churned"), F.count(F.lit(1))).alias("churn_rate"),
         *[ratio(F.sum(c), F.count(c)).alias(f"mean_{c}") for c in cols],
     )
-    middle = quantiles(df, cols, [0.5], [segment], single_task_rows)
+    middle = quantiles(df, cols, [0.5], [segment], rows, single_task_rows)
     medians = middle.groupBy(segment).agg(
         *[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"median_{c}") for c in cols]
     )

@@ -45,6 +45,15 @@ def typed(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*out)
 
 
+def buyers_at_most(spark, folder) -> int:
+    """Bound on the customers with orders: the orders, counted from file footers."""
+    return S.load(spark, folder, "orders").count()
+
+
+def people_at_most(spark, folder) -> int:
+    return S.load(spark, folder, "customer").count()
+
+
 def same(names: Sequence[str], kind: str) -> dict[str, str]:
     return {n: kind for n in names}
 
@@ -148,7 +157,7 @@ def _solvent(spark, folder):
 def _purchase_rows(df):
     return df.select(
         "customer_id", "order_id", iso("order_ts").alias("order_day"),
-        F.col("amount").cast("double").alias("amount"),
+        (F.col("cents") / 100.0).alias("amount"),
     )
 
 
@@ -199,13 +208,18 @@ def d7_save(spark, folder):
     S.save(rows, path, ("order_year",))
     return spark.read.parquet(path).select(
         "customer_id", "order_id", iso("order_ts").alias("order_day"),
-        F.col("amount").cast("double").alias("amount"), F.col("order_year").cast("bigint").alias("order_year"),
+        (F.col("cents") / 100.0).alias("amount"), F.col("order_year").cast("bigint").alias("order_year"),
     )
 
 
 @query
 def d8_facts(spark, folder):
-    return typed(_facts(spark, folder).withColumn("order_day", iso("order_ts")), **FACT_TYPES)
+    return typed(
+        _facts(spark, folder).select(
+            "*", iso("order_ts").alias("order_day"), (F.col("cents") / 100.0).alias("amount")
+        ),
+        **FACT_TYPES,
+    )
 
 
 # Behaviour
@@ -238,7 +252,9 @@ def a3_rollup_report(spark, folder):
 
 @query
 def a4_concentration(spark, folder):
-    done = behaviour.concentration(features.rfm(S.purchases(spark, folder), DAY))
+    done = behaviour.concentration(
+        features.rfm(S.purchases(spark, folder), DAY), at_most=buyers_at_most(spark, folder)
+    )
     return typed(
         done, decile="bigint", customers="bigint", held="double", share="double",
         cumulative_share="double",
@@ -299,7 +315,7 @@ def _placed_rfm(spark, folder):
 
 @query
 def f9_peer(spark, folder):
-    done = features.peer(_placed_rfm(spark, folder), ["monetary", "recency"], "nation")
+    done = features.peer(_placed_rfm(spark, folder), ["monetary", "recency"], "nation", people_at_most(spark, folder))
     return typed(
         done, customer_id="bigint", nation="string", monetary_z="double:6", recency_z="double:6",
         monetary_pr="double", recency_pr="double",
@@ -320,7 +336,7 @@ def _split(df):
 @query
 def f11_impute(spark, folder):
     df, train = _split(features.gaps(S.purchases(spark, folder), DAY))
-    values = features.impute_values(train, {"mean_gap": "mean", "sd_gap": "median", "max_gap": 0})
+    values = features.impute_values(train, {"mean_gap": "mean", "sd_gap": "median", "max_gap": 0}, buyers_at_most(spark, folder))
     done = features.impute(df, values)
     return typed(
         done, customer_id="bigint", mean_gap="double:6", sd_gap="double:6", max_gap="double",
@@ -332,7 +348,9 @@ def f11_impute(spark, folder):
 def f12_winsorize(spark, folder):
     df, train = _split(features.rfm(S.purchases(spark, folder), DAY))
     cols = ["monetary", "recency"]
-    done = features.winsorize(df, cols, features.winsor_limits(train, cols))
+    done = features.winsorize(
+        df, cols, features.winsor_limits(train, cols, at_most=buyers_at_most(spark, folder))
+    )
     return typed(done, customer_id="bigint", monetary="double:6", recency="double:6")
 
 
@@ -413,6 +431,11 @@ def _scored(spark, folder):
     return churn.scored_customers(Inputs.read(spark, folder))
 
 
+def _quintiled(spark, folder):
+    rfm = features.rfm(S.purchases(spark, folder), DAY)
+    return segments.rfm5(rfm, at_most=buyers_at_most(spark, folder))
+
+
 @query
 def lapse_report(spark, folder):
     return typed(_scored(spark, folder), **SCORED_TYPES)
@@ -420,13 +443,13 @@ def lapse_report(spark, folder):
 
 @query
 def r2_rule_risk(spark, folder):
-    quintiled = segments.rfm5(features.rfm(S.purchases(spark, folder), DAY))
+    quintiled = _quintiled(spark, folder)
     return typed(risk.rule_risk(quintiled), customer_id="bigint", risk="double")
 
 
 @query
 def r3_risk_band(spark, folder):
-    quintiled = segments.rfm5(features.rfm(S.purchases(spark, folder), DAY))
+    quintiled = _quintiled(spark, folder)
     done = risk.risk_band(risk.rule_risk(quintiled))
     return typed(done.groupBy("band").agg(F.count("*").alias("customers")), band="string", customers="bigint")
 
@@ -441,7 +464,7 @@ def r4_value_at_risk(spark, folder):
 
 @query
 def r5_risk_rank(spark, folder):
-    done = risk.risk_rank(_scored(spark, folder))
+    done = risk.risk_rank(_scored(spark, folder), at_most=people_at_most(spark, folder))
     return typed(
         done, customer_id="bigint", overall_rank="bigint", overall_pr="double", region_pr="double"
     )
@@ -449,13 +472,13 @@ def r5_risk_rank(spark, folder):
 
 @query
 def g1_rfm5(spark, folder):
-    done = segments.rfm5(features.rfm(S.purchases(spark, folder), DAY))
+    done = _quintiled(spark, folder)
     return typed(done, customer_id="bigint", r5="bigint", f5="bigint", m5="bigint")
 
 
 @query
 def g2_rule_segment(spark, folder):
-    quintiled = segments.rfm5(features.rfm(S.purchases(spark, folder), DAY))
+    quintiled = _quintiled(spark, folder)
     done = segments.rule_segment(quintiled).groupBy("segment").agg(F.count("*").alias("customers"))
     return typed(done, segment="string", customers="bigint")
 
@@ -475,7 +498,8 @@ def g4_choose_k(spark, folder):
 
 @query
 def g5_profile(spark, folder):
-    done = segments.profile(_scored(spark, folder), "segment", ["recency", "frequency", "monetary"])
+    cols = ["recency", "frequency", "monetary"]
+    done = segments.profile(_scored(spark, folder), "segment", cols, people_at_most(spark, folder))
     return typed(
         done, segment="string", customers="bigint", share="double", churn_rate="double",
         mean_recency="double", mean_frequency="double", mean_monetary="double",
@@ -538,7 +562,9 @@ def c4_top_k(spark, folder):
 @query
 def c5_budget(spark, folder):
     caps = {c.campaign_id: c.cap for c in CAMPAIGNS}
-    done = campaigns.budget(campaigns.assign(_eligible(spark, folder)), caps)
+    done = campaigns.budget(
+        campaigns.assign(_eligible(spark, folder)), caps, at_most=people_at_most(spark, folder)
+    )
     return typed(done, campaign_id="string", customer_id="bigint", place="bigint", spent="double")
 
 
@@ -583,13 +609,15 @@ def _rule_scores(spark, folder):
 
 @query
 def m6_auc(spark, folder):
-    done = evaluation.auc(_rule_scores(spark, folder))
+    done = evaluation.auc(_rule_scores(spark, folder), at_most=people_at_most(spark, folder))
     return typed(done, positives="bigint", negatives="bigint", auc="double:9")
 
 
 @query
 def m6_auc_by_region(spark, folder):
-    done = evaluation.auc(_rule_scores(spark, folder), by=["region"])
+    done = evaluation.auc(
+        _rule_scores(spark, folder), by=["region"], at_most=people_at_most(spark, folder)
+    )
     return typed(done, region="string", positives="bigint", negatives="bigint", auc="double:9")
 
 
@@ -604,7 +632,7 @@ def m7_metrics(spark, folder):
 
 @query
 def m8_lift(spark, folder):
-    done = evaluation.lift(_rule_scores(spark, folder))
+    done = evaluation.lift(_rule_scores(spark, folder), at_most=people_at_most(spark, folder))
     return typed(
         done, decile="bigint", customers="bigint", churners="bigint", churn_rate="double",
         lift="double:9", gain="double",

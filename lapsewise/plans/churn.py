@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ class Inputs:
             sources.places(spark, folder),
         )
 
+    @cached_property
+    def population(self) -> int:
+        """No result with one row per known customer can be larger; read from file footers."""
+        return self.customers.count()
+
     def people(self) -> DataFrame:
         """``customer_id, market_segment, nation, region``."""
         return self.customers.join(self.places, "nation_id", "left").select(
@@ -76,7 +82,7 @@ def scored_customers(
     one row per customer.
     """
     base = features.snapshot(inputs.purchases, day, horizon).join(inputs.people(), "customer_id")
-    quintiled = segments.rfm5(base, single_task_rows=single_task_rows)
+    quintiled = segments.rfm5(base, (), inputs.population, single_task_rows)
     banded = risk.risk_band(risk.rule_risk(segments.rule_segment(quintiled)))
     return risk.value_at_risk(banded)
 
@@ -103,7 +109,8 @@ def history(
     known = panel(inputs.purchases, snaps, horizon).join(
         inputs.customers.select("customer_id"), "customer_id"
     )
-    quintiled = segments.rfm5(known, ["snapshot"], single_task_rows)
+    rows = inputs.population * len(snaps)
+    quintiled = segments.rfm5(known, ["snapshot"], rows, single_task_rows)
     return risk.risk_band(risk.rule_risk(segments.rule_segment(quintiled)))
 
 
@@ -125,7 +132,7 @@ def campaign_list(
     )
     short = C.top_k(C.assign(candidates), per_region).drop("place")
     caps: Mapping[str, Decimal] = {c.campaign_id: c.cap for c in campaigns}
-    funded = C.budget(short, caps, single_task_rows=single_task_rows)
+    funded = C.budget(short, caps, "value_at_risk", inputs.population, single_task_rows)
     parts = {
         "recency": 50 * (5 - F.col("r5")) / 4,
         "frequency": 30 * (5 - F.col("f5")) / 4,
@@ -162,7 +169,7 @@ def run_batch(
     full = facts(clean, raw.lines, raw.customers, raw.places)
     stored = store(full.withColumn("order_year", F.year("order_ts")), "facts", ("order_year",))
     inputs = Inputs(
-        stored.select("order_id", "customer_id", "order_ts", "amount"),
+        stored.select("order_id", "customer_id", "order_ts", "cents"),
         raw.lines, raw.parts, raw.customers, raw.places,
     )
     earlier = as_date(day) - dt.timedelta(days=horizon)

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lapsewise.functions import MONEY
-
 # The stored tables and their column types.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -74,23 +72,24 @@ def conform(df: DataFrame, mapping: Mapping[str, Target]) -> DataFrame:
     )
 
 
+# Amounts and quantities are taken over as integers: exact and cheap to add up.
 PURCHASE = {
     "order_id": Target("o_orderkey", "bigint"),
     "customer_id": Target("o_custkey", "bigint"),
     "order_ts": Target("o_orderdate", "timestamp_ntz"),
-    "amount": Target("o_totalprice", MONEY),
+    "cents": Target("rint(o_totalprice * 100)", "bigint"),
 }
 CUSTOMER = {
     "customer_id": Target("c_custkey", "bigint"),
     "nation_id": Target("c_nationkey", "int"),
     "market_segment": Target("c_mktsegment", "string"),
-    "balance": Target("c_acctbal", MONEY),
+    "balance": Target("c_acctbal", "decimal(18,2)"),
 }
 LINE = {
     "order_id": Target("l_orderkey", "bigint"),
     "part_id": Target("l_partkey", "bigint"),
-    "quantity": Target("l_quantity", MONEY),
-    "discount": Target("l_discount", "decimal(6,4)"),
+    "quantity_hundredths": Target("rint(l_quantity * 100)", "bigint"),
+    "discount_bp": Target("rint(l_discount * 10000)", "bigint"),
     "return_flag": Target("l_returnflag", "string"),
 }
 PART = {
@@ -100,7 +99,7 @@ PART = {
 
 
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
-    """``order_id, customer_id, order_ts, amount``; one row per order."""
+    """``order_id, customer_id, order_ts, cents``; one row per order."""
     return conform(load(spark, folder, "orders"), PURCHASE).drop("bad_fields")
 
 
