@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import percent_bucket
+from lapsewise.functions import at, percent_bucket
 from lapsewise.operators.ranking import global_rank
 from lapsewise.sources import save
 
 
+SHORT_LIST = 10_000
+
+
 @dataclass(frozen=True)
 class Campaign:
     """``rule`` is a predicate over the scored customers; the lowest ``priority`` goes first."""
@@ -49,8 +52,6 @@ def suppress(candidates: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def recent_buyers(purchases: DataFrame, day, days: int) -> DataFrame:
     """Customers with an order in the ``days`` days before ``day``, as exclusions."""
-    from lapsewise.functions import at
-
     recent = purchases.where((F.col("order_ts") >= at(day, -days)) & (F.col("order_ts") < at(day)))
     return recent.select("customer_id").distinct().withColumn("reason", F.lit("recent_purchase"))
 
@@ -70,12 +71,24 @@ def assign(candidates: DataFrame, value: str = "value_at_risk") -> DataFrame:
 
 
 def top_k(
-    candidates: DataFrame, k: int, by: Sequence[str] = ("campaign_id", "region"), value: str = "value_at_risk"
+    candidates: DataFrame,
+    k: int,
+    by: Sequence[str] = ("campaign_id", "region"),
+    value: str = "value_at_risk",
+    at_most: int | None = None,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
-    """The ``k`` highest values per group, with ``place``; each task keeps k rows per group
-    before the shuffle."""
-    order = W.partitionBy(*by).orderBy(F.col(value).desc(), F.col("customer_id"))
-    return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """The ``k`` highest values per group, with ``place``.
+
+    For a short list each task keeps only k rows per group before the shuffle. A long one goes
+    through the global ranking, so that no task has to hold the whole list of a group.
+    """
+    order = [F.col(value).desc(), F.col("customer_id")]
+    if k > SHORT_LIST:
+        ranked = global_rank(candidates, order, by, (), at_most, single_task_rows)
+        return ranked.where(F.col("rn") <= k).select(*candidates.columns, F.col("rn").alias("place"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint")
+    return candidates.withColumn("place", place).where(F.col("place") <= k)
 
 
 def budget(
@@ -120,13 +133,11 @@ def reason_text(parts: Mapping[str, Column], k: int = 2) -> Column:
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Each customer on either list once, with ``side`` both / only_a / only_b."""
-    ka, kb = a.select("customer_id"), b.select("customer_id")
-    parts = [
-        ka.intersect(kb).withColumn("side", F.lit("both")),
-        ka.subtract(kb).withColumn("side", F.lit("only_a")),
-        kb.subtract(ka).withColumn("side", F.lit("only_b")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = a.select("customer_id", F.lit("a").alias("_on")).union(
+        b.select("customer_id", F.lit("b").alias("_on"))
+    )
+    side = F.when(F.min("_on") < F.max("_on"), "both").otherwise(F.concat(F.lit("only_"), F.min("_on")))
+    return rows.groupBy("customer_id").agg(side.alias("side"))
 
 
 def export(campaign_list: DataFrame, path: str, fmt: str = "parquet") -> None:

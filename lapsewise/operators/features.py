@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lapsewise.functions import as_date, at, entropy, money, ratio
 from lapsewise.operators.facts import as_of, by_day
-from lapsewise.operators.ranking import percent_ranks, quantiles, settle
+from lapsewise.operators.ranking import percent_ranks, quantiles
+from lapsewise.session import freeze
 
 WINDOWS = (30, 90, 180, 365)
 # The part types, in the order in which ties for the favourite are resolved.
@@ -250,25 +251,24 @@ def peer(
     df: DataFrame,
     cols: Sequence[str],
     by: str,
-    at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """z-score ``<col>_z`` and percent rank ``<col>_pr`` of each column within ``by``."""
-    df, rows = settle(df, at_most, single_task_rows)
+    ranks = {f"{c}_pr": (c, [by]) for c in cols}
+    df = percent_ranks(df, ranks, single_task_rows)
     stats = df.groupBy(F.col(by).alias("_by")).agg(
         *[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in cols],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}") for c in cols],
     )
-    out = df.join(stats, F.col(by).eqNullSafe(F.col("_by"))).select(
+    # As a table of known size, so that few groups are broadcast.
+    stats, _ = freeze(stats)
+    return df.join(stats, F.col(by).eqNullSafe(F.col("_by"))).select(
         *df.columns,
         *[
             F.try_divide(F.col(c).cast("double") - F.col(f"_mean_{c}"), F.col(f"_sd_{c}")).alias(f"{c}_z")
             for c in cols
         ],
     )
-    for c in cols:
-        out = percent_ranks(out, c, f"{c}_pr", [by], rows, single_task_rows)
-    return out
 
 
 def running_spend(purchases: DataFrame, days: int = 90) -> DataFrame:

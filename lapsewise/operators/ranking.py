@@ -135,6 +135,8 @@ def _ranged(
         ],
         *[F.sum(c).alias(f"all_{c}") for c in sums],
     )
+    # As a table of known size: few groups are broadcast, and the rows are not shuffled by group.
+    starts, _ = freeze(starts)
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
     return numbered.join(starts, same).select(
         *df.columns,
@@ -165,28 +167,28 @@ def ntiles(
 
 def percent_ranks(
     df: DataFrame,
-    value: str,
-    name: str,
-    by: Sequence[str] = (),
-    at_most: int | None = None,
+    ranks: Mapping[str, tuple[str, Sequence[str]]],
     single_task_rows: int | None = None,
 ) -> DataFrame:
-    """Add SQL ``percent_rank()`` of ``value`` (ascending) within ``by`` as column ``name``.
+    """Add SQL ``percent_rank()`` columns: name -> (column ranked ascending, its group).
 
     Ranks are worked out on the distinct values only, so ties never have to meet in one task.
+    ``df`` is read once per rank and once for the result, so it is frozen first.
     """
-    df, rows = settle(df, at_most, single_task_rows)
-    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    ranked = global_rank(values, [F.col(value)], by, ["_ties"], rows, single_task_rows)
-    below = (F.col("run__ties") - F.col("_ties")).cast("double")
-    rank = F.when(F.col("all__ties") > 1, below / (F.col("all__ties") - 1)).otherwise(F.lit(0.0))
-    ranks = ranked.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_value"), rank.alias(name)
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    return df.join(ranks, [*same, F.col(value).eqNullSafe(F.col("_value"))]).select(
-        *df.columns, name
-    )
+    df, rows = freeze(df)
+    out = df
+    for name, (value, by) in ranks.items():
+        values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+        placed = global_rank(values, [F.col(value)], by, ["_ties"], rows, single_task_rows)
+        below = (F.col("run__ties") - F.col("_ties")).cast("double")
+        rank = F.when(F.col("all__ties") > 1, below / (F.col("all__ties") - 1)).otherwise(F.lit(0.0))
+        table = placed.select(
+            *[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_value"), rank.alias(name)
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        kept = out.columns
+        out = out.join(table, [*same, F.col(value).eqNullSafe(F.col("_value"))]).select(*kept, name)
+    return out
 
 
 def quantiles(

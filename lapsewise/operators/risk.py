@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.operators.ranking import global_rank, percent_ranks, settle
+from lapsewise.operators.ranking import global_rank, percent_ranks
 
 BANDS = ("low", "medium", "high", "critical")
 CUTS = (25, 50, 75)
@@ -57,8 +57,7 @@ def risk_rank(
     """Add ``overall_rank`` (1 = highest risk), ``overall_pr`` and ``<within>_pr``."""
     kept = df.columns
     order = [F.col("risk").desc(), F.col("customer_id")]
-    df, rows = settle(df, at_most, single_task_rows)
-    ranked = global_rank(df, order, (), (), rows, single_task_rows)
+    ranked = global_rank(df, order, (), (), at_most, single_task_rows)
     ranked = ranked.select(*kept, F.col("rn").alias("overall_rank"))
-    ranked = percent_ranks(ranked, "risk", "overall_pr", (), rows, single_task_rows)
-    return percent_ranks(ranked, "risk", f"{within}_pr", [within], rows, single_task_rows)
+    ranks = {"overall_pr": ("risk", ()), f"{within}_pr": ("risk", [within])}
+    return percent_ranks(ranked, ranks, single_task_rows)

@@ -190,7 +190,7 @@ def d6_key_check(spark, folder):
 
 
 def _facts(spark, folder):
-    i = Inputs.read(spark, folder)
+    i = Inputs(spark, folder)
     return facts(i.purchases, i.lines, i.customers, i.places)
 
 
@@ -241,7 +241,7 @@ def a2_cohorts(spark, folder):
 
 @query
 def a3_rollup_report(spark, folder):
-    i = Inputs.read(spark, folder)
+    i = Inputs(spark, folder)
     base = features.snapshot(i.purchases, DAY, HORIZON).join(i.people(), "customer_id")
     done = behaviour.rollup_report(base, ["region", "nation", "market_segment"])
     return typed(
@@ -292,30 +292,30 @@ def f5_trend(spark, folder):
 
 @query
 def f6_basket(spark, folder):
-    i = Inputs.read(spark, folder)
+    i = Inputs(spark, folder)
     return typed(features.basket(i.purchases, i.lines, DAY), customer_id="bigint", **BASKET_TYPES)
 
 
 @query
 def f7_mix(spark, folder):
-    i = Inputs.read(spark, folder)
+    i = Inputs(spark, folder)
     return typed(features.mix(i.purchases, i.lines, i.parts, DAY), customer_id="bigint", **MIX_TYPES)
 
 
 @query
 def f8_returns(spark, folder):
-    i = Inputs.read(spark, folder)
+    i = Inputs(spark, folder)
     return typed(features.returns(i.purchases, i.lines, DAY), customer_id="bigint", return_share="double")
 
 
 def _placed_rfm(spark, folder):
-    i = Inputs.read(spark, folder)
+    i = Inputs(spark, folder)
     return features.rfm(i.purchases, DAY).join(i.people(), "customer_id")
 
 
 @query
 def f9_peer(spark, folder):
-    done = features.peer(_placed_rfm(spark, folder), ["monetary", "recency"], "nation", people_at_most(spark, folder))
+    done = features.peer(_placed_rfm(spark, folder), ["monetary", "recency"], "nation")
     return typed(
         done, customer_id="bigint", nation="string", monetary_z="double:6", recency_z="double:6",
         monetary_pr="double", recency_pr="double",
@@ -383,7 +383,7 @@ def f15_panel(spark, folder):
 
 @query
 def f16_feature_table(spark, folder):
-    done = churn.feature_table(Inputs.read(spark, folder))
+    done = churn.feature_table(Inputs(spark, folder))
     return typed(
         done, **RFM_TYPES, **GAP_TYPES, **TRAILING_TYPES, **TREND_TYPES, **BASKET_TYPES, **MIX_TYPES,
         market_segment="string", nation="string", region="string",
@@ -428,7 +428,7 @@ def l4_class_weight(spark, folder):
 
 
 def _scored(spark, folder):
-    return churn.scored_customers(Inputs.read(spark, folder))
+    return churn.scored_customers(Inputs(spark, folder))
 
 
 def _quintiled(spark, folder):
@@ -499,7 +499,7 @@ def g4_choose_k(spark, folder):
 @query
 def g5_profile(spark, folder):
     cols = ["recency", "frequency", "monetary"]
-    done = segments.profile(_scored(spark, folder), "segment", cols, people_at_most(spark, folder))
+    done = segments.profile(_scored(spark, folder), "segment", cols)
     return typed(
         done, segment="string", customers="bigint", share="double", churn_rate="double",
         mean_recency="double", mean_frequency="double", mean_monetary="double",
@@ -509,7 +509,7 @@ def g5_profile(spark, folder):
 
 @query
 def g6_migration(spark, folder):
-    past, _ = freeze(churn.history(Inputs.read(spark, folder)))
+    past, _ = freeze(churn.history(Inputs(spark, folder)))
     first, last = (past.where(F.col("snapshot") == F.lit(s).cast("date")) for s in (SNAPSHOTS[0], SNAPSHOTS[-1]))
     done = segments.migration(first, last)
     return typed(done, segment_before="string", segment_after="string", customers="bigint")
@@ -583,7 +583,7 @@ LIST_TYPES = {
 
 @query
 def c7_campaign_list(spark, folder):
-    return typed(churn.campaign_list(Inputs.read(spark, folder)), **LIST_TYPES)
+    return typed(churn.campaign_list(Inputs(spark, folder)), **LIST_TYPES)
 
 
 @query
@@ -596,7 +596,7 @@ def c8_overlap(spark, folder):
 @query
 def c9_export(spark, folder):
     path = work_path(spark, "export")
-    campaigns.export(churn.campaign_list(Inputs.read(spark, folder)), path)
+    campaigns.export(churn.campaign_list(Inputs(spark, folder)), path)
     return typed(spark.read.parquet(path), **LIST_TYPES)
 
 
@@ -663,7 +663,7 @@ def r1_risk_score(spark, folder):
 
 
 def _training(spark, folder):
-    table, _ = freeze(labels.split_by_key(churn.training_table(Inputs.read(spark, folder))))
+    table, _ = freeze(labels.split_by_key(churn.training_table(Inputs(spark, folder))))
     return table, table.where("split = 'train'"), table.where("split = 'test'")
 
 
@@ -744,7 +744,7 @@ def m11_explain_linear(spark, folder):
 def m12_explain_sampled(spark, folder):
     table, train, _ = _order_training(spark, folder)
     model = models.fit_logistic(train, ORDER_COLUMNS)
-    listed = churn.campaign_list(Inputs.read(spark, folder)).select("customer_id")
+    listed = churn.campaign_list(Inputs(spark, folder)).select("customer_id")
     chosen = table.join(listed, "customer_id", "left_semi")
     return explain.explain_sampled(
         model, chosen, ORDER_COLUMNS, explain.background(train, ORDER_COLUMNS, 8)
@@ -777,7 +777,7 @@ PREDICTION_TYPES = {
 
 
 def _predictions(spark, folder):
-    past = churn.history(Inputs.read(spark, folder))
+    past = churn.history(Inputs(spark, folder))
     return serving.predictions(past.select("snapshot", "customer_id", "segment", "risk", "band"))
 
 

@@ -43,23 +43,36 @@ CAMPAIGNS = (
 
 @dataclass(frozen=True)
 class Inputs:
-    """The conformed tables."""
-
-    purchases: DataFrame
-    lines: DataFrame
-    parts: DataFrame
-    customers: DataFrame
-    places: DataFrame
-
-    @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> Inputs:
-        return cls(
-            sources.purchases(spark, folder),
-            sources.lines(spark, folder),
-            sources.parts(spark, folder),
-            sources.customers(spark, folder),
-            sources.places(spark, folder),
-        )
+    """The conformed tables of a folder, each opened when first used."""
+
+    spark: SparkSession
+    folder: str
+
+    @cached_property
+    def purchases(self) -> DataFrame:
+        return sources.purchases(self.spark, self.folder)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return sources.lines(self.spark, self.folder)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return sources.parts(self.spark, self.folder)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return sources.customers(self.spark, self.folder)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return sources.places(self.spark, self.folder)
+
+    def with_purchases(self, purchases: DataFrame) -> Inputs:
+        """The same tables with other purchases, e.g. cleaned ones."""
+        other = Inputs(self.spark, self.folder)
+        other.__dict__["purchases"] = purchases
+        return other
 
     @cached_property
     def population(self) -> int:
@@ -158,7 +171,7 @@ def run_batch(
     Facts, both feature tables and the predictions are written and read back, so that a later
     stage never repeats an earlier one.
     """
-    raw = Inputs.read(spark, folder)
+    raw = Inputs(spark, folder)
     clean = handle_missing(raw.purchases, raw.customers, "drop")
     paths = {n: f"{out.rstrip('/')}/{n}" for n in ("facts", "train", "current", "predictions", "model", "campaigns")}
 
@@ -168,10 +181,7 @@ def run_batch(
 
     full = facts(clean, raw.lines, raw.customers, raw.places)
     stored = store(full.withColumn("order_year", F.year("order_ts")), "facts", ("order_year",))
-    inputs = Inputs(
-        stored.select("order_id", "customer_id", "order_ts", "cents"),
-        raw.lines, raw.parts, raw.customers, raw.places,
-    )
+    inputs = raw.with_purchases(stored.select("order_id", "customer_id", "order_ts", "cents"))
     earlier = as_date(day) - dt.timedelta(days=horizon)
     train = store(labels.split_by_key(training_table(inputs, earlier, horizon)), "train")
     current = store(feature_table(inputs, day), "current")

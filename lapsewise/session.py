@@ -16,6 +16,9 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Stream state may outgrow the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -32,6 +35,8 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "lapsewise
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
+        # Call-site capture for error messages costs more than building most plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
