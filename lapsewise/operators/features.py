@@ -80,8 +80,9 @@ def _trend(day: dt.date, span: int) -> list[Column]:
 def _gaps(day: dt.date) -> list[Column]:
     """Over day rows carrying ``gap``; further orders on one day are gaps of zero days."""
     pairs = F.sum("orders") - 1
-    total = F.sum("gap").cast("double")
-    squares = F.sum(F.col("gap").cast("bigint") * F.col("gap")).cast("double")
+    gap = F.coalesce("gap", F.lit(0)).cast("bigint")
+    total = F.sum(gap).cast("double")
+    squares = F.sum(gap * gap).cast("double")
     mean = F.try_divide(total, F.nullif(pairs, F.lit(0)).cast("double"))
     spread = F.try_divide(squares - total * total / F.nullif(pairs, F.lit(0)), (pairs - 1).cast("double"))
     return [
