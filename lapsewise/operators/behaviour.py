@@ -84,7 +84,7 @@ def concentration(
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Share of ``value`` held by each decile of customers, decile 1 the highest."""
-    order = [F.col(value).desc(), F.col("customer_id")]
+    order = [(value, False), ("customer_id", True)]
     narrow = df.select("customer_id", value)
     tiled = ntiles(narrow, {"decile": order}, tiles, (), at_most, single_task_rows)
     held = tiled.groupBy("decile").agg(F.count(F.lit(1)).alias("customers"), F.sum(value).alias("held"))

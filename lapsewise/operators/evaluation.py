@@ -97,7 +97,7 @@ def lift(
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Churn rate, lift and cumulative gain per score decile, decile 1 the highest scores."""
-    order = [F.col(score).desc(), F.col("customer_id")]
+    order = [(score, False), ("customer_id", True)]
     narrow = scored.select("customer_id", score, label)
     tiled = ntiles(narrow, {"decile": order}, tiles, (), at_most, single_task_rows)
     per = tiled.groupBy("decile").agg(

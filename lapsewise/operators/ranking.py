@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import ntile_of
 from lapsewise.session import freeze
 
 SINGLE_TASK_ROWS = 200_000
@@ -149,20 +148,63 @@ def _ranged(
 
 def ntiles(
     df: DataFrame,
-    tiles: Mapping[str, Sequence[Column]],
+    tiles: Mapping[str, Sequence[tuple[str, bool]]],
     k: int,
     by: Sequence[str] = (),
     at_most: int | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
-    """Add one ``ntile(k)`` column per entry of ``tiles`` (name -> total order)."""
+    """Add one ``ntile(k)`` column per entry of ``tiles``: name -> total order of
+    (column, ascending).
+
+    A tile is fixed by its last row. Beyond the size switch only the order columns are ranked;
+    the k - 1 cuts are then compared with each full row where it lies, without moving it.
+    """
     df, rows = settle(df, at_most, single_task_rows)
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    if rows <= limit:
+        group = W.partitionBy(*by)
+        return df.select(
+            "*",
+            *[F.ntile(k).over(group.orderBy(*_keys(order))).alias(name) for name, order in tiles.items()],
+        )
+    out = df
     for name, order in tiles.items():
-        kept = df.columns
-        df = _numbered(df, order, by, (), rows, single_task_rows).select(
-            *kept, ntile_of(F.col("rn"), F.col("rn_rows"), k).alias(name)
+        cols = [c for c, _ in order]
+        ranked = _ranged(df.select(*by, *cols), _keys(order), by, (), rows)
+        small, extra = F.floor(F.col("rn_rows") / k), F.col("rn_rows") % k
+        ends = [F.lit(j) * small + F.least(F.lit(j), extra) for j in range(1, k)]
+        cuts = (
+            ranked.where(F.col("rn").isin(*ends))
+            .groupBy(*[F.col(c).alias(f"_by_{c}") for c in by])
+            .agg(F.collect_list(F.struct(*cols)).alias("_cuts"))
         )
-    return df
+        kept = out.columns
+        if by:
+            cuts, _ = freeze(cuts)
+            out = out.join(cuts, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        else:
+            out = out.withColumn("_cuts", cuts.scalar())
+        passed = [
+            F.when((F.size("_cuts") > j) & _after(order, F.get("_cuts", F.lit(j))), 1).otherwise(0)
+            for j in range(k - 1)
+        ]
+        out = out.select(*kept, sum(passed, F.lit(1)).alias(name))
+    return out
+
+
+def _keys(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc() if ascending else F.col(c).desc() for c, ascending in order]
+
+
+def _after(order: Sequence[tuple[str, bool]], cut: Column) -> Column:
+    """Whether a row comes after ``cut``; NULL is the smallest value, as in sorting."""
+    later = F.lit(False)
+    for c, ascending in reversed(order):
+        high, low = (F.col(c), cut[c]) if ascending else (cut[c], F.col(c))
+        beyond = F.coalesce(high > low, high.isNotNull() & low.isNull())
+        later = beyond | (F.col(c).eqNullSafe(cut[c]) & later)
+    return later
 
 
 def percent_ranks(

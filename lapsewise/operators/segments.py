@@ -23,11 +23,11 @@ def rfm5(
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """Add quintiles ``r5, f5, m5``; 5 is best, ties go by customer id."""
-    tie = F.col("customer_id")
+    tie = ("customer_id", True)
     tiles = {
-        "r5": [F.col("recency").desc(), tie],
-        "f5": [F.col("frequency").asc(), tie],
-        "m5": [F.col("monetary").asc(), tie],
+        "r5": [("recency", False), tie],
+        "f5": [("frequency", True), tie],
+        "m5": [("monetary", True), tie],
     }
     return ntiles(rfm, tiles, 5, by, at_most, single_task_rows)
 

@@ -169,17 +169,19 @@ def run_batch(
 
     The model learns on the snapshot one horizon earlier, whose labels are known at ``day``.
     Facts, both feature tables and the predictions are written and read back, so that a later
-    stage never repeats an earlier one.
+    stage never repeats an earlier one. Orders without a customer record are set aside in
+    ``quarantine``; the facts leave them out by their own join.
     """
     raw = Inputs(spark, folder)
-    clean = handle_missing(raw.purchases, raw.customers, "drop")
-    paths = {n: f"{out.rstrip('/')}/{n}" for n in ("facts", "train", "current", "predictions", "model", "campaigns")}
+    names = ("quarantine", "facts", "train", "current", "predictions", "model", "campaigns")
+    paths = {n: f"{out.rstrip('/')}/{n}" for n in names}
 
     def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         sources.save(df, paths[name], partition_by)
         return spark.read.parquet(paths[name])
 
-    full = facts(clean, raw.lines, raw.customers, raw.places)
+    store(handle_missing(raw.purchases, raw.customers, "quarantine"), "quarantine")
+    full = facts(raw.purchases, raw.lines, raw.customers, raw.places)
     stored = store(full.withColumn("order_year", F.year("order_ts")), "facts", ("order_year",))
     inputs = raw.with_purchases(stored.select("order_id", "customer_id", "order_ts", "cents"))
     earlier = as_date(day) - dt.timedelta(days=horizon)

@@ -104,3 +104,19 @@ def test_quantiles(spark, values, limit):
                 assert (c, p) not in found
             else:
                 assert found[(c, p)] == pytest.approx(exact[c][i])
+
+
+@pytest.mark.parametrize("by", [(), ("grp",)])
+@pytest.mark.parametrize("k", [2, 5, 40])
+def test_ntiles_by_cuts_equal_window(skewed, by, k):
+    """Groups smaller than k and NULL values included."""
+    df = skewed.withColumn("value", F.expr("nullif(value, 7)"))
+    tiles = {"up": [("value", True), ("id", True)], "down": [("value", False), ("id", True)]}
+    got = ranking.ntiles(df, tiles, k, by, single_task_rows=0)
+    group = W.partitionBy(*by)
+    want = df.select(
+        "*",
+        F.ntile(k).over(group.orderBy(F.col("value").asc(), "id")).alias("up"),
+        F.ntile(k).over(group.orderBy(F.col("value").desc(), "id")).alias("down"),
+    )
+    assert rows(got) == rows(want)
