@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-MONEY = "decimal(20,2)"
+# Fits 64 bits, which keeps sorting and comparing cheap.
+MONEY = "decimal(18,2)"
 
 
 def as_date(day: str | dt.date) -> dt.date:

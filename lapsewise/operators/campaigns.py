@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import at, percent_bucket
+from lapsewise.functions import at, money, percent_bucket
 from lapsewise.operators.ranking import global_rank
 from lapsewise.sources import save
 
@@ -104,12 +104,13 @@ def budget(
     global over ranges, not one task per campaign.
     """
     order = [F.col(value).desc(), F.col("customer_id")]
-    ranked = global_rank(candidates, order, ["campaign_id"], ["cost"], at_most, single_task_rows)
-    cap = F.lit(None).cast("decimal(18,2)")
+    costed = candidates.withColumn("_cents", (F.col("cost") * 100).cast("bigint"))
+    ranked = global_rank(costed, order, ["campaign_id"], ["_cents"], at_most, single_task_rows)
+    cap = F.lit(None).cast("bigint")
     for campaign, amount in caps.items():
-        cap = F.when(F.col("campaign_id") == campaign, F.lit(amount).cast("decimal(18,2)")).otherwise(cap)
-    return ranked.where(F.col("run_cost") <= cap).select(
-        *candidates.columns, F.col("rn").alias("place"), F.col("run_cost").alias("spent")
+        cap = F.when(F.col("campaign_id") == campaign, F.lit(int(amount * 100))).otherwise(cap)
+    return ranked.where(F.col("run__cents") <= cap).select(
+        *candidates.columns, F.col("rn").alias("place"), money("run__cents").alias("spent")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise import sources as S
-from lapsewise.functions import iso
+from lapsewise.functions import iso, ntile_of
 from lapsewise.operators import behaviour, campaigns, evaluation, explain, features, labels, models
 from lapsewise.operators import quality, ranking, risk, segments, serving
 from lapsewise.operators.facts import as_of, facts
@@ -838,7 +838,7 @@ def _amounts(spark, folder):
 def u1_global_rank(spark, folder):
     order = [F.col("amount").desc(), F.col("order_id")]
     done = ranking.global_rank(_amounts(spark, folder), order, sums=["amount"], single_task_rows=0)
-    tile = ranking.ntile_of(F.col("rn"), F.col("rn_rows"), 7)
+    tile = ntile_of(F.col("rn"), F.col("rn_rows"), 7)
     return typed(
         done.withColumn("tile", tile), order_id="bigint", rn="bigint", tile="bigint", run_amount="double"
     )
