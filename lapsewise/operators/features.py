@@ -69,25 +69,37 @@ def _trend(day: dt.date, span: int) -> list[Column]:
     n = F.sum("orders").cast("double")
     sx = F.sum(x * F.col("orders")).cast("double")
     sxx = F.sum(x * x * F.col("orders")).cast("double")
-    sy = F.sum("spend") / 100.0
-    sxy = F.sum((x * F.col("spend")).cast("double")) / 100.0
+    sy = F.sum("spend").cast("double")
+    sxy = F.sum((x * F.col("spend")).cast("double"))
     return [
         ratio(last / 100.0, prior / 100.0).alias("spend_trend"),
-        F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx).alias("spend_slope"),
+        slope(n, sx, sxx, sy, sxy).alias("spend_slope"),
     ]
 
 
+def slope(n: Column, sx: Column, sxx: Column, sy: Column, sxy: Column) -> Column:
+    """Least-squares slope from sums over days x and cents y, in money per day; NULL when all x
+    are equal. The sums are whole numbers, so that the differences do not lose digits."""
+    return F.try_divide(n * sxy - sx * sy, 100.0 * (n * sxx - sx * sx))
+
+
+def gap_moments(pairs: Column, total: Column, squares: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation of ``pairs`` gaps from their sum and sum of squares."""
+    some = F.nullif(pairs, F.lit(0)).cast("double")
+    spread = F.try_divide(squares - total * total / some, (pairs - 1).cast("double"))
+    return F.try_divide(total, some), F.when(pairs > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))
+
+
 def _gaps(day: dt.date) -> list[Column]:
     """Over day rows carrying ``gap``; further orders on one day are gaps of zero days."""
     pairs = F.sum("orders") - 1
     gap = F.coalesce("gap", F.lit(0)).cast("bigint")
     total = F.sum(gap).cast("double")
     squares = F.sum(gap * gap).cast("double")
-    mean = F.try_divide(total, F.nullif(pairs, F.lit(0)).cast("double"))
-    spread = F.try_divide(squares - total * total / F.nullif(pairs, F.lit(0)), (pairs - 1).cast("double"))
+    mean, spread = gap_moments(pairs, total, squares)
     return [
         mean.alias("mean_gap"),
-        F.when(pairs > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("sd_gap"),
+        spread.alias("sd_gap"),
         F.when(pairs > 0, F.coalesce(F.max("gap"), F.lit(0))).alias("max_gap"),
         F.try_divide(F.min(_age(day)).cast("double"), mean).alias("recency_to_gap"),
     ]

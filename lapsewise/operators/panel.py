@@ -12,13 +12,20 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lapsewise.functions import as_date, money, ratio
 from lapsewise.operators.facts import as_of, by_day
-from lapsewise.operators.features import _with_gap
+from lapsewise.operators.features import (
+    PART_TYPES,
+    _mix,
+    _mix_shares,
+    _with_gap,
+    gap_moments,
+    slope,
+)
 
 
 def _first_after(day: Column, snaps: Sequence[dt.date]) -> Column:
@@ -29,11 +36,31 @@ def _first_after(day: Column, snaps: Sequence[dt.date]) -> Column:
     return pick
 
 
+def _by_slot() -> WindowSpec:
+    return W.partitionBy("customer_id").orderBy("slot")
+
+
+def _so_far() -> WindowSpec:
+    return _by_slot().rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _states(per_slot: DataFrame, totals: Sequence[Column], dates: Sequence[dt.date]) -> DataFrame:
+    """Running ``totals`` at every snapshot from a customer's first change on; a state holds
+    until the next change."""
+    until = F.lead("slot", 1, len(dates)).over(_by_slot())
+    reached = per_slot.select("customer_id", "slot", until.alias("until"), *totals)
+    days = F.array(*[F.lit(d) for d in dates])
+    held = F.slice(days, F.col("slot") + 1, F.col("until") - F.col("slot"))
+    rest = [c for c in reached.columns if c not in ("slot", "until")]
+    return reached.select(F.explode(held).alias("snapshot"), *rest)
+
+
 def panel(
     purchases: DataFrame,
     snaps: Sequence[str | dt.date],
     horizon: int,
     windows: Sequence[int] = (180, 365),
+    span: int = 180,
 ) -> DataFrame:
     """Purchase features and churn label per (snapshot, customer).
 
@@ -41,6 +68,7 @@ def panel(
     in the ``horizon`` days from the snapshot on.
     """
     dates = sorted(as_date(s) for s in snaps)
+    shown, windows = windows, sorted({*windows, span, 2 * span})
     end = dates[-1] + dt.timedelta(days=horizon)
     days = _with_gap(by_day(as_of(purchases, end)))
     day = F.col("day")
@@ -51,6 +79,9 @@ def panel(
             "spend": F.lit(0).cast("bigint"),
             "gap": F.lit(0).cast("bigint"),
             "gap_sq": F.lit(0).cast("bigint"),
+            "sx": F.lit(0).cast("bigint"),
+            "sxx": F.lit(0).cast("bigint"),
+            "sxy": F.lit(0.0),
             "gap_max": F.lit(None).cast("int"),
             "first": F.lit(None).cast("date"),
             "last": F.lit(None).cast("date"),
@@ -77,6 +108,8 @@ def panel(
     )
     gap = F.coalesce(F.col("gap"), F.lit(0)).cast("bigint")
     spend = F.col("spend")
+    # The slope does not depend on where time starts.
+    x = F.datediff(day, F.lit(dates[0])).cast("bigint")
     changes = [
         change(
             enters,
@@ -84,6 +117,9 @@ def panel(
             spend=spend,
             gap=gap,
             gap_sq=gap * gap,
+            sx=x * F.col("orders"),
+            sxx=x * x * F.col("orders"),
+            sxy=(x * spend).cast("double"),
             gap_max=F.when(F.col("orders") > 1, F.greatest(gap, F.lit(0))).otherwise(F.col("gap")).cast("int"),
             first=day,
             last=day,
@@ -100,7 +136,7 @@ def panel(
                 **{f"orders_{n}": -F.col("orders"), f"spend_{n}": -spend},
             )
         )
-    added = ["orders", "spend", "gap", "gap_sq", "ahead"]
+    added = ["orders", "spend", "gap", "gap_sq", "sx", "sxx", "sxy", "ahead"]
     added += [f"{kind}_{n}" for n in windows for kind in ("orders", "spend")]
     per_slot = (
         days.select("customer_id", F.inline(F.array(*changes)))
@@ -113,33 +149,83 @@ def panel(
             F.max("last").alias("last"),
         )
     )
-    so_far = W.partitionBy("customer_id").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    until = F.lead("slot", 1, len(dates)).over(W.partitionBy("customer_id").orderBy("slot"))
-    reached = per_slot.select(
-        "customer_id",
-        "slot",
-        until.alias("until"),
-        *[F.sum(c).over(so_far).alias(c) for c in added],
-        F.max("gap_max").over(so_far).alias("gap_max"),
-        F.min("first").over(so_far).alias("first"),
-        F.max("last").over(so_far).alias("last"),
-    ).where("orders > 0")
-    # The state holds until the customer's next change.
-    held = F.explode(F.sequence(F.col("slot"), F.col("until") - 1)).alias("slot")
-    state = reached.select(held, *[c for c in reached.columns if c not in ("slot", "until")])
-    snap = F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("slot") + 1)
+    totals = [F.sum(c).over(_so_far()).alias(c) for c in added]
+    totals += [
+        F.max("gap_max").over(_so_far()).alias("gap_max"),
+        F.min("first").over(_so_far()).alias("first"),
+        F.max("last").over(_so_far()).alias("last"),
+    ]
+    state = _states(per_slot, totals, dates).where("orders > 0")
+    snap = F.col("snapshot")
     pairs = F.col("orders") - 1
+    mean_gap, sd_gap = gap_moments(pairs, F.col("gap").cast("double"), F.col("gap_sq").cast("double"))
+    recency = F.datediff(snap, "last")
+    prior = (F.col(f"spend_{2 * span}") - F.col(f"spend_{span}")) / 100.0
+    n, sx, sxx = (F.col(c).cast("double") for c in ("orders", "sx", "sxx"))
     return state.select(
-        snap.alias("snapshot"),
+        "snapshot",
         "customer_id",
-        F.datediff(snap, "last").alias("recency"),
+        recency.alias("recency"),
         F.col("orders").alias("frequency"),
         money("spend").alias("monetary"),
         ratio(F.col("spend") / 100.0, F.col("orders")).alias("mean_order"),
         F.datediff(snap, "first").alias("tenure"),
-        F.try_divide(F.col("gap").cast("double"), pairs.cast("double")).alias("mean_gap"),
+        mean_gap.alias("mean_gap"),
+        sd_gap.alias("sd_gap"),
         F.col("gap_max").alias("max_gap"),
-        *[F.col(f"orders_{n}") for n in windows],
-        *[money(f"spend_{n}").alias(f"spend_{n}") for n in windows],
+        F.try_divide(recency.cast("double"), mean_gap).alias("recency_to_gap"),
+        *[F.col(f"orders_{w}") for w in shown],
+        *[money(f"spend_{w}").alias(f"spend_{w}") for w in shown],
+        ratio(F.col(f"spend_{span}") / 100.0, prior).alias("spend_trend"),
+        slope(n, sx, sxx, F.col("spend").cast("double"), F.col("sxy")).alias("spend_slope"),
         (F.col("ahead") <= 0).cast("int").alias("churned"),
     )
+
+
+def line_panel(
+    purchases: DataFrame,
+    lines: DataFrame,
+    parts: DataFrame,
+    snaps: Sequence[str | dt.date],
+    types: Sequence[str] = PART_TYPES,
+) -> DataFrame:
+    """Basket and mix per (snapshot, customer) with lines before the snapshot.
+
+    Lines are added up per (customer, part, first snapshot after them) before they meet the
+    parts; a part counts as distinct where the customer buys it first.
+    """
+    dates = sorted(as_date(s) for s in snaps)
+    slot = _first_after(F.to_date("order_ts"), dates).alias("slot")
+    cut = as_of(purchases, dates[-1]).select("order_id", "customer_id", slot)
+    per_part = (
+        lines.join(cut, "order_id")
+        .groupBy("customer_id", "part_id", "slot")
+        .agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.sum("quantity_hundredths").alias("quantity"),
+            F.sum("discount_bp").alias("discount"),
+        )
+    )
+    # At most one row per snapshot in a window.
+    first = F.min("slot").over(W.partitionBy("customer_id", "part_id"))
+    placed = per_part.withColumn("is_new", (F.col("slot") == first).cast("bigint"))
+    added = ["lines", "quantity", "discount", "is_new"]
+    mixed = [f"_q_{t}" for t in types]
+    per_slot = (
+        placed.join(parts, "part_id", "left")
+        .groupBy("customer_id", "slot")
+        .agg(*[F.sum(c).alias(c) for c in added], *_mix(types))
+    )
+    state = _states(per_slot, [F.sum(c).over(_so_far()).alias(c) for c in [*added, *mixed]], dates)
+    return _mix_shares(
+        state.select(
+            "snapshot",
+            "customer_id",
+            "lines",
+            money("quantity").alias("quantity"),
+            F.col("is_new").alias("distinct_parts"),
+            ratio(F.col("discount") / 10000.0, F.col("lines")).alias("mean_discount"),
+            *mixed,
+        ),
+        types,
+    )

@@ -12,7 +12,7 @@ from lapsewise.functions import iso, ntile_of
 from lapsewise.operators import behaviour, campaigns, evaluation, explain, features, labels, models
 from lapsewise.operators import quality, ranking, risk, segments, serving
 from lapsewise.operators.facts import as_of, facts
-from lapsewise.operators.panel import panel
+from lapsewise.operators.panel import line_panel, panel
 from lapsewise.plans import churn
 from lapsewise.plans.churn import CAMPAIGNS, DAY, HORIZON, SNAPSHOTS, Inputs
 from lapsewise.session import configure, freeze, work_path
@@ -70,7 +70,7 @@ TRAILING_TYPES = {
     for n in features.WINDOWS
     for kind, t in (("orders", "bigint"), ("spend", "double"))
 }
-TREND_TYPES = {"spend_trend": "double", "spend_slope": "double:4"}
+TREND_TYPES = {"spend_trend": "double", "spend_slope": "double:7"}
 BASKET_TYPES = {
     "lines": "double", "quantity": "double", "distinct_parts": "double", "mean_discount": "double",
 }
@@ -375,12 +375,19 @@ def f14_standardize(spark, folder):
 def f15_panel(spark, folder):
     done = panel(S.purchases(spark, folder), SNAPSHOTS, HORIZON).withColumn("snapshot", iso("snapshot"))
     return typed(
-        done, snapshot="string", **RFM_TYPES, mean_gap="double", max_gap="double",
+        done, snapshot="string", **RFM_TYPES, **GAP_TYPES, **TREND_TYPES,
         orders_180="bigint", spend_180="double", orders_365="bigint", spend_365="double",
         churned="bigint",
     )
 
 
+@query
+def f15_line_panel(spark, folder):
+    i = Inputs(spark, folder)
+    done = line_panel(i.purchases, i.lines, i.parts, SNAPSHOTS).withColumn("snapshot", iso("snapshot"))
+    return typed(done, snapshot="string", customer_id="bigint", **BASKET_TYPES, **MIX_TYPES)
+
+
 @query
 def f16_feature_table(spark, folder):
     done = churn.feature_table(Inputs(spark, folder))

@@ -107,7 +107,7 @@ TREND = f"""trend AS (
       / CAST(nullif(sum(amount) FILTER (WHERE order_ts >= {T} - INTERVAL 360 DAY
                                         AND order_ts < {T} - INTERVAL 180 DAY), 0) AS DOUBLE) AS spend_trend,
     CASE WHEN count(DISTINCT order_ts) > 1
-         THEN round(regr_slope(CAST(amount AS DOUBLE), -date_diff('day', order_ts, {T})), 4) END AS spend_slope
+         THEN round(regr_slope(CAST(amount AS DOUBLE), -date_diff('day', order_ts, {T})), 7) END AS spend_slope
   FROM cut GROUP BY customer_id)"""
 BOUGHT = """bought AS (
   SELECT customer_id, l_partkey, p_type, CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
@@ -137,6 +137,13 @@ panel AS (
     count(*) AS frequency, sum(amount) AS monetary,
     CAST(sum(amount) AS DOUBLE) / count(*) AS mean_order,
     date_diff('day', min(order_ts), snapshot) AS tenure, avg(gap) AS mean_gap, CAST(max(gap) AS DOUBLE) AS max_gap,
+    round(stddev_samp(gap), 6) AS sd_gap,
+    round(date_diff('day', max(order_ts), snapshot) / nullif(avg(gap), 0), 9) AS recency_to_gap,
+    CAST(coalesce(sum(amount) FILTER (WHERE order_ts >= snapshot - INTERVAL 180 DAY), 0) AS DOUBLE)
+      / CAST(nullif(sum(amount) FILTER (WHERE order_ts >= snapshot - INTERVAL 360 DAY
+                                        AND order_ts < snapshot - INTERVAL 180 DAY), 0) AS DOUBLE) AS spend_trend,
+    CASE WHEN count(DISTINCT order_ts) > 1
+         THEN round(regr_slope(CAST(amount AS DOUBLE), -date_diff('day', order_ts, snapshot)), 7) END AS spend_slope,
     count(*) FILTER (WHERE order_ts >= snapshot - INTERVAL 180 DAY) AS orders_180,
     CAST(coalesce(sum(amount) FILTER (WHERE order_ts >= snapshot - INTERVAL 180 DAY), 0) AS DOUBLE) AS spend_180,
     count(*) FILTER (WHERE order_ts >= snapshot - INTERVAL 365 DAY) AS orders_365,
@@ -392,6 +399,15 @@ SELECT customer_id, round((recency - rm) / rs, 6) AS recency, round((frequency -
   round((CAST(monetary AS DOUBLE) - mm) / ms, 6) AS monetary FROM rfm, stat""",
     "f15_panel": with_(*PANELS) + """SELECT * REPLACE (strftime(snapshot, '%Y-%m-%d') AS snapshot,
   CAST(monetary AS DOUBLE) AS monetary, CAST(churned AS BIGINT) AS churned) FROM panel""",
+    "f15_line_panel": with_(
+        PURCHASES, SNAPS,
+        """cut AS (SELECT snapshot, order_id, snapshot || ':' || p.customer_id AS customer_id,
+         p.customer_id AS id FROM purchases p JOIN snaps ON order_ts < snapshot)""",
+        BOUGHT, BASKET, MIX,
+        "ids AS (SELECT DISTINCT customer_id, snapshot, id FROM cut)",
+    ) + f"""SELECT strftime(snapshot, '%Y-%m-%d') AS snapshot, id AS customer_id, lines, quantity,
+  distinct_parts, mean_discount, {", ".join(f"share_{t.lower()}" for t in TYPES)}, mix_entropy, favourite_type
+FROM basket JOIN mix USING (customer_id) JOIN ids USING (customer_id)""",
     "f16_feature_table": with_(
         *BASE, PEOPLE, GAPS, TRAILING, TREND, BOUGHT, BASKET, MIX
     ) + f"""SELECT {FEATURE_COLUMNS} FROM rfm JOIN people USING (customer_id)
