@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lapsewise.operators.serving import lookup
 from lapsewise.sources import SCHEMAS
 
 
@@ -57,16 +58,14 @@ def write_activity(activity: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def score_events(events: DataFrame, scores: DataFrame) -> DataFrame:
-    """Each event with the score of its customer, ``known`` = 0 without one."""
-    hits = scores.select("customer_id", "risk", "band", F.lit(1).alias("_hit"))
-    return events.join(hits, events.user_id == hits.customer_id, "left").select(
-        "event_id",
-        "ts",
-        F.col("user_id").alias("customer_id"),
-        "event_type",
-        "risk",
-        "band",
-        F.coalesce("_hit", F.lit(0)).alias("known"),
+    """Each event with the score of its customer, ``known`` = 0 without one.
+
+    A lookup, so that a small batch does not shuffle the whole score table.
+    """
+    asked = events.select("event_id", "ts", F.col("user_id").alias("customer_id"), "event_type")
+    answered = lookup(scores.select("customer_id", "risk", "band"), asked)
+    return answered.select(
+        "event_id", "ts", "customer_id", "event_type", "risk", "band", F.col("found").alias("known")
     )
 
 
@@ -78,7 +77,9 @@ def score_stream(events: DataFrame, scores: DataFrame, path: str, checkpoint: st
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         score_events(batch, scores).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         events.writeStream.foreachBatch(write)
