@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import decontaminate, mixing, sharding, url_filter
+from lapsewise.llm import decontaminate, language, mixing, scoring, sharding, url_filter
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -38,6 +38,17 @@ def op1_url_filter(spark, folder):
     return url_filter.judge(read(spark, folder, "pages"), rules)
 
 
+@query
+def op2_lm_scoring(spark, folder):
+    return scoring.score(read(spark, folder, "documents"))
+
+
+@query
+def op3_language_id(spark, folder):
+    found = language.identify(read(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op7_sharding(spark, folder):
     placed = sharding.place(read(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS)
