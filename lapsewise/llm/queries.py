@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import decontaminate, language, mixing, scoring, sharding, url_filter
+from lapsewise.llm import decontaminate, language, mixing, scoring, sharding, topk, url_filter
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -49,6 +49,12 @@ def op3_language_id(spark, folder):
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op4_top_k(spark, folder):
+    vectors = topk.quantized(read(spark, folder, "embeddings"), "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 @query
 def op7_sharding(spark, folder):
     placed = sharding.place(read(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS)
