@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import decontaminate, language, mixing, scoring, sharding, topk, url_filter
+from lapsewise.llm import decontaminate, jaccard, language, mixing, scoring, sharding, topk, url_filter
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -67,6 +67,11 @@ def op8_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+@query
+def op9_jaccard_join(spark, folder):
+    return jaccard.similar_groups(read(spark, folder, "documents"))
+
+
 @query
 def op10_decontamination(spark, folder):
     found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
