@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import decontaminate, jaccard, language, mixing, scoring, sharding, topk, url_filter
+from lapsewise.llm import decontaminate, jaccard, language, mixing, passages, scoring, sharding, topk, url_filter
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -55,6 +55,12 @@ def op4_top_k(spark, folder):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+@query
+def op6_substring_dedup(spark, folder):
+    cleaned = passages.remove_repeats(read(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op7_sharding(spark, folder):
     placed = sharding.place(read(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS)
