@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import decontaminate, jaccard, language, mixing, passages, scoring, sharding, topk, url_filter
+from lapsewise.llm import decontaminate, jaccard, language, mixing, passages, scoring, sharding, tokens, topk, url_filter
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -55,6 +56,11 @@ def op4_top_k(spark, folder):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+@query
+def op5_token_ids(spark, folder):
+    return tokens.token_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op6_substring_dedup(spark, folder):
     cleaned = passages.remove_repeats(read(spark, folder, "documents"))
