@@ -94,7 +94,7 @@ def mix(
     to the documents with the smallest hashes, until the next would pass the target. That place is
     found from sums per (source, hash bin), then by the rows of the one bin it lies in, a
     ``BINS``-th of the source. Then the largest document that still fits the gap is added,
-    ``PICKS`` times. Nothing is ordered or collected per source: a source may hold any part of
+    ``PICKS`` times, and at last the smallest one that does not fit, if that ends nearer. Nothing is ordered or collected per source: a source may hold any part of
     the rows.
     """
     low = F.lit((1 << HASH_BITS) - 1)
@@ -148,13 +148,17 @@ def mix(
         F.when(F.col("cut").isNull(), 0.0).otherwise(F.col("gap") - F.col("reached")).alias("gap"),
         F.array().cast("array<bigint>").alias("picked"),
     )
-    for _ in range(PICKS):
+    for step in range(PICKS + 1):
         state, _ = freeze(state)
-        fitting = blocks.join(state.select(F.col("source").alias("_s"), "cut", "gap", "picked"), _same("source", "_s")).where(
-            (F.col("u") >= F.col("cut")) & (F.col("words") > 0) & (F.col("words") <= F.col("gap"))
-            & ~F.array_contains("picked", F.col("u"))
+        free = blocks.join(state.select(F.col("source").alias("_s"), "cut", "gap", "picked"), _same("source", "_s")).where(
+            (F.col("u") >= F.col("cut")) & (F.col("words") > 0) & ~F.array_contains("picked", F.col("u"))
         )
-        best = fitting.groupBy("source").agg(F.max(F.struct("words", "u")).alias("best")).select(F.col("source").alias("_s"), "best")
+        block = F.struct("words", "u")
+        if step < PICKS:
+            best = free.where("words <= gap").groupBy("source").agg(F.max(block).alias("best"))
+        else:
+            best = free.where("words > gap and words < 2 * gap").groupBy("source").agg(F.min(block).alias("best"))
+        best = best.select(F.col("source").alias("_s"), "best")
         state = state.join(best, _same("source", "_s"), "left").select(
             "source", "source_size", "target", "rate", "floor", "cut",
             (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"),
