@@ -20,20 +20,13 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 # One fixed random number per byte value.
 _BYTE = np.random.default_rng(20_240_607).integers(1 << 63, size=256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(int(base))
-    if have is None or have.size < n:
-        size = max(n, PIECE_BYTES + 1)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size == PIECE_BYTES + 1:
-            _powers[int(base)] = have
-    return have[:n]
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

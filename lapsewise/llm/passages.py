@@ -145,7 +145,8 @@ def _locate(window: int):
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``k1, k2, begin, stop``: word ranges of repeated windows; ``docs`` has ``k1, k2, text``,
-    keys that are equal for equal rows only."""
+    keys that are equal for equal rows only. All its columns go through the join, so that a later
+    join of the same rows by the same keys finds them shuffled already."""
 
     def anchors(batches):
         for batch in batches:
@@ -157,7 +158,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     ["anchor", "k1", "k2", "start", "windows", "places"],
                 )
 
-    runs, _ = freeze(docs.mapInArrow(anchors, "anchor bigint, k1 bigint, k2 bigint, start int, windows int, places int"))
+    runs, _ = freeze(docs.select("k1", "k2", "text").mapInArrow(anchors, "anchor bigint, k1 bigint, k2 bigint, start int, windows int, places int"))
     again, _ = freeze(runs.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1"))
     wanted = (
         runs.drop("places").join(again, "anchor")
@@ -165,7 +166,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         .agg(F.collect_set(F.struct("start", "windows", "anchor", (F.col("places") > HOT_PLACES).alias("hot"))).alias("runs"))
         .withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     )
-    chosen = docs.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("k1", "k2", "text", "runs")
+    chosen = docs.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select(*docs.columns, "runs")
 
     def segments(hot):
         def cut(batches):
@@ -221,7 +222,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         F.col(id_column).alias("_id"), text.alias("text"),
     )
     ranges = (
-        repeated_ranges(keyed.select("k1", "k2", "text"), window, anchor)
+        repeated_ranges(keyed, window, anchor)
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("begin", "stop")).alias("ranges"))
         .withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
