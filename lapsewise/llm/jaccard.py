@@ -22,8 +22,8 @@ SHINGLE = 5
 ABOVE, BELOW = 75, 100
 #: Shingles with a hash below this part of all hashes are counted over all documents.
 REGION = np.uint64(int(0.4 * 2**64))
-#: Texts of a block; the low 15 bits of a posting name the text in its block.
-BLOCK_TEXTS = 1 << 15
+#: Texts of a block, which two bytes name.
+BLOCK_TEXTS = 1 << 16
 #: Candidates that one search looks at together.
 CANDIDATES = 512
 #: Weight of a probe against a heap step in the choice of long lists.
@@ -83,12 +83,17 @@ def _unplaned(data: bytes, kind) -> np.ndarray:
 BLOCKS = "block bigint, bucket bigint, hashes binary, owners binary, ids binary, sizes binary, digests binary"
 
 
+def _spare(sizes: np.ndarray) -> np.ndarray:
+    """How many of its shingles a set may not share with a partner."""
+    return sizes - -(-ABOVE * sizes // BELOW)
+
+
 def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks of documents by bucket of the hash: sorted shingle hashes with the text's number.
 
-    A text sends its hashes within ``REGION`` and those of its prefix, the smallest hashes that
-    every similar set must share one of. A bucket of its own, below 0, has the block's ids, set
-    sizes and digests.
+    A text sends its hashes within ``REGION``. If they are so few that a partner might have none
+    of them, it also sends its smallest hashes, of which two such texts share one if they are
+    similar. A bucket of its own, below 0, has the block's ids, set sizes and digests.
     """
 
     def cut(batches):
@@ -104,11 +109,11 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
         sizes = np.diff(first)
         owner = np.repeat(np.arange(sizes.size), sizes)
         rank = np.arange(grams.size) - np.repeat(first[:-1], sizes)
-        prefix = rank < (sizes - -(-ABOVE * sizes // BELOW) + 1)[owner]
-        sent = prefix | (grams < REGION)
-        posting = owner.astype(np.uint16) | (prefix.astype(np.uint16) << np.uint16(15))
+        region = grams < REGION
+        few = np.bincount(owner[region], minlength=sizes.size) <= _spare(sizes)
+        sent = region | (few[owner] & (rank <= _spare(sizes)[owner]))
         order = np.argsort(grams[sent], kind="stable")
-        hashes, posting = grams[sent][order], posting[sent][order]
+        hashes, posting = grams[sent][order], owner[sent][order].astype(np.uint16)
         # Most hashes lie in the region, so that is what the buckets divide; the last takes the rest.
         width = np.uint64(max(1, int(REGION) // buckets))
         bucket = np.minimum(hashes // width, np.uint64(buckets - 1)).astype(np.int64)
@@ -129,16 +134,17 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(cut, BLOCKS)
 
 
-MET = "block bigint, singles binary, shared binary, sharers binary, ids binary, sizes binary, digests binary"
+MET = "block bigint, singles binary, shared binary, sharers binary, ranks binary, ids binary, sizes binary, digests binary"
 
 
 def _meet(key, table):
-    """One bucket of all blocks: per block the texts' hashes that stand alone, and the prefix
-    hashes that some other text has in its prefix too."""
+    """One bucket of all blocks: per block the texts' hashes that stand alone, and the others with
+    a rank by the number of texts that have them."""
+    heads = ("ids", "sizes", "digests")
+    names = ["block", "singles", "shared", "sharers", "ranks", *heads]
     if key[0].as_py() < 0:
         none = pa.nulls(table.num_rows, pa.binary())
-        return pa.table([table.column("block"), none, none, none, *(table.column(c) for c in ("ids", "sizes", "digests"))],
-                        ["block", "singles", "shared", "sharers", "ids", "sizes", "digests"])
+        return pa.table([table.column("block"), none, none, none, none, *(table.column(c) for c in heads)], names)
     blocks = table.column("block").to_pylist()
     hashes = [_unplaned(x, np.uint64) for x in table.column("hashes").to_pylist()]
     owners = [_unplaned(x, np.uint16) for x in table.column("owners").to_pylist()]
@@ -148,41 +154,53 @@ def _meet(key, table):
     every, owner, source = every[order], owner[order], source[order]
     start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     size = np.diff(np.append(start, every.size))
-    flagged = owner >> np.uint16(15)
-    together = np.repeat(np.add.reduceat(flagged.astype(np.int64), start) > 1, size) & (flagged > 0)
-    alone = np.repeat(size == 1, size) & (every < REGION)
-    name = owner & np.uint16(BLOCK_TEXTS - 1)
-    out = {c: [] for c in ("block", "singles", "shared", "sharers")}
+    having = np.repeat(size, size)
+    rank = np.minimum(having, 255).astype(np.uint8)
+    alone, together = (having == 1) & (every < REGION), having > 1
+    out = {c: [] for c in names}
     order = np.argsort(source, kind="stable")
     cuts = np.searchsorted(source[order], np.arange(len(blocks) + 1))
     for k, block in enumerate(blocks):
         mine = order[cuts[k] : cuts[k + 1]]
         single, shared = mine[alone[mine]], mine[together[mine]]
         out["block"].append(block)
-        out["singles"].append(name[single].tobytes())
-        out["shared"].append(every[shared].tobytes())
-        out["sharers"].append(name[shared].tobytes())
-    out |= {c: [None] * len(blocks) for c in ("ids", "sizes", "digests")}
-    return pa.table([pa.array(c, pa.int64() if name == "block" else pa.binary()) for name, c in out.items()], list(out))
+        out["singles"].append(_planes(owner[single]))
+        out["shared"].append(_planes(every[shared]))
+        out["sharers"].append(_planes(owner[shared]))
+        out["ranks"].append(rank[shared].tobytes())
+    for c in heads:
+        out[c] = [None] * len(blocks)
+    return pa.table([pa.array(c, pa.int64() if name == "block" else pa.binary()) for name, c in out.items()], names)
 
 
 def _gather(key, table):
-    """A block's texts with the shared prefix hashes of those that may have a partner."""
+    """A block's texts with the shared hashes by which those that may have a partner meet it.
+
+    By rank, then hash, a text can miss no more of its region than it may miss at all, so the
+    first hash it shares with a partner is among as many and one more. Hashes of one text alone
+    come first. A text with over a quarter of its set in them has no partner.
+    """
     whole = table.column("sizes").is_valid()
     block, right = table.filter(whole).to_pylist()[0], table.filter(pc.invert(whole))
     ids = pa.ipc.open_stream(block["ids"]).read_all().column("id").combine_chunks()
     sizes, digest = np.frombuffer(block["sizes"], np.int64), np.frombuffer(block["digests"], np.uint8).reshape(-1, 16)
-    join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in right.column(c).to_pylist())])
+
+    def join(column, kind):
+        return np.concatenate([np.zeros(0, kind), *(_unplaned(x, kind) for x in right.column(column).to_pylist())])
+
     singles = np.bincount(join("singles", np.uint16), minlength=sizes.size)
-    # Hashes of no other text are missing from every partner.
-    open_ = sizes - singles >= -(-ABOVE * sizes // BELOW)
-    shared, sharers = join("shared", np.uint64), join("sharers", np.uint16)
-    keep = open_[sharers] if sharers.size else np.zeros(0, bool)
-    shared, sharers = shared[keep], sharers[keep]
-    order = np.argsort(sharers, kind="stable")
+    shared, sharers, ranks = join("shared", np.uint64), join("sharers", np.uint16).astype(np.int64), join("ranks", np.uint8)
+    spare = _spare(sizes)
+    in_region = singles + np.bincount(sharers[shared < REGION], minlength=sizes.size)
+    room = np.where(singles > spare, 0, np.where(in_region <= spare, shared.size, spare + 1 - singles))
+    order = np.lexsort((shared, ranks, sharers))
+    shared, sharers = shared[order], sharers[order]
     counts = np.bincount(sharers, minlength=sizes.size)
+    place = np.arange(shared.size) - np.repeat(np.cumsum(counts) - counts, counts)
+    keep = place < room[sharers]
+    counts = np.bincount(sharers[keep], minlength=sizes.size)
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shared[order].view(np.int64)))
+    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shared[keep].view(np.int64)))
     return pa.table(
         {
             "id": ids, "n": pa.array(sizes),
@@ -281,12 +299,12 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     smallest id; a group of null ids only has a null component. Rows of one id but different texts
     are texts of their own. Shingles are compared by 64-bit hashes.
 
-    Exactness: equal sets are one node. By order of hash, similar sets share one of the smallest
-    quarter of their hashes (the prefix), so texts that share no prefix hash never meet. A text
-    with over a quarter of its set in hashes that no other text has, counted in the region, has no
-    partner. Where texts share a prefix hash, each is first compared with the smallest of them;
-    after that, whatever is still in different groups is compared too. So links within a group
-    that is already connected need not be looked at, and no pair is left out.
+    Exactness: equal sets are one node. A set misses at most a quarter of its hashes in a partner.
+    So with its hashes in one order for all texts, rare ones first, it shares one of its first
+    quarter (its prefix) with every partner, and a text with over a quarter in hashes of no other
+    text has none. Where texts share a prefix hash, each is first compared with the smallest of
+    them; after that, whatever is still in different groups is compared too. So links within a
+    group that is already connected need not be looked at, and no pair is left out.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
