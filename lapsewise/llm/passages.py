@@ -18,8 +18,8 @@ from lapsewise.session import freeze
 WINDOW, ANCHOR = 35, 8
 #: Words of the segments that one automaton is built for and run over.
 SHARD_WORDS = 1_000_000
-#: Beyond so many places with one anchor, windows are counted by sums instead of in one task.
-HOT_PLACES = 10_000
+#: Beyond so many runs with one anchor, windows are counted by sums instead of in one task.
+HOT_RUNS = 10_000
 _SURROGATES = 0xD800
 
 
@@ -159,11 +159,11 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 )
 
     runs, _ = freeze(docs.select("k1", "k2", "text").mapInArrow(anchors, "anchor bigint, k1 bigint, k2 bigint, start int, windows int, places int"))
-    again, _ = freeze(runs.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1"))
+    again, _ = freeze(runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("runs")).where("places > 1"))
     wanted = (
-        runs.drop("places").join(again, "anchor")
+        runs.select("anchor", "k1", "k2", "start", "windows").join(again.select("anchor", (F.col("runs") > HOT_RUNS).alias("hot")), "anchor")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("start", "windows", "anchor", (F.col("places") > HOT_PLACES).alias("hot"))).alias("runs"))
+        .agg(F.collect_set(F.struct("start", "windows", "anchor", "hot")).alias("runs"))
         .withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     )
     chosen = docs.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select(*docs.columns, "runs")
@@ -193,7 +193,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     ranges = "k1 bigint, k2 bigint, begin bigint, stop bigint"
     parts = chosen.mapInArrow(segments(False), schema).repartition("anchor").sortWithinPartitions("anchor")
     found = parts.mapInArrow(_locate(window), ranges)
-    if again.where(F.col("places") > HOT_PLACES).limit(1).count():
+    if again.where(F.col("runs") > HOT_RUNS).limit(1).count():
         windows = chosen.mapInArrow(segments(True), schema)
         windows, _ = freeze(windows.select("segment", "k1", "k2", "start"))
         twice, _ = freeze(windows.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("segment"))

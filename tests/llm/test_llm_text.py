@@ -252,7 +252,7 @@ def test_passages_of_messy_documents(spark):
 
 
 def test_passages_at_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(passages, "HOT_PLACES", 2)
+    monkeypatch.setattr(passages, "HOT_RUNS", 2)
     check_passages(documents(spark, repeating(9)))
 
 
