@@ -3,9 +3,9 @@
 A plain ``Window.orderBy`` without partition, or partitioned by a key that holds a large part
 of the rows, sorts that part in a single task. Here the rows are range-partitioned by
 (group, order), frozen, and numbered inside each range; only one summary row per range is
-ordered globally. The plain window is used for up to ``SINGLE_TASK_ROWS`` rows, a number that
-is counted and never estimated: the caller passes a proven bound ``at_most`` (say, the size of
-the customer table for one row per customer), or the rows are frozen and counted here.
+ordered globally. The plain window, which gives the same rows, is a plan for up to
+``SINGLE_TASK_ROWS`` rows: only where the caller passes a proven bound ``at_most`` (say, the size
+of the customer table for one row per customer). Tests compare both on nulls and ties.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from lapsewise.session import freeze
 
 SINGLE_TASK_ROWS = 200_000
 ROWS_PER_RANGE = 2_000_000
+# One summary row per range is broadcast up to this many ranges, and joined by shuffling beyond.
+BROADCAST_RANGES = 100_000
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -46,24 +48,13 @@ def global_rank(
     column in ``sums``, the inclusive running sum ``run_<column>`` and the group's ``all_<column>``.
 
     ``order`` must be a total order within a group. Summed columns must be exact (integer or
-    decimal).
+    decimal). NULL adds nothing; a running sum is NULL until the group's first value, as with a
+    plain window, and ``all_`` is NULL for a group without any.
     """
-    df, rows = settle(df, at_most, single_task_rows)
-    return _numbered(df, order, by, sums, rows, single_task_rows)
-
-
-def _numbered(
-    df: DataFrame,
-    order: Sequence[Column],
-    by: Sequence[str],
-    sums: Sequence[str],
-    rows: int,
-    single_task_rows: int | None,
-) -> DataFrame:
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    if rows <= limit:
+    if at_most is not None and at_most <= limit:
         return _plain(df, order, by, sums)
-    return _ranged(df, order, by, sums, rows)
+    return _ranged(df, order, by, sums, at_most)
 
 
 def _plain(df: DataFrame, order: Sequence[Column], by: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -80,58 +71,71 @@ def _plain(df: DataFrame, order: Sequence[Column], by: Sequence[str], sums: Sequ
 
 
 def _ranged(
-    df: DataFrame, order: Sequence[Column], by: Sequence[str], sums: Sequence[str], rows: int
+    df: DataFrame,
+    order: Sequence[Column],
+    by: Sequence[str],
+    sums: Sequence[str],
+    at_most: int | None = None,
 ) -> DataFrame:
     spark = df.sparkSession
     ranges = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_RANGE)
+        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((at_most or 0) / ROWS_PER_RANGE)
     )
     keys = [*[F.col(c).asc() for c in by], *order]
     # Frozen, since the range number of a row must never change once offsets are derived from it.
-    placed, _ = freeze(
+    placed, rows = freeze(
         df.repartitionByRange(ranges, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     )
     placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    # Per summed column its values, NULL as 0, and how many there are.
+    zero = {c: F.lit(0).cast(df.schema[c].dataType) for c in sums}
+    placed = placed.select(
+        "*",
+        *[F.coalesce(F.col(c), zero[c]).alias(f"_v_{c}") for c in sums],
+        *[F.col(c).isNotNull().cast("bigint").alias(f"_k_{c}") for c in sums],
+    )
+    parts = [f"_{kind}_{c}" for c in sums for kind in ("v", "k")]
     # At most one row per range.
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy("_range").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{c}") for c in sums]
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(x).alias(f"_sum{x}") for x in parts]
     )
     offsets = totals.select(
         "_range",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        *[
-            F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}")
-            for c in sums
-        ],
-        *[F.sum(f"_sum_{c}").over(W.partitionBy()).alias(f"_all_{c}") for c in sums],
+        *[F.coalesce(F.sum(f"_sum{x}").over(before), F.lit(0)).alias(f"_base{x}") for x in parts],
+        *[F.sum(f"_sum{x}").over(W.partitionBy()).alias(f"_all{x}") for x in parts],
     )
+    if ranges <= BROADCAST_RANGES:
+        offsets = F.broadcast(offsets)
     if sums:
         inside = W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
-        placed = placed.select("*", *[F.sum(c).over(inside).alias(f"_in_{c}") for c in sums])
-    numbered = placed.join(F.broadcast(offsets), "_range").select(
+        placed = placed.select("*", *[F.sum(x).over(inside).alias(f"_in{x}") for x in parts])
+    numbered = placed.join(offsets, "_range").select(
         *df.columns,
         (F.col("_offset") + F.col("_at").bitwiseAND(F.lit(_LOW_BITS)) + 1).alias("_global"),
-        *[(F.col(f"_in_{c}") + F.col(f"_base_{c}")).alias(f"_run_{c}") for c in sums],
-        *[f"_all_{c}" for c in sums],
+        *[(F.col(f"_in{x}") + F.col(f"_base{x}")).alias(f"_run{x}") for x in parts],
+        *[f"_all{x}" for x in parts],
+        *parts,
     )
+
+    def present(count: str, total: str) -> Column:
+        return F.when(F.col(count) > 0, F.col(total))
+
     if not by:
         return numbered.select(
             *df.columns,
             F.col("_global").alias("rn"),
             F.lit(rows).cast("bigint").alias("rn_rows"),
-            *[F.col(f"_run_{c}").alias(f"run_{c}") for c in sums],
-            *[F.col(f"_all_{c}").alias(f"all_{c}") for c in sums],
+            *[present(f"_run_k_{c}", f"_run_v_{c}").alias(f"run_{c}") for c in sums],
+            *[present(f"_all_k_{c}", f"_all_v_{c}").alias(f"all_{c}") for c in sums],
         )
     starts = numbered.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
         (F.min("_global") - 1).alias("_start"),
         F.count(F.lit(1)).alias("rn_rows"),
-        *[
-            F.min_by(F.col(f"_run_{c}") - F.coalesce(c, F.lit(0)), "_global").alias(f"_start_{c}")
-            for c in sums
-        ],
+        *[F.min_by(F.col(f"_run{x}") - F.col(x), "_global").alias(f"_start{x}") for x in parts],
         *[F.sum(c).alias(f"all_{c}") for c in sums],
     )
     # As a table of known size: few groups are broadcast, and the rows are not shuffled by group.
@@ -141,7 +145,12 @@ def _ranged(
         *df.columns,
         (F.col("_global") - F.col("_start")).alias("rn"),
         "rn_rows",
-        *[(F.col(f"_run_{c}") - F.col(f"_start_{c}")).alias(f"run_{c}") for c in sums],
+        *[
+            F.when(
+                F.col(f"_run_k_{c}") > F.col(f"_start_k_{c}"), F.col(f"_run_v_{c}") - F.col(f"_start_v_{c}")
+            ).alias(f"run_{c}")
+            for c in sums
+        ],
         *[f"all_{c}" for c in sums],
     )
 

@@ -41,6 +41,43 @@ def test_ranges_equal_plain_window(skewed, by):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("by", [(), ("grp",)])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["a", "b", None]), st.none() | st.integers(-3, 3), st.none() | st.integers(-5, 5)),
+        max_size=40,
+    )
+)
+def test_nulls_in_ranked_and_summed_columns(spark, by, data):
+    """NULL adds nothing: at the start of a range, of a group, or of everything."""
+    made = [(i, *r) for i, r in enumerate(data)]
+    df = spark.createDataFrame(made, "id bigint, grp string, value bigint, amount bigint").repartition(4)
+    order = [F.col("value").desc(), F.col("id")]
+    got = ranking.global_rank(df, order, by, ["amount"], single_task_rows=0)
+    want = ranking.global_rank(df, order, by, ["amount"], at_most=40)
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("by", [(), ("grp",)])
+def test_a_range_may_begin_with_nulls(spark, by):
+    made = [(i, "g" if i < 900 else "h", i, None if i % 100 < 60 else i) for i in range(1200)]
+    df = spark.createDataFrame(made, "id bigint, grp string, value bigint, amount bigint").repartition(4)
+    got = ranking.global_rank(df, [F.col("id")], by, ["amount"], single_task_rows=0)
+    assert rows(got) == rows(ranking.global_rank(df, [F.col("id")], by, ["amount"], at_most=1200))
+
+
+def test_nan_is_the_largest_value(spark):
+    made = [(i, float("nan") if i % 7 == 0 else float(i % 5), 1) for i in range(300)]
+    df = spark.createDataFrame(made, "id bigint, value double, amount bigint").repartition(4)
+    order = [F.col("value"), F.col("id")]
+    got, want = (
+        {r["id"]: (r["rn"], r["run_amount"]) for r in ranking.global_rank(df, order, (), ["amount"], at_most=n, single_task_rows=k).collect()}
+        for n, k in ((None, 0), (300, None))
+    )
+    assert got == want
+
+
 def test_ranges_are_balanced(skewed):
     """No range holds much more than its part, though one group and one value dominate."""
     order = [F.col("value"), F.col("id")]
