@@ -8,32 +8,42 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lapsewise.operators.serving import lookup
+from lapsewise.session import freeze
 from lapsewise.sources import SCHEMAS
 
 
-def event_stream(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None
-) -> DataFrame:
-    """Event files as a stream, oldest first. Event time gets the session zone (UTC), which
-    watermarks need."""
-    reader = spark.readStream.schema(StructType.fromDDL(SCHEMAS["events"])).option(
-        "pathGlobFilter", pattern
-    )
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+#: Files of a batch, so that a long history does not become one batch.
+FILES_PER_BATCH = 1_000
+
+
+def event_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The event table at ``path``, a file or a folder of part files, as a stream, oldest first.
+    Event time gets the session zone (UTC), which watermarks need."""
+    reader = spark.readStream.schema(StructType.fromDDL(SCHEMAS["events"]))
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # As a pattern, since a stream takes a plain path for a folder only.
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def activity_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Events and value per customer and day, repeats removed, rows later than ``delay`` dropped."""
+    """Events and value per customer and day, repeats removed, rows later than ``delay`` dropped.
+
+    A value beyond its type is left out of the sum and counted in ``bad_values``; it does not end
+    the stream.
+    """
+    return _per_day(events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]))
+
+
+def _per_day(events: DataFrame) -> DataFrame:
+    value = F.col("value").try_cast("decimal(18,2)")
     return (
-        events.withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .groupBy(F.window("ts", "1 day"), "user_id")
+        events.groupBy(F.window("ts", "1 day"), "user_id")
         .agg(
             F.count(F.lit(1)).alias("events"),
             F.count_if(F.col("event_type") == "purchase").alias("purchases"),
-            F.sum(F.col("value").cast("decimal(18,2)")).alias("value"),
+            F.sum(value).alias("value"),
+            F.count_if(F.col("value").isNotNull() & value.isNull()).alias("bad_values"),
         )
         .select(
             F.col("window.start").alias("day_start"),
@@ -41,10 +51,21 @@ def activity_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
             "events",
             "purchases",
             "value",
+            "bad_values",
         )
     )
 
 
+def open_activity(events: DataFrame, delay: str = "2 days") -> DataFrame:
+    """The days that ``activity_stream`` has not closed yet, from the stored events as a batch.
+
+    With the closed days they are every event's day. Only the days since the watermark are read.
+    """
+    last = events.select(F.max("ts").alias("last")).scalar()
+    since = F.date_trunc("day", last - F.expr(f"interval {delay}"))
+    return _per_day(events.where(F.col("ts") >= since).dropDuplicates(["event_id"]))
+
+
 def write_activity(activity: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed days to a parquet table and stop when the input is used up."""
     return (
@@ -77,9 +98,9 @@ def score_stream(events: DataFrame, scores: DataFrame, path: str, checkpoint: st
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        score_events(batch, scores).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        # The batch is used twice; it is written, since cached blocks go with their executor.
+        rows, _ = freeze(batch)
+        score_events(rows, scores).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write)

@@ -51,6 +51,38 @@ def test_days_close_late_rows_drop_and_repeats_count_once(spark, folder):
     ]
 
 
+def test_a_table_is_a_file_or_a_folder(spark, folder):
+    events = sources.load(spark, SMALL, "events")
+    events.repartition(3).write.parquet(f"{folder}/events.parquet")
+    for path in (f"{folder}/events.parquet", f"{SMALL}/events.parquet"):
+        out = work_path(spark, "counted")
+        stream = streaming.event_stream(spark, path, files_per_batch=1)
+        stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(f"{out}/data").count() == events.count() > 0
+
+
+def test_a_value_beyond_its_type_is_counted(spark, folder):
+    out = work_path(spark, "activity")
+    put(spark, folder, [(1, 1, 7, "purchase", 2.5), (2, 2, 7, "view", 1e30), (3, 3, 7, "view", None)])
+    run(spark, folder, out)
+    put(spark, folder, [(4, 200, 7, "click", 1.0)])
+    run(spark, folder, out)
+    got = spark.read.parquet(f"{out}/data")
+    assert rows(got, "customer_id", "events", F.col("value").cast("double"), "bad_values") == [(7, 3, 2.5, 1)]
+
+
+def test_closed_and_open_days_hold_every_event(spark, folder):
+    out = work_path(spark, "activity")
+    put(spark, folder, [(1, 1, 7, "purchase", 2.5), (2, 30, 8, "view", 1.0)])
+    put(spark, folder, [(3, 50, 8, "view", 1.0), (3, 50, 8, "view", 1.0), (4, 99, 7, "view", 1.0)])
+    run(spark, folder, out)
+    stored = spark.read.schema(sources.SCHEMAS["events"]).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    whole = spark.read.parquet(f"{out}/data").unionByName(streaming.open_activity(stored, "1 day"))
+    assert rows(whole, F.date_format("day_start", "yyyy-MM-dd"), "customer_id", "events") == [
+        ("2024-01-01", 7, 1), ("2024-01-02", 8, 1), ("2024-01-03", 8, 1), ("2024-01-05", 7, 1),
+    ]
+
+
 def test_ordered_files_equal_batch_on_closed_days(spark, folder):
     events = sources.load(spark, SMALL, "events")
     for part in range(4):
