@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
@@ -10,14 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import at, money, percent_bucket
+from lapsewise.functions import as_date, at, money, percent_bucket
 from lapsewise.operators.ranking import global_rank
 from lapsewise.sources import save
 
 
-SHORT_LIST = 10_000
-
-
 @dataclass(frozen=True)
 class Campaign:
     """``rule`` is a predicate over the scored customers; the lowest ``priority`` goes first."""
@@ -29,20 +27,27 @@ class Campaign:
     cap: Decimal
 
 
-def eligible(scored: DataFrame, campaigns: Sequence[Campaign]) -> DataFrame:
-    """One row per (customer, campaign whose rule holds), in one pass over the customers."""
+def _offers(campaigns: Sequence[Campaign]) -> Column:
+    """The campaigns whose rule holds, ordered by priority and name when compared."""
     offers = [
         F.when(
             F.expr(c.rule),
             F.struct(
-                F.lit(c.campaign_id).alias("campaign_id"),
                 F.lit(c.priority).alias("priority"),
+                F.lit(c.campaign_id).alias("campaign_id"),
                 F.lit(c.unit_cost).cast("decimal(18,2)").alias("cost"),
             ),
         )
         for c in campaigns
     ]
-    return scored.select("*", F.inline(F.array_compact(F.array(*offers))))
+    return F.array_compact(F.array(*offers))
+
+
+def eligible(scored: DataFrame, campaigns: Sequence[Campaign]) -> DataFrame:
+    """One row per (customer, campaign whose rule holds), in one pass over the customers."""
+    return scored.select("*", F.explode(_offers(campaigns)).alias("_offer")).select(
+        *scored.columns, "_offer.campaign_id", "_offer.priority", "_offer.cost"
+    )
 
 
 def suppress(candidates: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -56,18 +61,17 @@ def recent_buyers(purchases: DataFrame, day, days: int) -> DataFrame:
     return recent.select("customer_id").distinct().withColumn("reason", F.lit("recent_purchase"))
 
 
-def assign(candidates: DataFrame, value: str = "value_at_risk") -> DataFrame:
-    """Keep one campaign per customer: lowest priority, then highest value, then name.
+def assign(scored: DataFrame, campaigns: Sequence[Campaign]) -> DataFrame:
+    """The best offer of every customer with one: lowest priority, then campaign name.
 
-    A minimum per customer combines map-side, where a row number would sort every candidate.
+    All offers of a customer arise in the customer's own row, so the best is taken there, without
+    a shuffle. ``scored`` has one row per customer; suppress customers before.
     """
-    rest = [c for c in candidates.columns if c not in ("customer_id", "priority", value, "campaign_id")]
-    best = F.min_by(
-        F.struct("priority", value, "campaign_id", *rest),
-        F.struct("priority", (-F.col(value)).alias("_v"), "campaign_id"),
+    best = F.array_min(_offers(campaigns))
+    return scored.withColumn("_best", best).where("_best is not null").select(
+        *scored.columns, F.col("_best.campaign_id").alias("campaign_id"),
+        F.col("_best.priority").alias("priority"), F.col("_best.cost").alias("cost"),
     )
-    picked = candidates.groupBy("customer_id").agg(best.alias("_best"))
-    return picked.select("customer_id", "_best.*").select(*candidates.columns)
 
 
 def top_k(
@@ -80,11 +84,12 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` highest values per group, with ``place``.
 
-    For a short list each task keeps only k rows per group before the shuffle. A long one goes
-    through the global ranking, so that no task has to hold the whole list of a group.
+    While Spark limits a window to k rows per group in each task before the shuffle, which it does
+    below ``spark.sql.optimizer.windowGroupLimitThreshold``, that is the plan. A longer list goes
+    through the global ranking, so that no task has to sort a whole group.
     """
     order = [F.col(value).desc(), F.col("customer_id")]
-    if k > SHORT_LIST:
+    if k >= int(candidates.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         ranked = global_rank(candidates, order, by, (), at_most, single_task_rows)
         return ranked.where(F.col("rn") <= k).select(*candidates.columns, F.col("rn").alias("place"))
     place = F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint")
@@ -141,6 +146,11 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.groupBy("customer_id").agg(side.alias("side"))
 
 
-def export(campaign_list: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder per campaign."""
-    save(campaign_list, path, ("campaign_id",), fmt)
+def export(campaign_list: DataFrame, path: str, day: str | dt.date, fmt: str = "parquet") -> str:
+    """One folder per day, and in it one per campaign; returns the day's folder.
+
+    A day's folder is replaced as a whole: a campaign without candidates leaves nothing behind.
+    """
+    folder = f"{path.rstrip('/')}/day={as_date(day)}"
+    save(campaign_list, folder, ("campaign_id",), fmt, whole=True)
+    return folder

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def predictions(history: DataFrame) -> DataFrame:
-    """The latest row per customer of a (snapshot, customer) history."""
-    rest = [c for c in history.columns if c not in ("customer_id", "snapshot")]
-    latest = F.max_by(F.struct("snapshot", *rest), "snapshot")
-    return (
-        history.groupBy("customer_id").agg(latest.alias("_row")).select("customer_id", "_row.*")
-    )
+def predictions(history: DataFrame, key: Sequence[str] = ("customer_id",)) -> DataFrame:
+    """The latest row per ``key`` (say, customer and model) of a history with ``snapshot``.
+
+    Rows that share a snapshot are ordered by their other columns, so the answer is fixed.
+    """
+    rest = [c for c in history.columns if c not in (*key, "snapshot")]
+    latest = F.max(F.struct("snapshot", *rest))
+    return history.groupBy(*key).agg(latest.alias("_row")).select(*key, "_row.*")
 
 
 def lookup(predicted: DataFrame, requests: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
-from support import rows
+from support import plan_text, rows
 
 from lapsewise.operators import campaigns as C
 from lapsewise.operators import risk, segments, serving
+from lapsewise.session import work_path
 
 OFFERS = [
     C.Campaign("a", "v >= 20", 2, Decimal("3.00"), Decimal("9.00")),
@@ -30,8 +31,9 @@ def test_budget_is_reached_and_never_exceeded(scored, limit):
 
 
 def test_assign_suppress_and_split(scored, spark):
-    candidates = C.eligible(scored, OFFERS)
-    assigned = C.assign(candidates, "v")
+    assigned = C.assign(scored, OFFERS)
+    assert "Exchange" not in plan_text(assigned) and "Aggregate" not in plan_text(assigned)
+    assert assigned.columns == C.eligible(scored, OFFERS).columns
     assert rows(assigned, "customer_id", "campaign_id") == [(1, "b"), (2, "b"), (3, "b"), (4, "a"), (5, "a"), (6, "a")]
     out = spark.createDataFrame([(4, "opted_out"), (4, "contacted"), (9, "opted_out")], "customer_id bigint, reason string")
     assert rows(C.suppress(assigned, out), "customer_id") == [(1,), (2,), (3,), (5,), (6,)]
@@ -42,12 +44,36 @@ def test_assign_suppress_and_split(scored, spark):
     assert control == rows(C.holdout(many.repartition(3), 10).where("arm = 'control'"), "customer_id")
 
 
-def test_long_top_list_equals_short(scored, monkeypatch):
+def test_long_top_list_equals_short(scored, spark):
     candidates = C.eligible(scored, OFFERS)
     short = rows(C.top_k(candidates, 2, ("campaign_id",), "v"))
-    monkeypatch.setattr(C, "SHORT_LIST", 1)
-    assert rows(C.top_k(candidates, 2, ("campaign_id",), "v", single_task_rows=0)) == short
     assert len(short) == 4
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 1)
+    try:
+        assert rows(C.top_k(candidates, 2, ("campaign_id",), "v", single_task_rows=0)) == short
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("k", [10, 999, 1_000, 5_000])
+def test_no_task_sorts_a_whole_group_for_a_top_list(scored, k):
+    plan = plan_text(C.top_k(C.eligible(scored, OFFERS), k, ("campaign_id",), "v", single_task_rows=0))
+    assert ("WindowGroupLimit" in plan) == (k < 1_000)
+    assert k < 1_000 or "_global" in plan
+
+
+def test_export_leaves_no_list_of_an_earlier_run(scored, spark):
+    path = work_path(spark, "lists")
+    listed = C.eligible(scored, OFFERS)
+    first = C.export(listed, path, "2001-02-01")
+    again = C.export(listed.where("campaign_id = 'b'"), path, "2001-02-01")
+    assert first == again
+    assert rows(spark.read.parquet(again).select("campaign_id").distinct()) == [("b",)]
+    other = C.export(listed.where("campaign_id = 'a'"), path, "2001-02-02")
+    assert rows(spark.read.parquet(other).select("campaign_id").distinct()) == [("a",)]
+    assert rows(spark.read.parquet(again).select("campaign_id").distinct()) == [("b",)]
 
 
 def test_reason_text(spark):
