@@ -131,15 +131,23 @@ def reliability(
 
 
 def fit_calibration(
-    scored: DataFrame, score: str = "probability", label: str = "churned"
+    scored: DataFrame, score: str = "probability", label: str = "churned", cells: int = 10_000
 ) -> IsotonicRegressionModel:
     """Isotonic map from score to observed rate.
 
-    The fit pools its points in one task, so it gets at most 10,001 of them: the weighted mean
-    per score rounded to four digits.
+    The fit pools its points in one task, so scores are gathered in at most ``cells`` cells of
+    about equal numbers of rows; a cell's point has the weighted mean score and rate. Equal scores
+    share a cell, and up to ``cells`` rows every distinct score is a point of its own. Crowded
+    scores keep their resolution, as cells follow the rows.
     """
-    cells = scored.groupBy(F.round(score, 4).alias("_x")).agg(
-        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
+    points = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("_s")).agg(
+        F.sum(F.col(label).cast("bigint")).alias("_ones"), F.count(F.lit(1)).alias("_n")
+    )
+    ranked = global_rank(points, [F.col("_s")], (), ["_n"])
+    cell = F.floor((F.col("run__n") - F.col("_n")) * cells / F.col("all__n"))
+    weight = F.sum("_n").cast("double")
+    cells = ranked.groupBy(cell.alias("_cell")).agg(
+        (F.sum(F.col("_s") * F.col("_n")) / weight).alias("_x"), (F.sum("_ones") / weight).alias("_y"), weight.alias("_w")
     )
     return IsotonicRegression(
         featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_calibrated"

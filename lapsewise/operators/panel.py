@@ -30,10 +30,9 @@ from lapsewise.operators.features import (
 
 def _first_after(day: Column, snaps: Sequence[dt.date]) -> Column:
     """Index of the first snapshot later than ``day``; NULL when there is none."""
-    pick = F.lit(None).cast("int")
-    for i in reversed(range(len(snaps))):
-        pick = F.when(day < F.lit(snaps[i]), F.lit(i)).otherwise(pick)
-    return pick
+    # One constant array, so that the expression stays flat for any number of snapshots.
+    passed = F.size(F.filter(F.array(*[F.lit(s) for s in snaps]), lambda s: s <= day))
+    return F.when(passed < len(snaps), passed)
 
 
 def _by_slot() -> WindowSpec:

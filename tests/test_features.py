@@ -104,3 +104,13 @@ def test_imputation_and_scaling_use_training_rows_only(spark):
     assert [round(r[1], 6) for r in rows(scaled.where("customer_id in (1, 2)"))] == [-0.707107, 0.707107]
     constant = features.standardize(df, ["x"], features.moments(df.where("customer_id = 1"), ["x"]))
     assert constant.where("x is not null").count() == 0
+
+
+def test_a_thousand_snapshots(spark):
+    first = dt.date(2000, 1, 1)
+    days = [first + dt.timedelta(days=n) for n in range(1000)]
+    p = purchases(spark, [(1, 1, "2000-01-05", 2.0), (1, 2, "2000-03-01", 3.0), (2, 3, "2002-01-01", 1.0)])
+    got = panel(p, days, 30).select("snapshot", "customer_id", "recency", "churned")
+    assert got.where("customer_id = 1").count() == 1000 - 5
+    row = got.where("customer_id = 1 and snapshot = date'2000-03-02'").first()
+    assert (row["recency"], row["churned"]) == (1, 1)

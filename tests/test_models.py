@@ -125,6 +125,15 @@ def test_calibration_is_monotone_and_unbiased(planted, logistic):
     assert sum(values) == pytest.approx(sum(r["churned"] for r in done), rel=0.02)
 
 
+def test_calibration_keeps_crowded_scores_apart(spark):
+    """All scores within a hundred-thousandth, and the rate rises along them."""
+    made = [(0.5 + i * 1e-9, int(i % 10 < i // 1000)) for i in range(10_000)]
+    scored = spark.createDataFrame(made, "probability double, churned int")
+    done = evaluation.calibrate(scored, evaluation.fit_calibration(scored, cells=50))
+    low, high = done.agg(F.min("calibrated"), F.max("calibrated")).first()
+    assert low < 0.1 and high > 0.8
+
+
 def test_encode_puts_unseen_values_last(spark):
     train = spark.createDataFrame([(1, "b"), (2, "a")], "customer_id bigint, s string")
     df = spark.createDataFrame([(1, "b"), (3, "zz")], "customer_id bigint, s string")
