@@ -23,7 +23,6 @@ QUERIES: dict[str, Query] = {}
 
 LINEAR_WEIGHTS = {"recency": 0.004, "frequency": -0.08, "monetary": -0.0000005, "tenure": 0.0002}
 CLUSTER_COLUMNS = ("recency", "frequency", "monetary")
-ORDER_COLUMNS = ("recency", "frequency", "monetary", "mean_gap", "max_gap", "spend_365", "spend_slope")
 
 
 def query(fn: Query) -> Query:
@@ -97,7 +96,7 @@ def d1_load_parquet(spark, folder):
 def _round_trip(spark, folder, table, fmt):
     path = work_path(spark, "load")
     S.save(S.load(spark, folder, table), f"{path}/{table}.{fmt}", fmt=fmt)
-    return S.load(spark, path, table, fmt).where(F.col(S.CORRUPT).isNull()).drop(S.CORRUPT)
+    return S.load(spark, path, table, fmt).withColumn("corrupt", F.col(S.CORRUPT).isNotNull()).drop(S.CORRUPT)
 
 
 @query
@@ -149,9 +148,10 @@ def d4_fk_check(spark, folder):
     return quality.fk_check(orders, "o_custkey", users, "user_id")
 
 
-def _solvent(spark, folder):
-    """Customers with a non-negative balance: stands for a table that lacks some records."""
-    return S.customers(spark, folder).where("balance >= 0")
+def _known(spark, folder):
+    """Customers that raised an event: records of another table, which lacks some."""
+    seen = S.load(spark, folder, "events").select(F.col("user_id").alias("customer_id")).distinct()
+    return S.customers(spark, folder).join(seen, "customer_id", "left_semi")
 
 
 def _purchase_rows(df):
@@ -164,20 +164,20 @@ def _purchase_rows(df):
 @query
 def d5_missing_drop(spark, folder):
     return _purchase_rows(
-        quality.handle_missing(S.purchases(spark, folder), _solvent(spark, folder), "drop")
+        quality.handle_missing(S.purchases(spark, folder), _known(spark, folder), "drop")
     )
 
 
 @query
 def d5_missing_quarantine(spark, folder):
     return _purchase_rows(
-        quality.handle_missing(S.purchases(spark, folder), _solvent(spark, folder), "quarantine")
+        quality.handle_missing(S.purchases(spark, folder), _known(spark, folder), "quarantine")
     )
 
 
 @query
 def d5_missing_placeholder(spark, folder):
-    done = quality.handle_missing(S.purchases(spark, folder), _solvent(spark, folder), "placeholder")
+    done = quality.handle_missing(S.purchases(spark, folder), _known(spark, folder), "placeholder")
     return typed(
         done, customer_id="bigint", nation_id="double", market_segment="string", balance="double",
         placeholder="int",
@@ -516,7 +516,7 @@ def g5_profile(spark, folder):
 
 @query
 def g6_migration(spark, folder):
-    past, _ = freeze(churn.history(Inputs(spark, folder)))
+    past, _ = freeze(churn.history(Inputs(spark, folder), (SNAPSHOTS[0], SNAPSHOTS[-1])))
     first, last = (past.where(F.col("snapshot") == F.lit(s).cast("date")) for s in (SNAPSHOTS[0], SNAPSHOTS[-1]))
     done = segments.migration(first, last)
     return typed(done, segment_before="string", segment_after="string", customers="bigint")
@@ -544,6 +544,10 @@ def _eligible(spark, folder):
     return campaigns.eligible(_scored(spark, folder), CAMPAIGNS)
 
 
+def _assigned(spark, folder):
+    return campaigns.assign(_scored(spark, folder), CAMPAIGNS)
+
+
 @query
 def c1_eligible(spark, folder):
     return typed(_eligible(spark, folder), **CANDIDATE_TYPES)
@@ -557,27 +561,25 @@ def c2_suppress(spark, folder):
 
 @query
 def c3_assign(spark, folder):
-    return typed(campaigns.assign(_eligible(spark, folder)), **CANDIDATE_TYPES)
+    return typed(_assigned(spark, folder), **CANDIDATE_TYPES)
 
 
 @query
 def c4_top_k(spark, folder):
-    done = campaigns.top_k(campaigns.assign(_eligible(spark, folder)), 10)
+    done = campaigns.top_k(_assigned(spark, folder), 10)
     return typed(done, campaign_id="string", region="string", customer_id="bigint", place="bigint")
 
 
 @query
 def c5_budget(spark, folder):
     caps = {c.campaign_id: c.cap for c in CAMPAIGNS}
-    done = campaigns.budget(
-        campaigns.assign(_eligible(spark, folder)), caps, at_most=people_at_most(spark, folder)
-    )
+    done = campaigns.budget(_assigned(spark, folder), caps, at_most=people_at_most(spark, folder))
     return typed(done, campaign_id="string", customer_id="bigint", place="bigint", spent="double")
 
 
 @query
 def c6_holdout(spark, folder):
-    done = campaigns.holdout(campaigns.assign(_eligible(spark, folder)), 10)
+    done = campaigns.holdout(_assigned(spark, folder), 10)
     return typed(done, campaign_id="string", customer_id="bigint", arm="string")
 
 
@@ -603,8 +605,8 @@ def c8_overlap(spark, folder):
 @query
 def c9_export(spark, folder):
     path = work_path(spark, "export")
-    campaigns.export(churn.campaign_list(Inputs(spark, folder)), path)
-    return typed(spark.read.parquet(path), **LIST_TYPES)
+    day = campaigns.export(churn.campaign_list(Inputs(spark, folder)), path, DAY)
+    return typed(spark.read.parquet(day), **LIST_TYPES)
 
 
 # Evaluation
@@ -674,14 +676,6 @@ def _training(spark, folder):
     return table, table.where("split = 'train'"), table.where("split = 'test'")
 
 
-def _order_training(spark, folder):
-    """Order features and label only: enough for the smaller model queries."""
-    p = S.purchases(spark, folder)
-    rows = features.order_features(p, DAY).join(labels.churn_label(p, DAY, HORIZON), "customer_id")
-    table, _ = freeze(labels.split_by_key(rows))
-    return table, table.where("split = 'train'"), table.where("split = 'test'")
-
-
 SCORE_COLUMNS = ("customer_id", "churned", "probability", "margin", "predicted")
 
 
@@ -704,28 +698,28 @@ def m2_fit_logistic(spark, folder):
 @query
 def m3_fit_gbt(spark, folder):
     _, train, test = _training(spark, folder)
-    model = models.fit_gbt(train, churn.MODEL_COLUMNS, rounds=8, depth=3)
+    model = models.fit_gbt(train, churn.MODEL_COLUMNS)
     return models.score(model, test, churn.MODEL_COLUMNS).select(*SCORE_COLUMNS)
 
 
 @query
 def m4_tune(spark, folder):
-    _, train, _ = _order_training(spark, folder)
-    return models.tune(train, ORDER_COLUMNS, (0.001, 0.1))[1]
+    _, train, _ = _training(spark, folder)
+    return models.tune(train, churn.MODEL_COLUMNS, (0.0001, 0.001, 0.01, 0.1))[1]
 
 
 @query
 def m5_score(spark, folder):
-    table, train, _ = _order_training(spark, folder)
-    model = models.fit_logistic(train, ORDER_COLUMNS)
-    return models.score(model, table, ORDER_COLUMNS).select(*SCORE_COLUMNS)
+    table, train, _ = _training(spark, folder)
+    model = models.fit_logistic(train, churn.MODEL_COLUMNS)
+    return models.score(model, table, churn.MODEL_COLUMNS).select(*SCORE_COLUMNS)
 
 
 @query
 def m10_importance(spark, folder):
-    _, train, test = _order_training(spark, folder)
-    model = models.fit_logistic(train, ORDER_COLUMNS)
-    return models.importance(model, test, ORDER_COLUMNS)
+    _, train, test = _training(spark, folder)
+    model = models.fit_logistic(train, churn.MODEL_COLUMNS)
+    return models.importance(model, test, churn.MODEL_COLUMNS)
 
 
 def _contributions(spark, folder):
@@ -742,19 +736,17 @@ def m11_linear_contributions(spark, folder):
 
 @query
 def m11_explain_linear(spark, folder):
-    table, train, _ = _order_training(spark, folder)
-    model = models.fit_logistic(train, ORDER_COLUMNS)
-    return explain.explain_linear(model, table, ORDER_COLUMNS)
+    table, train, _ = _training(spark, folder)
+    model = models.fit_logistic(train, churn.MODEL_COLUMNS)
+    return explain.explain_linear(model, table, churn.MODEL_COLUMNS)
 
 
 @query
 def m12_explain_sampled(spark, folder):
-    table, train, _ = _order_training(spark, folder)
-    model = models.fit_logistic(train, ORDER_COLUMNS)
-    listed = churn.campaign_list(Inputs(spark, folder)).select("customer_id")
-    chosen = table.join(listed, "customer_id", "left_semi")
+    table, train, _ = _training(spark, folder)
+    model = models.fit_logistic(train, churn.MODEL_COLUMNS)
     return explain.explain_sampled(
-        model, chosen, ORDER_COLUMNS, explain.background(train, ORDER_COLUMNS, 8)
+        model, table.where("split = 'test'"), churn.MODEL_COLUMNS, explain.background(train, churn.MODEL_COLUMNS, 8)
     )
 
 
@@ -768,10 +760,10 @@ def m13_reasons(spark, folder):
 
 @query
 def m14_save_load(spark, folder):
-    table, train, _ = _order_training(spark, folder)
+    table, train, _ = _training(spark, folder)
     path = work_path(spark, "model")
-    models.save_model(models.fit_logistic(train, ORDER_COLUMNS), path)
-    return models.score(models.load_model(path), table, ORDER_COLUMNS).select(*SCORE_COLUMNS)
+    models.save_model(models.fit_logistic(train, churn.MODEL_COLUMNS), path)
+    return models.score(models.load_model(path), table, churn.MODEL_COLUMNS).select(*SCORE_COLUMNS)
 
 
 # Serving
@@ -808,7 +800,7 @@ def p2_lookup(spark, folder):
 def p3_score_stream(spark, folder):
     out = work_path(spark, "scored-events")
     scores, _ = freeze(_scored(spark, folder).select("customer_id", "risk", "band"))
-    stream = streaming.event_stream(spark, folder, "events.parquet")
+    stream = streaming.event_stream(spark, f"{folder}/events.parquet")
     streaming.score_stream(stream, scores, f"{out}/data", f"{out}/state").awaitTermination()
     done = spark.read.parquet(f"{out}/data")
     return typed(
@@ -820,13 +812,15 @@ def p3_score_stream(spark, folder):
 @query
 def p4_activity_stream(spark, folder):
     out = work_path(spark, "activity")
-    stream = streaming.event_stream(spark, folder, "events.parquet")
+    stream = streaming.event_stream(spark, f"{folder}/events.parquet")
     streaming.write_activity(
         streaming.activity_stream(stream), f"{out}/data", f"{out}/state"
     ).awaitTermination()
-    done = spark.read.parquet(f"{out}/data").withColumn("day", iso("day_start"))
+    stored = S.load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = spark.read.parquet(f"{out}/data").unionByName(streaming.open_activity(stored))
     return typed(
-        done, day="string", customer_id="bigint", events="bigint", purchases="bigint", value="double"
+        done.withColumn("day", iso("day_start")), day="string", customer_id="bigint", events="bigint",
+        purchases="bigint", value="double", bad_values="bigint",
     )
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from lapsewise import sources
 from lapsewise.functions import as_date
 from lapsewise.operators import campaigns as C
-from lapsewise.operators import features, labels, models, risk, segments
-from lapsewise.operators.evaluation import calibrate, fit_calibration
+from lapsewise.operators import explain, features, labels, models, risk, segments
+from lapsewise.operators.evaluation import auc, calibrate, fit_calibration, metrics
 from lapsewise.operators.facts import facts
 from lapsewise.operators.panel import panel
-from lapsewise.operators.quality import handle_missing
+from lapsewise.operators.quality import handle_missing, key_check
+from lapsewise.session import freeze
 
 DAY = "2001-02-01"
 HORIZON = 180
@@ -132,18 +133,24 @@ def campaign_list(
     day: str | dt.date = DAY,
     campaigns: Sequence[C.Campaign] = CAMPAIGNS,
     quiet_days: int = 14,
-    per_region: int = 40,
+    per_region: int | None = None,
     control_percent: int = 10,
     scored: DataFrame | None = None,
     single_task_rows: int | None = None,
 ) -> DataFrame:
-    """Eligible, not suppressed, one campaign each, best per region, within budget, held out."""
+    """Eligible, not suppressed, one campaign each, within budget, held out.
+
+    ``per_region`` cuts a campaign to its best customers of every region first; by default the
+    budget alone decides. ``reason`` explains the rule risk; customers scored otherwise are passed
+    as ``scored`` and get their reasons by ``with_reasons``.
+    """
+    ruled = scored is None
     if scored is None:
         scored = scored_customers(inputs, day, single_task_rows=single_task_rows)
-    candidates = C.suppress(
-        C.eligible(scored, campaigns), C.recent_buyers(inputs.purchases, day, quiet_days)
-    )
-    short = C.top_k(C.assign(candidates), per_region).drop("place")
+    quiet = C.suppress(scored, C.recent_buyers(inputs.purchases, day, quiet_days))
+    short = C.assign(quiet, campaigns)
+    if per_region is not None:
+        short = C.top_k(short, per_region).drop("place")
     caps: Mapping[str, Decimal] = {c.campaign_id: c.cap for c in campaigns}
     funded = C.budget(short, caps, "value_at_risk", inputs.population, single_task_rows)
     parts = {
@@ -151,12 +158,28 @@ def campaign_list(
         "frequency": 30 * (5 - F.col("f5")) / 4,
         "spend": 20 * (5 - F.col("m5")) / 4,
     }
+    reason = C.reason_text(parts) if ruled else F.lit(None).cast("string")
     return C.holdout(funded, control_percent).select(
         "campaign_id", "customer_id", "region", "segment", "band", "risk", "value_at_risk", "place",
-        "cost", "spent", "arm", C.reason_text(parts).alias("reason"),
+        "cost", "spent", "arm", reason.alias("reason"),
     )
 
 
+def with_reasons(listed: DataFrame, contributions: DataFrame, k: int = 2) -> DataFrame:
+    """``reason`` from contributions to the very score that put a customer on the list: the ``k``
+    largest ones, e.g. ``recency:0.213;frequency:-0.107``."""
+    told = (
+        explain.reasons(contributions, k)
+        .groupBy("customer_id")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "feature", "contribution"))).alias("_all"))
+    )
+    words = F.transform(
+        "_all", lambda s: F.concat(s["feature"], F.lit(":"), s["contribution"].cast("decimal(18,3)").cast("string"))
+    )
+    told = told.select("customer_id", F.array_join(words, ";").alias("reason"))
+    return listed.drop("reason").join(told, "customer_id", "left").select(*listed.columns)
+
+
 def run_batch(
     spark: SparkSession,
     folder: str,
@@ -164,37 +187,61 @@ def run_batch(
     day: str | dt.date = DAY,
     horizon: int = HORIZON,
     campaigns: Sequence[C.Campaign] = CAMPAIGNS,
+    per_region: int | None = None,
+    model_id: str = "gbt",
+    permutations: int = 16,
 ) -> dict[str, str]:
     """From stored tables to exported campaign lists; returns the paths written.
 
     The model learns on the snapshot one horizon earlier, whose labels are known at ``day``.
     Facts, both feature tables and the predictions are written and read back, so that a later
     stage never repeats an earlier one. Orders without a customer record are set aside in
-    ``quarantine``; the facts leave them out by their own join.
+    ``quarantine``; the facts leave them out by their own join. Rows with values that do not fit
+    their types are in ``rejected``, broken keys in ``key_faults``. A training snapshot whose label
+    window runs past the data is refused, since its labels would be wrong. ``evaluation`` has
+    the fitted model's measures on the test side, ``predictions`` are kept per snapshot and model,
+    and the campaigns' reasons explain the model's own score.
     """
     raw = Inputs(spark, folder)
-    names = ("quarantine", "facts", "train", "current", "predictions", "model", "campaigns")
+    names = (
+        "rejected", "key_faults", "quarantine", "facts", "train", "current", "evaluation", "predictions",
+        "model", "campaigns",
+    )
     paths = {n: f"{out.rstrip('/')}/{n}" for n in names}
+    earlier = as_date(day) - dt.timedelta(days=horizon)
+    if labels.guard(raw.purchases, [earlier], horizon).where("censored = 1").count():
+        raise ValueError(f"the orders end before {day}: labels of {earlier} are not known yet")
 
     def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         sources.save(df, paths[name], partition_by)
         return spark.read.parquet(paths[name])
 
+    aside = [sources.set_aside(spark, folder, table) for table in sources.MAPPINGS]
+    store(reduce(DataFrame.unionByName, aside), "rejected")
+    store(key_check(raw.purchases, ["order_id"]), "key_faults")
     store(handle_missing(raw.purchases, raw.customers, "quarantine"), "quarantine")
     full = facts(raw.purchases, raw.lines, raw.customers, raw.places)
     stored = store(full.withColumn("order_year", F.year("order_ts")), "facts", ("order_year",))
     inputs = raw.with_purchases(stored.select("order_id", "customer_id", "order_ts", "cents"))
-    earlier = as_date(day) - dt.timedelta(days=horizon)
     train = store(labels.split_by_key(training_table(inputs, earlier, horizon)), "train")
     current = store(feature_table(inputs, day), "current")
 
     model = models.fit_gbt(train.where("split = 'train'"), MODEL_COLUMNS)
     models.save_model(model, paths["model"])
-    curve = fit_calibration(models.score(model, train.where("split = 'test'"), MODEL_COLUMNS))
+    tested, _ = freeze(models.score(model, train.where("split = 'test'"), MODEL_COLUMNS))
+    measures = metrics(tested, (0.25, 0.5, 0.75)).withColumn("auc", auc(tested).select("auc").scalar())
+    store(measures.withColumn("model_id", F.lit(model_id)), "evaluation")
+    curve = fit_calibration(tested)
     raw_scores = models.score(model, current, MODEL_COLUMNS)
     scored = risk.risk_score(calibrate(raw_scores, curve), "calibrated")
     scored = risk.value_at_risk(risk.risk_band(segments.rule_segment(segments.rfm5(scored))))
-    scored = scored.withColumn("snapshot", F.lit(as_date(day)))
-    predicted = store(scored, "predictions", ("snapshot",))
-    C.export(campaign_list(inputs, day, campaigns, scored=predicted), paths["campaigns"])
+    scored = scored.withColumn("snapshot", F.lit(as_date(day))).withColumn("model_id", F.lit(model_id))
+    predicted = store(scored, "predictions", ("snapshot", "model_id")).where(
+        (F.col("snapshot") == F.lit(as_date(day))) & (F.col("model_id") == model_id)
+    )
+    listed, _ = freeze(campaign_list(inputs, day, campaigns, per_region=per_region, scored=predicted))
+    chosen = current.join(listed.select("customer_id"), "customer_id", "left_semi")
+    known = explain.background(train.where("split = 'train'"), MODEL_COLUMNS, permutations)
+    told = explain.explain_sampled(model, chosen, MODEL_COLUMNS, known)
+    C.export(with_reasons(listed, told), paths["campaigns"], day)
     return paths

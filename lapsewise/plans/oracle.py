@@ -206,7 +206,7 @@ funded AS (SELECT * FROM spending JOIN caps USING (campaign_id) WHERE spent <= c
 ARM = f"CASE WHEN {bucket('customer_id', 'holdout')} < 10 THEN 'control' ELSE 'contact' END"
 CANDIDATE_COLUMNS = f"campaign_id, customer_id, priority, {dbl('cost', 'value_at_risk')}"
 CAMPAIGN_LIST = with_(
-    *CANDIDATES, suppressed("candidates"), assigned("kept"), short(40), funded("short"),
+    *CANDIDATES, suppressed("candidates"), assigned("kept"), funded("assigned"),
     """parts AS (
   SELECT customer_id, 'recency' AS name, CAST(50 * (5 - r5) AS DOUBLE) / 4 AS v FROM funded
   UNION ALL SELECT customer_id, 'frequency', CAST(30 * (5 - f5) AS DOUBLE) / 4 FROM funded
@@ -229,7 +229,7 @@ def purchase_rows(source: str, where: str = "") -> str:
     )
 
 
-SOLVENT = "(SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"
+KNOWN = "(SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events))"
 VIOLATIONS = """violations AS (
   SELECT 'orders' AS "table", 'amount_in_range' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM orders
     WHERE NOT coalesce(o_totalprice BETWEEN 1000 AND 450000, false)
@@ -259,7 +259,7 @@ CONTRIBUTIONS = [
 # Isotonic fit by its max-min form: the greatest over starts of the least mean over ends.
 CALIBRATED = [
     *RULE_SCORES,
-    """cells AS (SELECT round(probability, 4) AS x, sum(churned) AS y, count(*) AS w FROM rule_scores GROUP BY 1),
+    """cells AS (SELECT probability AS x, sum(churned) AS y, count(*) AS w FROM rule_scores GROUP BY 1),
 blocks AS (
   SELECT i.x, a.x AS start, min(CAST(m.y AS DOUBLE) / m.w) AS least
   FROM cells i JOIN cells a ON a.x <= i.x
@@ -300,8 +300,8 @@ FEATURE_COLUMNS = ", ".join(
 
 ORACLE: dict[str, str] = {
     "d1_load_parquet": "SELECT * FROM customer",
-    "d1_load_csv": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders",
-    "d1_load_json": "SELECT * FROM part",
+    "d1_load_csv": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate), false AS corrupt FROM orders",
+    "d1_load_json": "SELECT *, false AS corrupt FROM part",
     "d2_conform": """SELECT o_orderkey AS order_id, o_custkey AS customer_id,
   strftime(o_orderdate, '%Y-%m-%d') AS order_day,
   CAST(TRY_CAST(o_totalprice AS DECIMAL(7,2)) AS DOUBLE) AS amount,
@@ -312,13 +312,13 @@ ORACLE: dict[str, str] = {
     + 'SELECT "table", rule, count(*) AS violations FROM violations GROUP BY 1, 2',
     "d4_fk_check": """SELECT o_custkey AS missing_key, count(*) AS "rows" FROM orders
   WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY 1""",
-    "d5_missing_drop": with_(PURCHASES) + purchase_rows("purchases", f"WHERE customer_id IN {SOLVENT}"),
+    "d5_missing_drop": with_(PURCHASES) + purchase_rows("purchases", f"WHERE customer_id IN {KNOWN}"),
     "d5_missing_quarantine": with_(PURCHASES)
-    + purchase_rows("purchases", f"WHERE customer_id NOT IN {SOLVENT}"),
+    + purchase_rows("purchases", f"WHERE customer_id NOT IN {KNOWN}"),
     "d5_missing_placeholder": f"""SELECT c_custkey AS customer_id, CAST(c_nationkey AS DOUBLE) AS nation_id,
   c_mktsegment AS market_segment, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance,
-  0 AS placeholder FROM customer WHERE c_acctbal >= 0
-  UNION ALL SELECT DISTINCT o_custkey, NULL, NULL, NULL, 1 FROM orders WHERE o_custkey NOT IN {SOLVENT}""",
+  0 AS placeholder FROM customer WHERE c_custkey IN {KNOWN}
+  UNION ALL SELECT DISTINCT o_custkey, NULL, NULL, NULL, 1 FROM orders WHERE o_custkey NOT IN {KNOWN}""",
     "d6_key_check": """SELECT l_orderkey, l_linenumber, count(*) AS "rows" FROM lineitem
   GROUP BY 1, 2 HAVING count(*) > 1""",
     "d7_save": with_(PURCHASES) + """SELECT customer_id, order_id, strftime(order_ts, '%Y-%m-%d') AS order_day,
@@ -509,9 +509,9 @@ FROM rule_scores GROUP BY 1""",
     "m1_assemble": with_(*BASE) + """SELECT customer_id, CAST(recency AS DOUBLE) AS recency,
   CAST(frequency AS DOUBLE) AS frequency, CAST(monetary AS DOUBLE) AS monetary FROM rfm""",
     "m9_calibrate": with_(*CALIBRATED) + """SELECT customer_id, probability, round(calibrated, 9) AS calibrated
-FROM rule_scores JOIN fitted ON x = round(probability, 4)""",
+FROM rule_scores JOIN fitted ON x = probability""",
     "r1_risk_score": with_(*CALIBRATED) + """SELECT customer_id, round(100 * calibrated, 2) AS risk
-FROM rule_scores JOIN fitted ON x = round(probability, 4)""",
+FROM rule_scores JOIN fitted ON x = probability""",
     "m11_linear_contributions": with_(*CONTRIBUTIONS)
     + "SELECT customer_id, feature, round(contribution, 6) AS contribution FROM contrib",
     "m13_reasons": with_(*CONTRIBUTIONS) + """SELECT customer_id,
@@ -528,10 +528,9 @@ FROM events LEFT JOIN latest l ON l.customer_id = user_id * 11""",
 FROM events LEFT JOIN scored s ON s.customer_id = user_id""",
     "p4_activity_stream": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS customer_id,
   count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
-  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
-FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
-GROUP BY 1, 2""",
+  CAST(sum(TRY_CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value,
+  count(*) FILTER (WHERE value IS NOT NULL AND TRY_CAST(value AS DECIMAL(18,2)) IS NULL) AS bad_values
+FROM events GROUP BY 1, 2""",
     "u1_global_rank": with_(PURCHASES) + """SELECT order_id,
   row_number() OVER (ORDER BY amount DESC, order_id) AS rn,
   ntile(7) OVER (ORDER BY amount DESC, order_id) AS tile,

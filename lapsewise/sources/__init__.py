@@ -62,9 +62,12 @@ def conform(df: DataFrame, mapping: Mapping[str, Target]) -> DataFrame:
     ``bad_fields`` lists the flagged columns, comma-separated, '' for a clean row.
     """
     cast = {name: F.expr(t.source).try_cast(t.type) for name, t in mapping.items()}
+    # A value that has its type already cannot fail, so its column need not be read for the flags.
+    given = df.select(*[F.expr(t.source).alias(name) for name, t in mapping.items()]).schema
     failed = [
         F.when(F.expr(t.source).isNotNull() & cast[name].isNull(), F.lit(name))
         for name, t in mapping.items()
+        if given[name].dataType.simpleString() != t.type
     ]
     return df.select(
         *[c.alias(name) for name, c in cast.items()],
@@ -98,21 +101,38 @@ PART = {
 }
 
 
+# Stored table -> how its rows are taken over.
+MAPPINGS = {"orders": PURCHASE, "customer": CUSTOMER, "lineitem": LINE, "part": PART}
+
+
+def taken_over(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Rows whose values all fit; the others are in ``set_aside``."""
+    done = conform(load(spark, folder, table), MAPPINGS[table])
+    return done.where("bad_fields = ''").drop("bad_fields")
+
+
+def set_aside(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """``table, bad_fields`` and the row as JSON, for every row with a value that does not fit."""
+    bad = load(spark, folder, table)
+    failed = conform(bad.withColumn("_row", F.to_json(F.struct(*bad.columns))), {**MAPPINGS[table], "row": Target("_row", "string")})
+    return failed.where("bad_fields <> ''").select(F.lit(table).alias("table"), "bad_fields", "row")
+
+
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
     """``order_id, customer_id, order_ts, cents``; one row per order."""
-    return conform(load(spark, folder, "orders"), PURCHASE).drop("bad_fields")
+    return taken_over(spark, folder, "orders")
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    return conform(load(spark, folder, "customer"), CUSTOMER).drop("bad_fields")
+    return taken_over(spark, folder, "customer")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return conform(load(spark, folder, "lineitem"), LINE).drop("bad_fields")
+    return taken_over(spark, folder, "lineitem")
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
-    return conform(load(spark, folder, "part"), PART).drop("bad_fields")
+    return taken_over(spark, folder, "part")
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,15 +146,23 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def save(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> None:
-    """Store a table; with ``partition_by`` only the partitions present in ``df`` are replaced.
+def save(
+    df: DataFrame,
+    path: str,
+    partition_by: tuple[str, ...] = (),
+    fmt: str = "parquet",
+    whole: bool = False,
+) -> None:
+    """Store a table; with ``partition_by`` only the partitions present in ``df`` are replaced,
+    unless the ``whole`` table is.
 
     Rows are gathered per partition value by a rebalance, which splits a value too big for
     one task into several files.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    mode = "static" if whole else "dynamic"
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":

@@ -130,3 +130,14 @@ def test_batch_run(spark):
     spent = {r["campaign_id"]: r["total"] for r in listed.groupBy("campaign_id").agg(F.sum("cost").alias("total")).collect()}
     caps = {c.campaign_id: c.cap for c in churn.CAMPAIGNS}
     assert spent and all(spent[c] <= caps[c] for c in spent)
+    assert {r["model_id"] for r in predicted.select("model_id").distinct().collect()} == {"gbt"}
+    assert spark.read.parquet(paths["rejected"]).count() == spark.read.parquet(paths["key_faults"]).count() == 0
+    assert spark.read.parquet(paths["evaluation"]).where("auc between 0 and 1").count() == 3
+    told = listed.where("reason is not null").count()
+    assert told == listed.count()
+    # A second run of the day with one campaign leaves no other list behind.
+    churn.run_batch(spark, SMALL, out, campaigns=churn.CAMPAIGNS[-1:])
+    again = spark.read.parquet(f"{paths['campaigns']}/day={churn.DAY}")
+    assert {r["campaign_id"] for r in again.select("campaign_id").distinct().collect()} <= {"thank_you"}
+    with pytest.raises(ValueError, match="not known yet"):
+        churn.run_batch(spark, SMALL, out, day="2030-01-01")

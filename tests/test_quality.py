@@ -71,3 +71,20 @@ def test_purchases_are_exact_cents(spark):
     got = sources.purchases(spark, SMALL)
     want = raw.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")) * 100).first()[0]
     assert int(want) == got.agg(F.sum("cents")).first()[0]
+
+
+def test_values_that_do_not_fit_are_set_aside(spark):
+    folder = work_path(spark, "misfits")
+    df = sources.load(spark, SMALL, "orders").limit(20)
+    big = F.when(F.col("o_orderkey") == df.first()["o_orderkey"], F.lit(1e30)).otherwise(F.col("o_totalprice"))
+    df.withColumn("o_totalprice", big).write.parquet(f"{folder}/orders.parquet")
+    assert sources.purchases(spark, folder).count() == 19
+    bad = sources.set_aside(spark, folder, "orders").collect()
+    assert [(r["table"], r["bad_fields"]) for r in bad] == [("orders", "cents")] and "1.0E30" in bad[0]["row"]
+
+
+def test_unreadable_rows_are_kept_with_a_mark(spark):
+    folder = work_path(spark, "broken")
+    spark.createDataFrame([('{"p_partkey": 1, "p_size": 3}',), ('{"p_partkey": ',)], "value string").write.text(f"{folder}/part.json")
+    got = sources.load(spark, folder, "part", "json")
+    assert rows(got, "p_partkey", F.col(sources.CORRUPT).isNotNull()) == [(1, False), (None, True)]
