@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.llm.arrays import Words, mix, pieces, run_hashes
@@ -20,8 +20,6 @@ from lapsewise.session import freeze
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 75 / 100.
 ABOVE, BELOW = 75, 100
-#: Shingles with a hash below this part of all hashes are counted over all documents.
-REGION = np.uint64(int(0.4 * 2**64))
 #: Texts of a block, which two bytes name.
 BLOCK_TEXTS = 1 << 16
 #: Candidates that one search looks at together.
@@ -91,9 +89,7 @@ def _spare(sizes: np.ndarray) -> np.ndarray:
 def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks of documents by bucket of the hash: sorted shingle hashes with the text's number.
 
-    A text sends its hashes within ``REGION``. If they are so few that a partner might have none
-    of them, it also sends its smallest hashes, of which two such texts share one if they are
-    similar. A bucket of its own, below 0, has the block's ids, set sizes and digests.
+    A bucket of its own, below 0, has the block's ids, set sizes and digests.
     """
 
     def cut(batches):
@@ -108,14 +104,9 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
         grams, first = shingle_sets(part.column("text"))
         sizes = np.diff(first)
         owner = np.repeat(np.arange(sizes.size), sizes)
-        rank = np.arange(grams.size) - np.repeat(first[:-1], sizes)
-        region = grams < REGION
-        few = np.bincount(owner[region], minlength=sizes.size) <= _spare(sizes)
-        sent = region | (few[owner] & (rank <= _spare(sizes)[owner]))
-        order = np.argsort(grams[sent], kind="stable")
-        hashes, posting = grams[sent][order], owner[sent][order].astype(np.uint16)
-        # Most hashes lie in the region, so that is what the buckets divide; the last takes the rest.
-        width = np.uint64(max(1, int(REGION) // buckets))
+        order = np.argsort(grams, kind="stable")
+        hashes, posting = grams[order], owner[order].astype(np.uint16)
+        width = np.uint64((1 << 64) // buckets)
         bucket = np.minimum(hashes // width, np.uint64(buckets - 1)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         sink = pa.BufferOutputStream()
@@ -156,13 +147,13 @@ def _meet(key, table):
     size = np.diff(np.append(start, every.size))
     having = np.repeat(size, size)
     rank = np.minimum(having, 255).astype(np.uint8)
-    alone, together = (having == 1) & (every < REGION), having > 1
+    alone = having == 1
     out = {c: [] for c in names}
     order = np.argsort(source, kind="stable")
     cuts = np.searchsorted(source[order], np.arange(len(blocks) + 1))
     for k, block in enumerate(blocks):
         mine = order[cuts[k] : cuts[k + 1]]
-        single, shared = mine[alone[mine]], mine[together[mine]]
+        single, shared = mine[alone[mine]], mine[~alone[mine]]
         out["block"].append(block)
         out["singles"].append(_planes(owner[single]))
         out["shared"].append(_planes(every[shared]))
@@ -176,9 +167,9 @@ def _meet(key, table):
 def _gather(key, table):
     """A block's texts with the shared hashes by which those that may have a partner meet it.
 
-    By rank, then hash, a text can miss no more of its region than it may miss at all, so the
-    first hash it shares with a partner is among as many and one more. Hashes of one text alone
-    come first. A text with over a quarter of its set in them has no partner.
+    By rank, then hash, the first hash a text shares with a partner is among as many as it may
+    miss and one more. Hashes of one text alone come first (``skipped`` of them); a text with over
+    a quarter of its set in them has no partner.
     """
     whole = table.column("sizes").is_valid()
     block, right = table.filter(whole).to_pylist()[0], table.filter(pc.invert(whole))
@@ -190,9 +181,7 @@ def _gather(key, table):
 
     singles = np.bincount(join("singles", np.uint16), minlength=sizes.size)
     shared, sharers, ranks = join("shared", np.uint64), join("sharers", np.uint16).astype(np.int64), join("ranks", np.uint8)
-    spare = _spare(sizes)
-    in_region = singles + np.bincount(sharers[shared < REGION], minlength=sizes.size)
-    room = np.where(singles > spare, 0, np.where(in_region <= spare, shared.size, spare + 1 - singles))
+    room = np.maximum(_spare(sizes) + 1 - singles, 0)
     order = np.lexsort((shared, ranks, sharers))
     shared, sharers = shared[order], sharers[order]
     counts = np.bincount(sharers, minlength=sizes.size)
@@ -204,7 +193,7 @@ def _gather(key, table):
     return pa.table(
         {
             "id": ids, "n": pa.array(sizes),
-            "digest": pa.array([x.tobytes() for x in digest], pa.binary()), "tokens": tokens,
+            "digest": pa.array([x.tobytes() for x in digest], pa.binary()), "skipped": pa.array(singles), "tokens": tokens,
         }
     )
 
@@ -302,7 +291,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Exactness: equal sets are one node. A set misses at most a quarter of its hashes in a partner.
     So with its hashes in one order for all texts, rare ones first, it shares one of its first
     quarter (its prefix) with every partner, and a text with over a quarter in hashes of no other
-    text has none. Where texts share a prefix hash, each is first compared with the smallest of
+    text has none. A pair is only formed at a hash that may be the first one both have. Where texts share a prefix hash, each is first compared with the smallest of
     them; after that, whatever is still in different groups is compared too. So links within a
     group that is already connected need not be looked at, and no pair is left out.
     """
@@ -310,11 +299,12 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.col("text"))
     met = _postings(keyed, buckets).groupBy("bucket").applyInArrow(_meet, MET)
-    rows, _ = freeze(met.groupBy("block").applyInArrow(_gather, "id bigint, n bigint, digest binary, tokens array<bigint>"))
+    rows, _ = freeze(met.groupBy("block").applyInArrow(_gather, "id bigint, n bigint, digest binary, skipped bigint, tokens array<bigint>"))
     nodes = (
         rows.where("n > 0 and size(tokens) > 0 and id is not null")
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+        .agg(F.min("id").alias("id"), F.any_value(F.struct("n", "skipped", "tokens")).alias("s"))
+        .select("digest", "id", "s.n", "s.skipped", "s.tokens")
     )
     nodes, _ = freeze(nodes)
 
@@ -329,16 +319,24 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     texts = keyed.join(nodes.select(F.col("id").alias("_node")), F.col("_id") == F.col("_node")).select("text")
     sets, _ = freeze(texts.mapInArrow(hashed, "digest binary, hashes binary").groupBy("digest").agg(F.any_value("hashes").alias("hashes")))
 
-    postings, _ = freeze(nodes.select("digest", "n", F.explode("tokens").alias("token")))
-    fits = lambda n, m: F.least(n, m) * BELOW >= F.greatest(n, m) * ABOVE
+    placed = nodes.select("digest", "n", "skipped", F.posexplode("tokens").alias("at", "token"))
+    postings, _ = freeze(placed.select("digest", "n", (F.col("skipped") + F.col("at")).alias("at"), "token"))
+
+    def may_be_first(n: str, at: str, m: str, place: str) -> Column:
+        """Whether sets of ``n`` and ``m`` whose first shared hash is at these places can have the
+        overlap they need: neither misses more than it may."""
+        overlap = F.ceil((F.col(n) + F.col(m)) * ABOVE / (ABOVE + BELOW))
+        return (F.col(at) <= F.col(n) - overlap) & (F.col(place) <= F.col(m) - overlap)
+
     leaders, _ = freeze(
         postings.groupBy("token")
-        .agg(F.min("digest").alias("leader"), F.count(F.lit(1)).alias("members"), F.min_by("n", "digest").alias("m"))
+        .agg(F.min(F.struct("digest", F.col("n").alias("m"), F.col("at").alias("place"))).alias("l"), F.count(F.lit(1)).alias("members"))
         .where("members > 1")
+        .select("token", F.col("l.digest").alias("leader"), "l.m", "l.place")
     )
     near = (
         postings.join(leaders, "token")
-        .where((F.col("digest") != F.col("leader")) & fits(F.col("n"), F.col("m")))
+        .where((F.col("digest") != F.col("leader")) & may_be_first("n", "at", "m", "place"))
         .select(F.col("leader").alias("a"), F.col("digest").alias("b"))
         .distinct()
     )
@@ -347,15 +345,15 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     labels = connected(links)
     # What shares a prefix hash and is not connected yet.
     named = postings.join(labels, F.col("digest") == F.col("node"), "left").select(
-        "token", "digest", "n", F.coalesce("label", "digest").alias("label")
+        "token", "digest", "n", "at", F.coalesce("label", "digest").alias("label")
     )
     named, _ = freeze(named)
     mixed = named.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
     open_, _ = freeze(named.join(mixed, "token", "left_semi"))
-    other = open_.select("token", F.col("digest").alias("_d"), F.col("n").alias("_m"), F.col("label").alias("_l"))
+    other = open_.select("token", F.col("digest").alias("_d"), F.col("n").alias("_m"), F.col("at").alias("_place"), F.col("label").alias("_l"))
     rest = (
         open_.join(other, "token")
-        .where((F.col("digest") < F.col("_d")) & (F.col("label") != F.col("_l")) & fits(F.col("n"), F.col("_m")))
+        .where((F.col("digest") < F.col("_d")) & (F.col("label") != F.col("_l")) & may_be_first("n", "at", "_m", "_place"))
         .select(F.col("digest").alias("a"), F.col("_d").alias("b"))
         .distinct()
         .join(near, ["a", "b"], "left_anti")
