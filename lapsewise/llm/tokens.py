@@ -51,25 +51,25 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         plain = [c for c in chunks if SPACE[c[0]] and not SPACE[c[-1]]]
-        taken = set(plain)
-        rest = [c for c in chunks if c not in taken]
-        for chunk, ids in zip(rest, self._whole([c.decode() for c in rest])):
-            self._keep(chunk, ids)
+        rest = [c for c in chunks if not SPACE[c[0]] or SPACE[c[-1]]]
+        found = self._whole([c.decode() for c in rest])
+        sizes = np.array([x.size for x in found], np.int64)
+        self._keep(rest, np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum(sizes) - sizes)
         for at in range(0, len(plain), JOINED):
-            part = [c.decode() for c in plain[at : at + JOINED]]
-            starts = np.cumsum([0, *map(len, part)])[:-1]
-            done = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(done.ids, np.int32)
-            cuts = np.searchsorted(np.array([a for a, _ in done.offsets]), starts)
-            for chunk, a, b in zip(plain[at : at + JOINED], cuts, [*cuts[1:], ids.size]):
-                self._keep(chunk, ids[a:b])
-
-    def _keep(self, chunk: bytes, ids: np.ndarray) -> None:
+            part = plain[at : at + JOINED]
+            texts = [c.decode() for c in part]
+            starts = np.cumsum([0, *map(len, texts)])[:-1]
+            done = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+            begins = np.fromiter((a for a, _ in done.offsets), np.int64, len(done))
+            self._keep(part, np.array(done.ids, np.int32), np.searchsorted(begins, starts))
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, begins: np.ndarray) -> None:
+        """Chunks with their ids one after the other, each from its place in ``begins``."""
         if self.used + ids.size > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros(max(self.flat.size, ids.size), np.int32)])
         self.flat[self.used : self.used + ids.size] = ids
-        self.known[chunk] = len(self.begin)
-        self.begin.append(self.used)
+        self.known.update(zip(chunks, range(len(self.begin), len(self.begin) + len(chunks))))
+        self.begin += (self.used + begins).tolist()
         self.used += ids.size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -105,7 +105,7 @@ class Encoder:
         chunks = [data[a:b].tobytes() for a, b in zip(start[sample], end[sample])]
         self._learn([c for c in chunks if c not in self.known])
         begin = np.array([*self.begin, self.used])
-        at = np.array([self.known[c] for c in chunks])[which]
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[which]
         lengths = begin[at + 1] - begin[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(begin[at] - (ends - lengths), lengths)]
@@ -114,7 +114,7 @@ class Encoder:
 
 
 def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair: the sequence with its frequent pairs replaced, and the rules, two symbols each.
+    """Re-Pair: the sequence (16-bit symbols) with its frequent pairs replaced, and the rules, two symbols each.
 
     A round counts all pairs that do not touch a document's end and takes the most frequent ones,
     in which no symbol is a left and a right side at once; so occurrences never overlap and all
@@ -124,17 +124,18 @@ def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     right: list[int] = []
     for _ in range(ROUNDS):
         a, b = sequence[:-1], sequence[1:]
-        codes = (a.astype(np.int64) << 32 | b)[(a != MARK) & (b != MARK)]
+        # Two symbols of 16 bits in one number of 32, which sorts fast.
+        codes = (a.astype(np.uint32) << np.uint32(16) | b)[(a != MARK) & (b != MARK)]
         codes.sort()
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if codes.size else np.zeros(0, int)
         counts = np.diff(np.append(at, codes.size))
         often = np.flatnonzero(counts >= LEAST)
-        often = often[np.lexsort((codes[at[often]], -counts[often]))][:ROUND_PAIRS]
+        often = often[np.argsort(-counts[often], kind="stable")][:ROUND_PAIRS]
         lefts: set[int] = set()
         rights: set[int] = set()
         chosen = []
         for code in codes[at[often]].tolist():
-            x, y = code >> 32, code & 0xFFFFFFFF
+            x, y = code >> 16, code & 0xFFFF
             if x != y and x not in rights and y not in lefts:
                 lefts.add(x)
                 rights.add(y)
@@ -142,14 +143,14 @@ def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not chosen or TERMINALS + 1 + len(left) + len(chosen) > 1 << 16:
             break
         names = np.arange(len(chosen)) + TERMINALS + 1 + len(left)
-        left += [c >> 32 for c in chosen]
-        right += [c & 0xFFFFFFFF for c in chosen]
+        left += [c >> 16 for c in chosen]
+        right += [c & 0xFFFF for c in chosen]
         order = np.argsort(chosen)
-        table, names = np.array(chosen)[order], names[order]
+        table, names = np.array(chosen, np.uint32)[order], names[order].astype(np.uint16)
         is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         is_left[list(lefts)], is_right[list(rights)] = True, True
         spots = np.flatnonzero(is_left[a] & is_right[b])
-        wanted = sequence[spots].astype(np.int64) << 32 | sequence[spots + 1]
+        wanted = sequence[spots].astype(np.uint32) << np.uint32(16) | sequence[spots + 1]
         found = np.minimum(np.searchsorted(table, wanted), table.size - 1)
         hit = table[found] == wanted
         spots, found = spots[hit], found[hit]
@@ -186,8 +187,8 @@ def _expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
 def pack(documents: list[np.ndarray], end_id: int = END_ID) -> bytes:
     """A block: head, rules with the lengths of their expansions, per document its number of ids
     and its first symbol, then the symbols. Ids must be below ``TERMINALS``."""
-    marked = [np.append(d, MARK).astype(np.int32) for d in documents]
-    symbols, rules = compress(np.concatenate([np.zeros(0, np.int32), *marked]))
+    marked = [np.append(d, MARK).astype(np.uint16) for d in documents]
+    symbols, rules = compress(np.concatenate([np.zeros(0, np.uint16), *marked]))
     lengths = np.diff(_expansions(rules)[1])
     sizes = np.array([d.size for d in marked], np.int64)
     firsts = np.concatenate([[0], np.flatnonzero(symbols == MARK) + 1]).astype(np.int64)
@@ -245,7 +246,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     largest = max(Tokenizer.from_file(tokenizer).get_vocab().values())
     if max(largest, end_id) >= TERMINALS:
         raise ValueError(f"ids up to {largest}; the format holds ids below {TERMINALS}")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Every shard encodes each of its distinct chunks once, so shards are twice the usual size.
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     text = F.coalesce("text", F.lit(""))
     placed = (
         docs.select(F.col(id_column).cast("bigint").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_order"))
