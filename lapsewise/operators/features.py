@@ -390,8 +390,9 @@ def standardize(df: DataFrame, cols: Sequence[str], stats: DataFrame) -> DataFra
     )
 
 
-def encode(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
-    """Add ``<col>_index`` (alphabetical, unseen values last) and one-hot ``<col>_vec``."""
+def encode(df: DataFrame, cols: Sequence[str], train: DataFrame) -> DataFrame:
+    """Add ``<col>_index`` (alphabetical over ``train``, values unseen there last) and one-hot
+    ``<col>_vec``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
@@ -406,4 +407,4 @@ def encode(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -
         outputCols=[f"{c}_vec" for c in cols],
         handleInvalid="keep",
     )
-    return Pipeline(stages=[indexer, hot]).fit(train if train is not None else df).transform(df)
+    return Pipeline(stages=[indexer, hot]).fit(train).transform(df)

@@ -356,7 +356,8 @@ def f12_winsorize(spark, folder):
 
 @query
 def f13_encode(spark, folder):
-    done = features.encode(_placed_rfm(spark, folder), ["market_segment", "region"])
+    df, train = _split(_placed_rfm(spark, folder))
+    done = features.encode(df, ["market_segment", "region"], train)
     return typed(
         done, customer_id="bigint", market_segment="string", market_segment_index="bigint",
         region="string", region_index="bigint",

@@ -388,9 +388,17 @@ SELECT customer_id, round(coalesce(mean_gap, m), 6) AS mean_gap, round(coalesce(
   FROM side WHERE split = 'train')""") + """
 SELECT customer_id, round(least(greatest(CAST(monetary AS DOUBLE), ml), mh), 6) AS monetary,
   round(least(greatest(CAST(recency AS DOUBLE), rl), rh), 6) AS recency FROM rfm, bound""",
-    "f13_encode": with_(*BASE, PEOPLE) + """SELECT customer_id, market_segment,
-  dense_rank() OVER (ORDER BY market_segment) - 1 AS market_segment_index, region,
-  dense_rank() OVER (ORDER BY region) - 1 AS region_index FROM rfm JOIN people USING (customer_id)""",
+    "f13_encode": with_(
+        *BASE, PEOPLE, SPLIT_OF.format("rfm JOIN people USING (customer_id)"),
+        *[
+            f"""seen_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i
+  FROM (SELECT DISTINCT {c} FROM side WHERE split = 'train' AND {c} IS NOT NULL))"""
+            for c in ("market_segment", "region")
+        ],
+    ) + """SELECT customer_id, market_segment,
+  coalesce(a.i, (SELECT count(*) FROM seen_market_segment)) AS market_segment_index, region,
+  coalesce(b.i, (SELECT count(*) FROM seen_region)) AS region_index
+FROM side LEFT JOIN seen_market_segment a ON market_segment = a.v LEFT JOIN seen_region b ON region = b.v""",
     "f14_standardize": with_(*BASE, SPLIT_OF.format("rfm"), """stat AS (
   SELECT avg(recency) AS rm, stddev_samp(recency) AS rs, avg(frequency) AS fm, stddev_samp(frequency) AS fs,
          avg(CAST(monetary AS DOUBLE)) AS mm, stddev_samp(CAST(monetary AS DOUBLE)) AS ms
