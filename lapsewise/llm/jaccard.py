@@ -291,9 +291,11 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Exactness: equal sets are one node. A set misses at most a quarter of its hashes in a partner.
     So with its hashes in one order for all texts, rare ones first, it shares one of its first
     quarter (its prefix) with every partner, and a text with over a quarter in hashes of no other
-    text has none. A pair is only formed at a hash that may be the first one both have. Where texts share a prefix hash, each is first compared with the smallest of
-    them; after that, whatever is still in different groups is compared too. So links within a
-    group that is already connected need not be looked at, and no pair is left out.
+    text has none. A pair is only formed at a hash that may be the first one both have. Where texts
+    share a prefix hash, each is first compared with the one that has the fewest rarer hashes, such
+    as the text that others were edited from; after that, whatever is still in different groups is
+    compared too. So links within a group that is already connected need not be looked at, and no
+    pair is left out.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -330,7 +332,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     leaders, _ = freeze(
         postings.groupBy("token")
-        .agg(F.min(F.struct("digest", F.col("n").alias("m"), F.col("at").alias("place"))).alias("l"), F.count(F.lit(1)).alias("members"))
+        .agg(F.min(F.struct(F.col("at").alias("place"), "digest", F.col("n").alias("m"))).alias("l"), F.count(F.lit(1)).alias("members"))
         .where("members > 1")
         .select("token", F.col("l.digest").alias("leader"), "l.m", "l.place")
     )
