@@ -15,8 +15,6 @@ NEWTON_STEPS = 60
 #: Documents lie in this many bins by hash, per source; only one bin is looked at row by row.
 BINS = 1 << 16
 HASH_BITS = 62
-#: Documents added one by one, to close the gap that whole documents leave.
-PICKS = 4
 
 
 def size_of(text: Column) -> Column:
@@ -74,6 +72,64 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def _prefix(open_: DataFrame) -> tuple[DataFrame, int]:
+    """Per source of ``open_`` (blocks with the ``room`` of their source): ``most`` = the room,
+    ``cut``, the hash before which its blocks stay within the room together, and their words
+    ``reached``. Found from sums per (source, hash bin), then by the rows of the bin it lies in.
+    """
+    running = W.partitionBy("source").orderBy("bin")
+    sums = open_.groupBy("source", "bin").agg(F.sum("words").alias("words"), F.max("room").alias("room"))
+    until = F.col("until")
+    ends = (
+        sums.withColumn("until", F.sum("words").over(running))
+        .groupBy("source")
+        .agg(
+            F.max("room").alias("most"), F.max(until).alias("total"),
+            F.min(F.when(until > F.col("room"), F.struct("bin", (until - F.col("words")).alias("under")))).alias("c"),
+        )
+        .select(F.col("source").alias("_s"), "most", "total", F.col("c.bin").alias("cut_bin"), F.col("c.under").alias("under"))
+    )
+    ends, found = freeze(ends)
+    if not found:
+        return ends, 0
+    passed = (
+        open_.join(ends, _same("source", "_s") & (F.col("bin") == F.col("cut_bin")))
+        .select("source", "u", "words", "under", "most")
+        .withColumn("until", F.col("under") + F.sum("words").over(W.partitionBy("source").orderBy("u")))
+        .where(until > F.col("most"))
+        .groupBy("source")
+        .agg(F.min(F.struct("u", (until - F.col("words")).alias("under"))).alias("c"))
+        .select(F.col("source").alias("_p"), F.col("c.u").alias("cut"), F.col("c.under").alias("reached"))
+    )
+    # Without a block that passes the room, all are before the cut.
+    return ends.join(passed, _same("_s", "_p"), "left").select(
+        "_s", "most", F.coalesce("cut", F.lit(1 << HASH_BITS)).alias("cut"), F.coalesce("reached", "total").alias("reached")
+    ), found
+
+
+def _within(passes: str) -> Column:
+    """Whether a block lies in one of the passes made over its source."""
+    return F.exists(passes, lambda p: (F.col("words") <= p["most"]) & (F.col("u") < p["cut"]))
+
+
+def _fill(blocks: DataFrame, state: DataFrame, room: str, passes: str, where: Column) -> DataFrame:
+    """``state`` after passes in hash order over the blocks of each source that ``where`` allows
+    and the room still holds, until it holds none of them: ``room`` falls, ``passes`` grows."""
+    names = [c for c in state.columns if c != "source"]
+    while True:
+        on = blocks.join(state.select(F.col("source").alias("_s"), *names), _same("source", "_s"))
+        fits = on.where((F.col("words") > 0) & (F.col("words") <= F.col(room)) & where & ~_within(passes))
+        more, found = _prefix(fits.select("source", "u", "bin", "words", F.col(room).alias("room")))
+        if not found:
+            return state
+        state, _ = freeze(
+            state.join(more, _same("source", "_s"), "left")
+            .withColumn(room, F.col(room) - F.coalesce("reached", F.lit(0)))
+            .withColumn(passes, F.array_compact(F.array_append(passes, F.when(F.col("cut").isNotNull(), F.struct("most", "cut")))))
+            .select("source", *names)
+        )
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -91,11 +147,14 @@ def mix(
     Reruns agree, since all that is random is a hash of the row.
 
     Rounding keeps each source's sum: all documents get ``floor(rate)`` copies, and one more goes
-    to the documents with the smallest hashes, until the next would pass the target. That place is
-    found from sums per (source, hash bin), then by the rows of the one bin it lies in, a
-    ``BINS``-th of the source. Then the largest document that still fits the gap is added,
-    ``PICKS`` times, and at last the smallest one that does not fit, if that ends nearer. Nothing is ordered or collected per source: a source may hold any part of
-    the rows.
+    to the documents with the smallest hashes. One that is larger than what is left of the gap is
+    left out, and the pass is made again over the others, until no free document fits. Where a gap
+    is left, the smallest free document is tried too: it goes in, and others with one more go out
+    by the same passes until none fits the excess; this stands where it ends nearer. So a source
+    ends within half its smallest free document of its target, mostly much nearer; the best of
+    all choices is not searched for. A pass finds its place from sums per (source, hash bin), then
+    by the rows of one bin, a ``BINS``-th of the source. Nothing is ordered or collected per
+    source: a source may hold any part of the rows.
     """
     low = F.lit((1 << HASH_BITS) - 1)
     sized, _ = freeze(
@@ -112,64 +171,37 @@ def mix(
     goals = rates(targets(sizes, weights, share, cap))
     # A rate of 1.9999999 for a target at the cap must not leave out the last word.
     near = F.round("rate", 9)
-    goals, _ = freeze(
+    none = F.array().cast("array<struct<most: double, cut: bigint>>")
+    state, _ = freeze(
         goals.withColumn("floor", F.least(F.floor(near), F.lit(cap)))
         .withColumn("gap", F.greatest(F.col("target") - F.col("floor") * F.col("source_size"), F.lit(0.0)))
         .withColumn("gap", F.when(F.col("floor") >= cap, 0.0).otherwise(F.col("gap")))
+        .withColumn("added", none)
     )
-
-    running = W.partitionBy("source").orderBy("bin")
-    sums = blocks.groupBy("source", "bin").agg(F.sum("words").alias("words"))
-    sums = sums.withColumn("until", F.sum("words").over(running)).select(F.col("source").alias("_s"), "bin", "words", "until")
-    # Per source: the first bin that passes the gap, and what lies before it.
-    crossed = (
-        goals.join(sums, _same("source", "_s"))
-        .where(F.col("until") > F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct("bin", (F.col("until") - F.col("words")).alias("under"))).alias("c"))
-        .select(F.col("source").alias("_s"), F.col("c.bin").alias("cut_bin"), F.col("c.under").alias("under"))
+    state = _fill(blocks, state, "gap", "added", F.lit(True))
+    free = blocks.join(state.select(F.col("source").alias("_s"), "gap", "added"), _same("source", "_s")).where(
+        (F.col("gap") > 0) & (F.col("words") > 0) & ~_within("added")
     )
-    goals, _ = freeze(goals.join(crossed, _same("source", "_s"), "left").drop("_s"))
-    inside = blocks.join(
-        goals.select(F.col("source").alias("_s"), "cut_bin", "under", "gap"),
-        _same("source", "_s") & (F.col("bin") == F.col("cut_bin")),
-    ).select("source", "u", "words", "under", "gap")
-    passed = (
-        inside.withColumn("until", F.col("under") + F.sum("words").over(W.partitionBy("source").orderBy("u")))
-        .where(F.col("until") > F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct("u", (F.col("until") - F.col("words")).alias("under"))).alias("c"))
-        .select(F.col("source").alias("_s"), F.col("c.u").alias("cut"), F.col("c.under").alias("reached"))
-    )
-    # Without a place that passes the gap, every document gets one more.
-    state = goals.join(passed, _same("source", "_s"), "left").select(
-        "source", "source_size", "target", "rate", "floor",
-        F.coalesce("cut", F.lit(1 << HASH_BITS)).alias("cut"),
-        F.when(F.col("cut").isNull(), 0.0).otherwise(F.col("gap") - F.col("reached")).alias("gap"),
-        F.array().cast("array<bigint>").alias("picked"),
+    over = free.groupBy("source").agg(F.min(F.struct("words", "u")).alias("extra")).select(F.col("source").alias("_s"), "extra")
+    state, _ = freeze(
+        state.join(over, _same("source", "_s"), "left")
+        .drop("_s")
+        .withColumn("excess", F.coalesce(F.col("extra.words") - F.col("gap"), F.lit(0.0)))
+        .withColumn("dropped", none)
     )
-    for step in range(PICKS + 1):
-        state, _ = freeze(state)
-        free = blocks.join(state.select(F.col("source").alias("_s"), "cut", "gap", "picked"), _same("source", "_s")).where(
-            (F.col("u") >= F.col("cut")) & (F.col("words") > 0) & ~F.array_contains("picked", F.col("u"))
-        )
-        block = F.struct("words", "u")
-        if step < PICKS:
-            best = free.where("words <= gap").groupBy("source").agg(F.max(block).alias("best"))
-        else:
-            best = free.where("words > gap and words < 2 * gap").groupBy("source").agg(F.min(block).alias("best"))
-        best = best.select(F.col("source").alias("_s"), "best")
-        state = state.join(best, _same("source", "_s"), "left").select(
-            "source", "source_size", "target", "rate", "floor", "cut",
-            (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"),
-            F.array_compact(F.array_append("picked", F.col("best.u"))).alias("picked"),
-        )
+    state = _fill(blocks, state, "excess", "dropped", _within("added"))
+    # As it was before the extra document, where that is as near.
+    swap = F.col("extra").isNotNull() & (F.col("excess") < F.col("gap"))
+    state = state.withColumn("extra", F.when(swap, F.col("extra.u"))).withColumn("dropped", F.when(swap, F.col("dropped")).otherwise(none))
     state, _ = freeze(state)
-    more = (F.col("u") < F.col("cut")) | F.array_contains("picked", F.col("u"))
-    # A source without a gap has its cut at the first hash, so nobody gets more.
+    more = (_within("added") & ~_within("dropped")) | F.col("u").eqNullSafe(F.col("extra"))
     copies = (F.col("floor") + F.when(more & (F.col("floor") < cap), 1).otherwise(0)).cast("int")
+    # Only blocks of several rows have other words than each of their rows.
+    several = blocks.where("words > size").select(F.col("source").alias("_b"), F.col("u").alias("_u"), F.col("size").alias("_n"), "words")
     return (
-        sized.join(state.withColumnRenamed("source", "_s"), _same("source", "_s"))
+        sized.join(several, _same("source", "_b") & (F.col("u") == F.col("_u")) & (F.col("size") == F.col("_n")), "left")
+        .withColumn("words", F.coalesce("words", "size"))
+        .join(state.withColumnRenamed("source", "_s"), _same("source", "_s"))
         .withColumn("copies", copies)
         .select(
             F.col("_id").alias(id_column), "source", "size", "source_size", "target", "rate", "copies",

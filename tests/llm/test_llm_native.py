@@ -149,6 +149,19 @@ def test_mixed_documents_keep_columns(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == +want
 
 
+def test_mix_with_a_dominating_text(spark):
+    """Every source on its own, in many hash orders: a text above the gap must not end the filling,
+    and one that the target needs must not be left out."""
+    names = "abcdefgh"
+    rows = [(1000 * k + n, "w " * w, "en", s, 1) for k, s in enumerate(names) for n, w in enumerate([30_000] + [300] * (100 + k))]
+    for share in (0.25, 0.75):
+        taken, target = Counter(), {}
+        for r in mixing.mix(documents(spark, rows), weights=(1,), share=share).collect():
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert min(target.values()) > 15_000 and all(abs(taken[s] - target[s]) < 300 for s in names), (taken, target)
+
+
 def test_newton_reaches_the_targets(spark):
     goals = spark.createDataFrame([("a", 10, 20.0), ("b", 10, 1e-6), ("c", 10, 0.0), ("d", 0, 0.0)], "source string, source_size bigint, target double")
     got = {r.source: r.rate for r in mixing.rates(goals).collect()}
