@@ -89,7 +89,7 @@ def _spare(sizes: np.ndarray) -> np.ndarray:
 def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks of documents by bucket of the hash: sorted shingle hashes with the text's number.
 
-    A bucket of its own, below 0, has the block's ids, set sizes and digests.
+    A bucket of its own, below 0, has the block's ids with text keys, set sizes and digests.
     """
 
     def cut(batches):
@@ -110,8 +110,8 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
         bucket = np.minimum(hashes // width, np.uint64(buckets - 1)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as writer:
-            writer.write_batch(pa.RecordBatch.from_arrays([part.column("_id")], ["id"]))
+        with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64()), ("key", pa.binary())])) as writer:
+            writer.write_batch(pa.RecordBatch.from_arrays([part.column("_id"), part.column("_key")], ["id", "key"]))
         out = [(block, -1 - block, None, None, sink.getvalue().to_pybytes(), sizes.astype(np.int64).tobytes(), digests(grams, first).tobytes())]
         out += [
             (block, k, _planes(hashes[a:b]), _planes(posting[a:b]), None, None, None)
@@ -173,7 +173,7 @@ def _gather(key, table):
     """
     whole = table.column("sizes").is_valid()
     block, right = table.filter(whole).to_pylist()[0], table.filter(pc.invert(whole))
-    ids = pa.ipc.open_stream(block["ids"]).read_all().column("id").combine_chunks()
+    names = pa.ipc.open_stream(block["ids"]).read_all().combine_chunks()
     sizes, digest = np.frombuffer(block["sizes"], np.int64), np.frombuffer(block["digests"], np.uint8).reshape(-1, 16)
 
     def join(column, kind):
@@ -192,7 +192,7 @@ def _gather(key, table):
     tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shared[keep].view(np.int64)))
     return pa.table(
         {
-            "id": ids, "n": pa.array(sizes),
+            "id": names.column("id"), "key": names.column("key"), "n": pa.array(sizes),
             "digest": pa.array([x.tobytes() for x in digest], pa.binary()), "skipped": pa.array(singles), "tokens": tokens,
         }
     )
@@ -277,33 +277,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("_a", "_part")).applyInArrow(run, "a binary, b binary")
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The group of similar texts of every row of ``docs`` (whole-number id, ``text``; other
-    columns are not read).
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
-    A text's set holds its distinct runs of five words (A-Z lower-cased, words between ASCII white
-    space); fewer words are one run; no words, or a null text, make an empty set, linked with
-    nothing. Texts link when 100 * overlap >= 75 * union. Returns one row per input row: the id,
-    ``n_shingles`` and ``component_id``, the smallest id reachable by links. Null ids count in no
-    smallest id; a group of null ids only has a null component. Rows of one id but different texts
-    are texts of their own. Shingles are compared by 64-bit hashes.
 
-    Exactness: equal sets are one node. A set misses at most a quarter of its hashes in a partner.
-    So with its hashes in one order for all texts, rare ones first, it shares one of its first
-    quarter (its prefix) with every partner, and a text with over a quarter in hashes of no other
-    text has none. A pair is only formed at a hash that may be the first one both have. Where texts
-    share a prefix hash, each is first compared with the one that has the fewest rarer hashes, such
-    as the text that others were edited from; after that, whatever is still in different groups is
-    compared too. So links within a group that is already connected need not be looked at, and no
-    pair is left out.
-    """
+def _labelled(docs: DataFrame, id_column: str) -> DataFrame:
+    """``id, key, n, label`` of every row of ``docs``: the key of its text, its shingles and its
+    group, which is null without shingles."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.col("text"))
+    keyed = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.col("text"), text_key(F.col("text")).alias("_key"))
     met = _postings(keyed, buckets).groupBy("bucket").applyInArrow(_meet, MET)
-    rows, _ = freeze(met.groupBy("block").applyInArrow(_gather, "id bigint, n bigint, digest binary, skipped bigint, tokens array<bigint>"))
+    rows, _ = freeze(met.groupBy("block").applyInArrow(_gather, "id bigint, key binary, n bigint, digest binary, skipped bigint, tokens array<bigint>"))
     nodes = (
-        rows.where("n > 0 and size(tokens) > 0 and id is not null")
+        rows.where("n > 0 and size(tokens) > 0")
         .groupBy("digest")
         .agg(F.min("id").alias("id"), F.any_value(F.struct("n", "skipped", "tokens")).alias("s"))
         .select("digest", "id", "s.n", "s.skipped", "s.tokens")
@@ -319,7 +307,11 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["digest", "hashes"])
 
     texts = keyed.join(nodes.select(F.col("id").alias("_node")), F.col("_id") == F.col("_node")).select("text")
-    sets, _ = freeze(texts.mapInArrow(hashed, "digest binary, hashes binary").groupBy("digest").agg(F.any_value("hashes").alias("hashes")))
+    made = texts.mapInArrow(hashed, "digest binary, hashes binary")
+    # Sets that only rows without an id have are found by digest, where these rows lie.
+    nameless = keyed.where("_id is null").select("text").mapInArrow(hashed, "digest binary, hashes binary")
+    nameless = nameless.join(nodes.where("id is null").select("digest"), "digest", "left_semi")
+    sets, _ = freeze(made.unionByName(nameless).groupBy("digest").agg(F.any_value("hashes").alias("hashes")))
 
     placed = nodes.select("digest", "n", "skipped", F.posexplode("tokens").alias("at", "token"))
     postings, _ = freeze(placed.select("digest", "n", (F.col("skipped") + F.col("at")).alias("at"), "token"))
@@ -365,9 +357,32 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     if found:
         labels = connected(links.unionByName(more))
     of = rows.join(labels, F.col("digest") == F.col("node"), "left").select(
-        "id", "n", F.when(F.col("n") > 0, F.coalesce("label", "digest")).alias("label")
+        "id", "key", "n", F.when(F.col("n") > 0, F.coalesce("label", "digest")).alias("label")
     )
-    of, _ = freeze(of)
+    return freeze(of)[0]
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The group of similar texts of every row of ``docs`` (whole-number id, ``text``; other
+    columns are not read).
+
+    A text's set holds its distinct runs of five words (A-Z lower-cased, words between ASCII white
+    space); fewer words are one run; no words, or a null text, make an empty set, linked with
+    nothing. Texts link when 100 * overlap >= 75 * union. Returns one row per input row: the id,
+    ``n_shingles`` and ``component_id``, the smallest id reachable by links. Rows with a null
+    id link like others but count in no smallest id; a group of null ids only has a null component. Rows of one id but different texts
+    are texts of their own. Shingles are compared by 64-bit hashes.
+
+    Exactness: equal sets are one node. A set misses at most a quarter of its hashes in a partner.
+    So with its hashes in one order for all texts, rare ones first, it shares one of its first
+    quarter (its prefix) with every partner, and a text with over a quarter in hashes of no other
+    text has none. A pair is only formed at a hash that may be the first one both have. Where texts
+    share a prefix hash, each is first compared with the one that has the fewest rarer hashes, such
+    as the text that others were edited from; after that, whatever is still in different groups is
+    compared too. So links within a group that is already connected need not be looked at, and no
+    pair is left out.
+    """
+    of = _labelled(docs, id_column)
     smallest = of.where("n > 0").groupBy(F.col("label").alias("_l")).agg(F.min("id").alias("_smallest"))
     return of.join(smallest, F.col("label") == F.col("_l"), "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
@@ -377,12 +392,18 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with all its columns: of every group of similar texts the one with the smallest
-    id. Exactly repeated ids and texts are kept once; texts without words are no group and stay."""
-    groups = similar_groups(docs, id_column).select(F.col(id_column).alias("_id"), F.col("component_id").alias("_first"))
-    kept = groups.where(F.col("_id").eqNullSafe(F.col("_first"))).select(F.col("_id").alias("_kept")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_column).alias("_id"), F.col("text").alias("_text"))
+    id, a null id last; of several texts under that id, the one with the smallest key. Exactly
+    repeated ids and texts are kept once; texts without words are no group and stay."""
+    of = _labelled(docs, id_column)
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    first = of.where("n > 0").groupBy("label").agg(F.min(place).alias("f")).select("f.id", "f.key")
+    kept = first.unionByName(of.where("n = 0").select("id", "key").distinct())
+    kept = kept.select(F.col("id").alias("_kept"), F.col("key").alias("_its"))
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col(id_column).cast("bigint").alias("_id"), F.col("text").alias("_text"), text_key(F.col("text")).alias("_key")
+    )
     return (
-        rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+        rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & F.col("_key").eqNullSafe(F.col("_its")), "left_semi")
         .dropDuplicates(["_id", "_text"])
         .select("_row.*")
     )

@@ -313,6 +313,28 @@ def test_groups_of_messy_documents(spark):
     assert jaccard.similar_groups(documents(spark, [])).count() == 0
 
 
+def test_null_and_repeated_ids_link(spark):
+    text = [f"n{k}" for k in range(100)]
+
+    def edited(base, *places):
+        return " ".join("other" + str(k) if k in places else w for k, w in enumerate(base))
+
+    other, third, fourth = ([f"{c}{k}" for k in range(100)] for c in "opq")
+    rows = [
+        # A bridge: 20 and 21 are similar to the nameless text only.
+        (20, edited(text, 10, 30)), (None, edited(text)), (21, edited(text, 50, 70)),
+        (30, edited(other)), (None, edited(other, 50)),
+        (None, edited(third)), (None, edited(third, 50)),
+        (40, edited(fourth)), (40, edited(fourth, 50)), (40, "all alone here"),
+    ]
+    docs = documents(spark, [(n, x, "en", "a", 1) for n, x in rows])
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.similar_groups(docs).collect())
+    assert got == {(20, 20): 1, (21, 20): 1, (None, 20): 1, (30, 30): 1, (None, 30): 1, (None, None): 2, (40, 40): 3}
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(str(n) for n, _ in kept) == ["20", "30", "40", "40", "None"]
+    assert (40, "all alone here") in kept and all(x in (rows[5][1], rows[6][1]) for n, x in kept if n is None)
+
+
 def test_many_edited_copies(spark):
     rng = random.Random(4)
     base = [f"b{n}" for n in range(120)]
