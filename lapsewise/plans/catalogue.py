@@ -818,7 +818,7 @@ def p4_activity_stream(spark, folder):
         streaming.activity_stream(stream), f"{out}/data", f"{out}/state"
     ).awaitTermination()
     stored = S.load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    done = spark.read.parquet(f"{out}/data").unionByName(streaming.open_activity(stored))
+    done = streaming.whole_activity(spark.read.parquet(f"{out}/data"), stored)
     return typed(
         done.withColumn("day", iso("day_start")), day="string", customer_id="bigint", events="bigint",
         purchases="bigint", value="double", bad_values="bigint",

@@ -66,6 +66,20 @@ def open_activity(events: DataFrame, delay: str = "2 days") -> DataFrame:
     return _per_day(events.where(F.col("ts") >= since).dropDuplicates(["event_id"]))
 
 
+def whole_activity(closed: DataFrame, events: DataFrame) -> DataFrame:
+    """Every day with all its stored events, repeats removed: days that ``activity_stream`` has
+    closed with all of them as they are; the open ones, and those whose late rows it dropped,
+    counted again from the stored events as a batch."""
+    once = events.dropDuplicates(["event_id"]).withColumn("_day", F.date_trunc("day", "ts"))
+    had = closed.groupBy("day_start").agg(F.sum("events").alias("had"))
+    stored = once.groupBy("_day").agg(F.count(F.lit(1)).alias("has"))
+    again, _ = freeze(
+        stored.join(had, F.col("_day") == F.col("day_start"), "left").where("had is null or had <> has").select("_day")
+    )
+    kept = closed.join(again, F.col("day_start") == F.col("_day"), "left_anti")
+    return kept.unionByName(_per_day(once.join(again, "_day", "left_semi")))
+
+
 def write_activity(activity: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed days to a parquet table and stop when the input is used up."""
     return (

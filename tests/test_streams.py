@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from support import SMALL, rows
 
 from lapsewise import sources, streaming
+from lapsewise.plans import catalogue
 from lapsewise.session import work_path
 
 START = dt.datetime(2024, 1, 1)
@@ -83,6 +84,17 @@ def test_closed_and_open_days_hold_every_event(spark, folder):
     ]
 
 
+def test_whole_activity_counts_files_out_of_time_order(spark, folder, monkeypatch):
+    for n, hour in enumerate((400, 10, 200, 34, 500, 11)):
+        put(spark, f"{folder}/events.parquet", [(2 * n, hour, 7, "view", 1.0), (2 * n + 1, hour, 8, "purchase", 2.0)])
+    # As in a table of more files than a batch takes.
+    stream = streaming.event_stream
+    monkeypatch.setattr(streaming, "event_stream", lambda spark, path: stream(spark, path, files_per_batch=1))
+    got = rows(catalogue.p4_activity_stream(spark, folder), "day", "customer_id", "events", "purchases", "value")
+    days = {"2024-01-01": 2, "2024-01-02": 1, "2024-01-09": 1, "2024-01-17": 1, "2024-01-21": 1}
+    assert got == sorted((d, u, n, n * (u == 8), n * (u - 6.0)) for d, n in days.items() for u in (7, 8))
+
+
 def test_ordered_files_equal_batch_on_closed_days(spark, folder):
     events = sources.load(spark, SMALL, "events")
     for part in range(4):
