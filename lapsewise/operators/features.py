@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapsewise.functions import as_date, at, entropy, money, ratio
+from lapsewise.functions import as_date, at, money, ratio
 from lapsewise.operators.facts import as_of, by_day
 from lapsewise.operators.ranking import percent_ranks, quantiles
 from lapsewise.session import freeze
 
 WINDOWS = (30, 90, 180, 365)
-# The part types, in the order in which ties for the favourite are resolved.
+# The part types with a share of their own.
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
@@ -176,11 +176,11 @@ def _customer_lines(purchases: DataFrame, lines: DataFrame, day: str | dt.date)
     return lines.join(cut, "order_id")
 
 
-def _basket() -> list[Column]:
+def _basket(parts: Column) -> list[Column]:
     return [
         F.sum("lines").alias("lines"),
         money(F.sum("quantity")).alias("quantity"),
-        F.count(F.lit(1)).alias("distinct_parts"),
+        parts.alias("distinct_parts"),
         ratio(F.sum("discount") / 10000.0, F.sum("lines")).alias("mean_discount"),
     ]
 
@@ -195,32 +195,54 @@ def _per_part(lines: DataFrame) -> DataFrame:
 
 def basket(purchases: DataFrame, lines: DataFrame, day: str | dt.date) -> DataFrame:
     """Lines, quantity, distinct parts and mean discount per customer."""
-    return _per_part(_customer_lines(purchases, lines, day)).groupBy("customer_id").agg(*_basket())
+    return _per_part(_customer_lines(purchases, lines, day)).groupBy("customer_id").agg(*_basket(F.count(F.lit(1))))
 
 
-def _mix(types: Sequence[str]) -> list[Column]:
-    return [
-        F.coalesce(F.sum(F.when(F.col("part_type") == t, F.col("quantity"))), F.lit(0)).alias(f"_q_{t}")
-        for t in types
-    ]
+def _per_type(bought: DataFrame, *keys: str) -> DataFrame:
+    """Lines added up per ``keys`` and part type; null where the part or its type is not known."""
+    return bought.groupBy(*keys, "part_type").agg(
+        *[F.sum(c).alias(c) for c in ("lines", "quantity", "discount")], F.count(F.lit(1)).alias("parts")
+    )
+
+
+def _mix() -> Column:
+    """The quantities of all part types, as many as there are types."""
+    return F.collect_list(F.struct(F.coalesce("quantity", F.lit(0)).alias("q"), F.col("part_type").alias("t"))).alias("_q")
 
 
 def _mix_shares(df: DataFrame, types: Sequence[str]) -> DataFrame:
-    sums = [F.col(f"_q_{t}") for t in types]
-    total = sum(sums[1:], sums[0])
-    shares = [ratio(q, total) for q in sums]
-    best = F.array_max(
-        F.array(
-            *[
-                F.struct(q.alias("q"), F.lit(-i).alias("i"), F.lit(t).alias("t"))
-                for i, (q, t) in enumerate(zip(sums, types))
-            ]
-        )
+    """Shares of all quantities in ``_q``. Types that are not in ``types`` and unknown ones count in
+    the total, the entropy and the favourite, each as a type, and share ``share_other``."""
+    def add(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda done, x: done + x["q"])
+
+    names = F.array_distinct(F.transform("_q", lambda x: x["t"]))
+    merged = F.transform(
+        names, lambda t: F.struct(add(F.filter("_q", lambda x: x["t"].eqNullSafe(t))).alias("q"), t.alias("t"))
     )
+    df = df.withColumn("_q", F.array_sort(merged)).withColumn("_total", add(F.col("_q")))
+    total = F.col("_total")
+
+    def share(wanted: Column) -> Column:
+        return ratio(wanted, total)
+
+    def quantity(kind: str) -> Column:
+        return add(F.filter("_q", lambda x: x["t"] == kind))
+
+    listed = [quantity(t) for t in types]
+    other = add(F.filter("_q", lambda x: ~F.coalesce(x["t"].isin(*types), F.lit(False))))
+
+    def term(done: Column, x: Column) -> Column:
+        s = share(x["q"])
+        return done + F.when(s > 0, -s * F.ln(s)).otherwise(0.0)
+
+    # Ties go to the first name, unknown types last.
+    best = F.array_min(F.transform("_q", lambda x: F.struct((-x["q"]).alias("q"), x["t"].isNull().alias("n"), x["t"].alias("t"))))
     return df.select(
-        *[c for c in df.columns if not c.startswith("_q_")],
-        *[s.alias(f"share_{t.lower()}") for s, t in zip(shares, types)],
-        entropy(shares).alias("mix_entropy"),
+        *[c for c in df.columns if c not in ("_q", "_total")],
+        *[share(q).alias(f"share_{t.lower()}") for q, t in zip(listed, types)],
+        share(other).alias("share_other"),
+        F.aggregate("_q", F.lit(0.0), term).alias("mix_entropy"),
         F.when(total > 0, best["t"]).alias("favourite_type"),
     )
 
@@ -234,7 +256,7 @@ def mix(
 ) -> DataFrame:
     """Share of quantity per part type, entropy of the shares and the favourite type."""
     bought = _per_part(_customer_lines(purchases, lines, day)).join(parts, "part_id", "left")
-    return _mix_shares(bought.groupBy("customer_id").agg(*_mix(types)), types)
+    return _mix_shares(_per_type(bought, "customer_id").groupBy("customer_id").agg(_mix()), types)
 
 
 def line_features(
@@ -246,7 +268,8 @@ def line_features(
 ) -> DataFrame:
     """Basket and mix in one pass over the lines."""
     bought = _per_part(_customer_lines(purchases, lines, day)).join(parts, "part_id", "left")
-    return _mix_shares(bought.groupBy("customer_id").agg(*_basket(), *_mix(types)), types)
+    basket = _basket(F.sum("parts"))
+    return _mix_shares(_per_type(bought, "customer_id").groupBy("customer_id").agg(*basket, _mix()), types)
 
 
 def returns(purchases: DataFrame, lines: DataFrame, day: str | dt.date) -> DataFrame:

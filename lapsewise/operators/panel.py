@@ -209,13 +209,16 @@ def line_panel(
     first = F.min("slot").over(W.partitionBy("customer_id", "part_id"))
     placed = per_part.withColumn("is_new", (F.col("slot") == first).cast("bigint"))
     added = ["lines", "quantity", "discount", "is_new"]
-    mixed = [f"_q_{t}" for t in types]
     per_slot = (
         placed.join(parts, "part_id", "left")
+        .groupBy("customer_id", "slot", "part_type")
+        .agg(*[F.sum(c).alias(c) for c in added])
         .groupBy("customer_id", "slot")
-        .agg(*[F.sum(c).alias(c) for c in added], *_mix(types))
+        .agg(*[F.sum(c).alias(c) for c in added], _mix())
     )
-    state = _states(per_slot, [F.sum(c).over(_so_far()).alias(c) for c in [*added, *mixed]], dates)
+    # At most one entry per snapshot and part type.
+    types_so_far = F.flatten(F.collect_list("_q").over(_so_far())).alias("_q")
+    state = _states(per_slot, [*[F.sum(c).over(_so_far()).alias(c) for c in added], types_so_far], dates)
     return _mix_shares(
         state.select(
             "snapshot",
@@ -224,7 +227,7 @@ def line_panel(
             money("quantity").alias("quantity"),
             F.col("is_new").alias("distinct_parts"),
             ratio(F.col("discount") / 10000.0, F.col("lines")).alias("mean_discount"),
-            *mixed,
+            "_q",
         ),
         types,
     )

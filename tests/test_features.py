@@ -6,7 +6,7 @@ from support import SMALL, purchases, rows
 
 from lapsewise import sources
 from lapsewise.operators import features, labels
-from lapsewise.operators.panel import panel
+from lapsewise.operators.panel import line_panel, panel
 from lapsewise.operators.quality import fk_check, handle_missing
 from lapsewise.plans import churn
 
@@ -114,3 +114,16 @@ def test_a_thousand_snapshots(spark):
     assert got.where("customer_id = 1").count() == 1000 - 5
     row = got.where("customer_id = 1 and snapshot = date'2000-03-02'").first()
     assert (row["recency"], row["churned"]) == (1, 1)
+
+
+def test_mix_counts_unknown_types_and_missing_parts(spark):
+    bought = purchases(spark, [(1, 10, "2000-06-01", 1.0), (2, 20, "2000-06-01", 1.0)])
+    lines = spark.createDataFrame(
+        [(10, 1, 1000), (10, 2, 2000), (10, 3, 500), (10, 9, 500), (20, 9, 100)], "order_id bigint, part_id bigint, quantity_hundredths bigint"
+    ).withColumn("discount_bp", F.lit(0).cast("bigint"))
+    parts = spark.createDataFrame([(1, "PROMO"), (2, "BRASS"), (3, "TIN")], "part_id bigint, part_type string")
+    wanted = ("customer_id", "share_promo", "share_small", "share_other", F.round("mix_entropy", 6), "favourite_type")
+    want = [(1, 0.25, 0.0, 0.75, 1.213008, "BRASS"), (2, 0.0, 0.0, 1.0, 0.0, None)]
+    assert rows(features.mix(bought, lines, parts, DAY), *wanted) == want
+    assert rows(features.line_features(bought, lines, parts, DAY), *wanted, "distinct_parts") == [(*want[0], 4), (*want[1], 1)]
+    assert rows(line_panel(bought, lines, parts, [DAY]), *wanted) == want
