@@ -66,3 +66,45 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+ORACLE["op11_filter_audit"] = r"""
+WITH marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), base AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), first AS (SELECT t, min(doc_id) AS least FROM base GROUP BY t
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+      len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f
+  FROM base JOIN first USING (t) LEFT JOIN marks USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders
+), combos AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f
+), per AS (
+  SELECT part, filter_order, step, n, good, toxic, f,
+    f[ascii(filter_order[step]) - 64] AS fails,
+    len(list_filter(range(1, step), lambda i: f[ascii(filter_order[i]) - 64])) > 0 AS earlier
+  FROM combos, steps
+), counted AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter,
+    coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND len(list_filter(f, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM per GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counted
+"""
