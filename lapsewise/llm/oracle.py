@@ -108,3 +108,44 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
   (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM counted
 """
+
+ORACLE["op13_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (SELECT d, lang, source, unnest(w) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), used AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(l.total), 0) AS lang_total,
+    coalesce(any_value(u.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs l USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS n FROM used GROUP BY lang, source) u USING (lang, source)
+  GROUP BY lang, source
+), shares AS (
+  SELECT lang, g.source, term, coalesce(u.n, 0) AS n,
+    1 + 1000000000 * (coalesce(u.n, 0) + 1) // (g.total + g.v) AS p, 1 + 1000000000 * (k.n + 1) // (g.lang_total + g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every_pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM every_pair
+UNION ALL
+SELECT * FROM (
+  SELECT lang, source, 'term' AS part, item, value,
+    (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms
+) WHERE rank <= 200
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import audit, decontaminate, jaccard, language, mixing, passages, scoring, sharding, tokens, topk, url_filter
+from lapsewise.llm import audit, decontaminate, divergence, jaccard, language, mixing, passages, scoring, sharding, tokens, topk, url_filter
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -96,3 +96,8 @@ def op10_decontamination(spark, folder):
 @query
 def op11_filter_audit(spark, folder):
     return audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op13_source_divergence(spark, folder):
+    return divergence.divergence(read(spark, folder, "documents"))
