@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import audit, decontaminate, divergence, jaccard, language, mixing, passages, scoring, sharding, tokens, topk, url_filter
+from lapsewise.llm import audit, decontaminate, divergence, jaccard, language, mixing, passages, scoring, sharding, tokens, topk, url_filter, wrappers
 from lapsewise.llm.common import read
 from lapsewise.llm.oracle import ORACLE
 from lapsewise.session import configure
@@ -101,3 +101,8 @@ def op11_filter_audit(spark, folder):
 @query
 def op13_source_divergence(spark, folder):
     return divergence.divergence(read(spark, folder, "documents"))
+
+
+@query
+def op12_html_extraction(spark, folder):
+    return wrappers.extract(read(spark, folder, "pages"))
