@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,9 +19,9 @@ SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 #: Distinct terms of all groups that a task counts before it sends them on.
-HELD_TERMS = 200_000
-#: Text bytes for each block of terms; a block's distinct terms take less than that.
-BLOCK_BYTES = 8 << 20
+HELD_TERMS = 300_000
+#: (source, term) rows of a block of terms, all languages together.
+BLOCK_ROWS = 200_000
 #: Sources of one side of a pair task.
 TILE = 64
 #: Ids of the shorter list that one galloping search places at once.
@@ -94,32 +93,22 @@ def merge(a: Side, b: Side, terms: int) -> tuple[int, int]:
     )
 
 
-def _counted(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``lang, source, block, terms, n, docs``: what tasks counted, terms joined by spaces; and the
-    number of blocks. A row without terms stands in block 0 for each group that a task saw."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """``lang, source, term, n, docs``: how often each source has a term and in how many rows, and
+    one row with a null term for each group.
+
+    A task adds up what it sees of up to ``HELD_TERMS`` terms, so what it sends on grows with the
+    text at most, and a frequent term is one row of a task.
+    """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size // BLOCK_BYTES
 
-    def drain(held: dict):
+    def drain(held: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, seen) in held.items():
-            terms = pa.array(n.keys(), pa.binary())
-            counts, within = np.fromiter(n.values(), np.int64, len(n)), np.fromiter(seen.values(), np.int64, len(n))
-            place = np.fromiter(map(zlib.crc32, n), np.int64, len(n)) % blocks
-            order = np.argsort(place, kind="stable")
-            cuts = np.flatnonzero(np.diff(place[order], prepend=-1, append=-1)).tolist()
-            terms, counts, within, place = terms.take(pa.array(order)).to_pylist(), counts[order], within[order], place[order]
-            spans = list(zip(cuts, cuts[1:])) or [(0, 0)]
-            begins = pa.array([a for a, _ in spans] + [spans[-1][1]], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(spans), pa.string()), pa.array([source] * len(spans), pa.string()),
-                    pa.array([int(place[a]) if b else 0 for a, b in spans], pa.int64()),
-                    pa.array([b" ".join(terms[a:b]) for a, b in spans], pa.binary()).cast(pa.string()),
-                    pa.ListArray.from_arrays(begins, pa.array(counts)), pa.ListArray.from_arrays(begins, pa.array(within)),
-                ],
-                ["lang", "source", "block", "terms", "n", "docs"],
-            )
+            terms = pa.array([None, *n], pa.binary()).cast(pa.string())
+            counts = pa.array([0, *n.values()], pa.int64())
+            within = pa.array([0, *map(seen.__getitem__, n)], pa.int64())
+            names = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), np.int32))) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, terms, counts, within], ["lang", "source", "term", "n", "docs"])
         held.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,61 +119,65 @@ def _counted(docs: DataFrame) -> tuple[DataFrame, int]:
                 groups = zip(part.column("lang").to_pylist(), part.column("source").to_pylist())
                 for text, group in zip(texts, groups):
                     words = text.translate(_LETTERS).split()
-                    n, seen = held.setdefault(group, (Counter(), Counter()))
+                    if group not in held:
+                        held[group] = Counter(), Counter()
+                    n, seen = held[group]
                     n.update(words)
-                    seen.update(dict.fromkeys(words, 1))
+                    seen.update(set(words))
                 if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
                     yield from drain(held)
         yield from drain(held)
 
-    schema = "lang string, source string, block bigint, terms string, n array<bigint>, docs array<bigint>"
-    return rows.mapInArrow(count, schema), blocks
+    counted = rows.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def _arrays(counted: DataFrame, least: int) -> DataFrame:
+def _arrays(blocked: DataFrame, least: int) -> DataFrame:
     """``lang, block, source, kept, total, ids, n, lang_n, terms``: for each source its kept terms of
     a block, sorted, and how often the source and its language have them. The ids number a block's
     kept terms. The row with a null source stands for the block itself."""
 
-    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, dict[str, int]] = {}
-        within: dict[str, int] = {}
-        for batch in batches:
-            columns = (batch.column(c) for c in ("source", "terms", "n", "docs"))
-            for source, terms, n, docs in zip(*columns):
-                mine = counts.setdefault(source.as_py(), {})
-                terms = terms.as_py().split(" ") if len(n) else []
-                for term, c, d in zip(terms, n.values.to_pylist(), docs.values.to_pylist()):
-                    mine[term] = mine.get(term, 0) + c
-                    within[term] = within.get(term, 0) + d
-        kept = sorted(t for t, d in within.items() if d >= least)  # by code point, as UTF-8 sorts
-        number = {t: k for k, t in enumerate(kept)}
-        names = pa.array(kept, pa.string())
-        sides = []
-        whole = np.zeros(len(kept), np.int64)
-        for source, mine in sorted(counts.items()):
-            pairs = sorted((number[t], c) for t, c in mine.items() if t in number)
-            ids, n = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-            whole[ids] += n
-            sides.append((source, ids, n))
-        for source, ids, n in [(None, np.zeros(0, np.int64), whole[:0]), *sides]:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64()),
-                    pa.array([source], pa.string()), pa.array([len(kept)], pa.int64()),
-                    pa.array([int(n.sum()) if source is not None else int(whole.sum())], pa.int64()),
-                    pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64())),
-                    pa.array([whole[ids]], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array([0, ids.size], pa.int32()), names.take(pa.array(ids))),
-                ],
-                ["lang", "block", "source", "kept", "total", "ids", "n", "lang_n", "terms"],
-            )
+    def sorted_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sides = sorted(set(table.column("source").to_pylist()))
+        rows = table.filter(pc.is_valid(table.column("term")))
+        coded = rows.column("term").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        n, docs = (rows.column(c).to_numpy() for c in ("n", "docs"))
+        within = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(within, code, docs)
+        order = pc.sort_indices(coded.dictionary).to_numpy()  # by the bytes of UTF-8
+        order = order[within[order] >= least]
+        number = np.full(within.size, -1, np.int64)
+        number[order] = np.arange(order.size)
+        ids = number[code]
+        whole = np.zeros(order.size, np.int64)
+        np.add.at(whole, ids[ids >= 0], n[ids >= 0])
+        side = pc.index_in(rows.column("source").combine_chunks(), pa.array(sides, pa.string())).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(ids >= 0)
+        kept = kept[np.lexsort((ids[kept], side[kept]))]
+        ends = np.searchsorted(side[kept], np.arange(len(sides) + 1)).astype(np.int32)
+        # The block's own row is first and has no terms.
+        ends = pa.array(np.append(np.int32(0), ends), pa.int32())
+        totals = np.append(0, np.cumsum(n[kept]))[ends.to_numpy()]
+        ids = ids[kept]
+        columns = {
+            "lang": pa.array([key[0].as_py()] * (len(sides) + 1), pa.string()),
+            "block": pa.array([key[1].as_py()] * (len(sides) + 1), pa.int64()),
+            "source": pa.array([None, *sides], pa.string()),
+            "kept": pa.array([order.size] * (len(sides) + 1), pa.int64()),
+            "total": pa.array([int(whole.sum()), *np.diff(totals)[1:].tolist()], pa.int64()),
+            "ids": pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())),
+            "n": pa.ListArray.from_arrays(ends, pa.array(n[kept], pa.int64())),
+            "lang_n": pa.ListArray.from_arrays(ends, pa.array(whole[ids], pa.int64())),
+            "terms": pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(order[ids]))),
+        }
+        return pa.table(columns)
 
     schema = (
         "lang string, block bigint, source string, kept bigint, total bigint, ids array<int>, n array<bigint>, "
         "lang_n array<bigint>, terms array<string>"
     )
-    return counted.groupBy("lang", "block").applyInArrow(merged, schema)
+    return blocked.groupBy("lang", "block").applyInArrow(sorted_lists, schema)
 
 
 def _tops(arrays: DataFrame, top: int) -> DataFrame:
@@ -273,18 +266,18 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TER
     without terms is compared as well; a language without kept terms has values of 0. Rows count
     one by one, repeated ones too; an empty table gives no rows; other columns are not read.
 
-    Terms are spread over blocks by the size of the corpus, so no task sees a whole vocabulary or
-    a whole group, and what it counts is merged as it streams in.
+    Terms are spread over blocks by their number, so no task sees a whole vocabulary or a whole
+    group.
     """
-    counted, blocks = _counted(docs)
-    counted, _ = freeze(counted)
+    counted, rows = freeze(_counted(docs))
+    blocks = 1 + rows // BLOCK_ROWS
+    place = F.crc32(F.col("term").cast("binary")) % blocks
     # Every source stands in every block of its language, with or without terms there.
-    groups = counted.select("lang", "source").distinct()
-    none = F.array().cast("array<bigint>")
-    markers = groups.select("lang", "source", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(
-        "lang", "source", F.col("block").cast("bigint").alias("block"), F.lit("").alias("terms"), none.alias("n"), none.alias("docs")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    blocked = counted.where("term is not null").withColumn("block", place).unionByName(
+        counted.where("term is null").withColumn("block", everywhere)
     )
-    arrays, _ = freeze(_arrays(counted.unionByName(markers), least))
+    arrays, _ = freeze(_arrays(blocked, least))
     languages = arrays.where("source is null").groupBy(F.col("lang").alias("_lang")).agg(
         F.sum("total").alias("lang_total"), F.sum("kept").alias("lang_kept")
     )
