@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from lapsewise import sources as S
 from lapsewise.functions import iso, ntile_of
-from lapsewise.operators import behaviour, campaigns, evaluation, explain, features, labels, models
+from lapsewise.operators import behaviour, campaigns, evaluation, explain, features, labels, matching, models
 from lapsewise.operators import quality, ranking, risk, segments, serving
 from lapsewise.operators.facts import as_of, facts
 from lapsewise.operators.panel import line_panel, panel
 from lapsewise.plans import churn
-from lapsewise.plans.churn import CAMPAIGNS, DAY, HORIZON, SNAPSHOTS, Inputs
+from lapsewise.plans.churn import CAMPAIGNS, DAY, HORIZON, SNAPSHOTS, WISHES, Inputs
 from lapsewise.session import configure, freeze, work_path
 from lapsewise import streaming
+from lapsewise.streaming import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,6 +566,43 @@ def c3_assign(spark, folder):
     return typed(_assigned(spark, folder), **CANDIDATE_TYPES)
 
 
+MATCH_TYPES = {"campaign_id": "string", "customer_id": "bigint", "place": "bigint", "cost": "double", "spent": "double"}
+
+
+@query
+def c3_match(spark, folder):
+    done = matching.match(_scored(spark, folder), CAMPAIGNS, at_most=people_at_most(spark, folder))
+    return typed(done, **MATCH_TYPES)
+
+
+@query
+def c3_match_wishes(spark, folder):
+    done = matching.match(_scored(spark, folder), CAMPAIGNS, WISHES, at_most=people_at_most(spark, folder))
+    return typed(done, **MATCH_TYPES)
+
+
+@query
+def c3_blocking_pairs(spark, folder):
+    """Pairs that would rather have each other: many after first offers and budgets, none after
+    the match."""
+    scored, _ = freeze(_scored(spark, folder))
+    most = people_at_most(spark, folder)
+    caps = {c.campaign_id: c.cap for c in CAMPAIGNS}
+    lists = {
+        "first_offers": campaigns.budget(campaigns.assign(scored, CAMPAIGNS), caps, at_most=most),
+        "matched": matching.match(scored, CAMPAIGNS, at_most=most),
+    }
+    found = [
+        matching.blocking_pairs(scored, table, CAMPAIGNS).select(F.lit(name).alias("list"), "campaign_id").union(
+            # Every campaign is told of, pairs or not.
+            spark.createDataFrame([(name, c.campaign_id) for c in CAMPAIGNS], "list string, campaign_id string")
+        )
+        for name, table in lists.items()
+    ]
+    counted = found[0].union(found[1]).groupBy("list", "campaign_id").agg((F.count(F.lit(1)) - 1).alias("pairs"))
+    return typed(counted, list="string", campaign_id="string", pairs="bigint")
+
+
 @query
 def c4_top_k(spark, folder):
     done = campaigns.top_k(_assigned(spark, folder), 10)
@@ -596,6 +634,11 @@ def c7_campaign_list(spark, folder):
     return typed(churn.campaign_list(Inputs(spark, folder)), **LIST_TYPES)
 
 
+@query
+def c7_matched_list(spark, folder):
+    return typed(churn.campaign_list(Inputs(spark, folder), matched=True), **LIST_TYPES)
+
+
 @query
 def c8_overlap(spark, folder):
     candidates, _ = freeze(_eligible(spark, folder).select("campaign_id", "customer_id"))
@@ -825,6 +868,23 @@ def p4_activity_stream(spark, folder):
     )
 
 
+@query
+def p4_kept_activity(spark, folder):
+    """Events in files by a hash, not by time, every fifth one sent twice and some without a time."""
+    out = work_path(spark, "kept-activity")
+    events = S.load(spark, folder, "events")
+    events = events.withColumn("ts", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
+    again = events.where("event_id % 5 = 0").withColumn("_file", F.lit(1))
+    sent = events.withColumn("_file", F.pmod(F.xxhash64("event_id"), F.lit(6)).cast("int")).union(again)
+    sent.repartition(6, "_file").drop("_file").write.parquet(f"{out}/sent")
+    stream = streaming.event_stream(spark, f"{out}/sent", files_per_batch=2)
+    kept.keep_activity(stream, f"{out}/days", f"{out}/state").awaitTermination()
+    done = kept.activity(spark, f"{out}/days").withColumn("day", iso("day"))
+    return typed(
+        done, day="string", customer_id="bigint", events="bigint", purchases="bigint", value="double", bad_values="bigint"
+    )
+
+
 # Shared
 
 

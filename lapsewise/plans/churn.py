@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lapsewise import sources
 from lapsewise.functions import as_date
 from lapsewise.operators import campaigns as C
-from lapsewise.operators import explain, features, labels, models, risk, segments
+from lapsewise.operators import explain, features, labels, matching, models, risk, segments
 from lapsewise.operators.evaluation import auc, calibrate, fit_calibration, metrics
 from lapsewise.operators.facts import facts
 from lapsewise.operators.panel import panel
@@ -41,6 +41,14 @@ CAMPAIGNS = (
     C.Campaign("thank_you", "segment = 'champions' or risk < 10", 5, Decimal("2.00"), Decimal("200.00")),
 )
 
+#: Customers' own order of the campaigns, for a match; those not named keep their priority.
+WISHES = {
+    "rescue_value": "CASE WHEN recency > 150 THEN 1 ELSE 6 END",
+    "win_back": "CASE WHEN frequency >= 8 THEN 0 ELSE 3 END",
+    "reactivate": "recency % 5",
+    "thank_you": "CASE WHEN region IN ('ASIA', 'EUROPE') THEN 0 ELSE 5 END",
+}
+
 
 @dataclass(frozen=True)
 class Inputs:
@@ -137,22 +145,29 @@ def campaign_list(
     control_percent: int = 10,
     scored: DataFrame | None = None,
     single_task_rows: int | None = None,
+    matched: bool = False,
 ) -> DataFrame:
     """Eligible, not suppressed, one campaign each, within budget, held out.
 
     ``per_region`` cuts a campaign to its best customers of every region first; by default the
-    budget alone decides. ``reason`` explains the rule risk; customers scored otherwise are passed
+    budget alone decides. With ``matched`` a customer whom one budget leaves out goes on to its
+    next offer (``matching.match``), without it only the first offer counts. ``reason`` explains the rule risk; customers scored otherwise are passed
     as ``scored`` and get their reasons by ``with_reasons``.
     """
     ruled = scored is None
     if scored is None:
         scored = scored_customers(inputs, day, single_task_rows=single_task_rows)
     quiet = C.suppress(scored, C.recent_buyers(inputs.purchases, day, quiet_days))
-    short = C.assign(quiet, campaigns)
-    if per_region is not None:
-        short = C.top_k(short, per_region).drop("place")
-    caps: Mapping[str, Decimal] = {c.campaign_id: c.cap for c in campaigns}
-    funded = C.budget(short, caps, "value_at_risk", inputs.population, single_task_rows)
+    if matched and per_region is not None:
+        raise ValueError("a match has no regional lists: leave out per_region")
+    if matched:
+        funded = matching.match(quiet, campaigns, at_most=inputs.population, single_task_rows=single_task_rows)
+    else:
+        short = C.assign(quiet, campaigns)
+        if per_region is not None:
+            short = C.top_k(short, per_region).drop("place")
+        caps: Mapping[str, Decimal] = {c.campaign_id: c.cap for c in campaigns}
+        funded = C.budget(short, caps, "value_at_risk", inputs.population, single_task_rows)
     parts = {
         "recency": 50 * (5 - F.col("r5")) / 4,
         "frequency": 30 * (5 - F.col("f5")) / 4,
@@ -190,6 +205,7 @@ def run_batch(
     per_region: int | None = None,
     model_id: str = "gbt",
     permutations: int = 16,
+    matched: bool = False,
 ) -> dict[str, str]:
     """From stored tables to exported campaign lists; returns the paths written.
 
@@ -239,7 +255,7 @@ def run_batch(
     predicted = store(scored, "predictions", ("snapshot", "model_id")).where(
         (F.col("snapshot") == F.lit(as_date(day))) & (F.col("model_id") == model_id)
     )
-    listed, _ = freeze(campaign_list(inputs, day, campaigns, per_region=per_region, scored=predicted))
+    listed, _ = freeze(campaign_list(inputs, day, campaigns, per_region=per_region, scored=predicted, matched=matched))
     chosen = current.join(listed.select("customer_id"), "customer_id", "left_semi")
     known = explain.background(train.where("split = 'train'"), MODEL_COLUMNS, permutations)
     told = explain.explain_sampled(model, chosen, MODEL_COLUMNS, known)

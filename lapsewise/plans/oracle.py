@@ -6,7 +6,7 @@ correlated EXISTS are fine here and are what the Spark side avoids.
 
 from __future__ import annotations
 
-from lapsewise.plans.churn import CAMPAIGNS, DAY, HORIZON, SNAPSHOTS
+from lapsewise.plans.churn import CAMPAIGNS, DAY, HORIZON, SNAPSHOTS, WISHES
 
 T = f"TIMESTAMP '{DAY}'"
 T_END = f"({T} + INTERVAL {HORIZON} DAY)"
@@ -205,21 +205,54 @@ funded AS (SELECT * FROM spending JOIN caps USING (campaign_id) WHERE spent <= c
 
 ARM = f"CASE WHEN {bucket('customer_id', 'holdout')} < 10 THEN 'control' ELSE 'contact' END"
 CANDIDATE_COLUMNS = f"campaign_id, customer_id, priority, {dbl('cost', 'value_at_risk')}"
-CAMPAIGN_LIST = with_(
-    *CANDIDATES, suppressed("candidates"), assigned("kept"), funded("assigned"),
-    """parts AS (
-  SELECT customer_id, 'recency' AS name, CAST(50 * (5 - r5) AS DOUBLE) / 4 AS v FROM funded
-  UNION ALL SELECT customer_id, 'frequency', CAST(30 * (5 - f5) AS DOUBLE) / 4 FROM funded
-  UNION ALL SELECT customer_id, 'spend', CAST(20 * (5 - m5) AS DOUBLE) / 4 FROM funded)""",
-    """told AS (
+def matched(source: str) -> str:
+    """The match by priority: each campaign in turn takes whom the ones before left."""
+    steps = []
+    for k, c in enumerate(sorted(CAMPAIGNS, key=lambda c: (c.priority, c.campaign_id))):
+        free = " AND ".join(["true", *[f"customer_id NOT IN (SELECT customer_id FROM match{j})" for j in range(k)]])
+        steps.append(f"""match{k} AS (SELECT *,
+    row_number() OVER (ORDER BY value_at_risk DESC, customer_id) AS place,
+    sum(cost) OVER (ORDER BY value_at_risk DESC, customer_id ROWS UNBOUNDED PRECEDING) AS spent
+  FROM {source} WHERE campaign_id = '{c.campaign_id}' AND {free} QUALIFY spent <= {c.cap})""")
+    return ",\n".join(steps) + ",\nmatched AS (" + " UNION ALL ".join(f"FROM match{k}" for k in range(len(steps))) + ")"
+
+
+def campaign_list(list_name: str, *chosen: str) -> str:
+    return with_(
+        *CANDIDATES, suppressed("candidates"), *chosen, f"listed AS (FROM {list_name})",
+        """parts AS (
+  SELECT customer_id, 'recency' AS name, CAST(50 * (5 - r5) AS DOUBLE) / 4 AS v FROM listed
+  UNION ALL SELECT customer_id, 'frequency', CAST(30 * (5 - f5) AS DOUBLE) / 4 FROM listed
+  UNION ALL SELECT customer_id, 'spend', CAST(20 * (5 - m5) AS DOUBLE) / 4 FROM listed)""",
+        """told AS (
   SELECT customer_id, string_agg(name || ':' || CAST(CAST(v AS DECIMAL(18,2)) AS VARCHAR), ';'
                                  ORDER BY v DESC, name) AS reason
   FROM (SELECT * FROM parts WHERE v > 0
         QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY v DESC, name) <= 2)
   GROUP BY customer_id)""",
-) + f"""SELECT campaign_id, customer_id, region, segment, band, risk, {dbl('value_at_risk')}, place,
+    ) + f"""SELECT campaign_id, customer_id, region, segment, band, risk, {dbl('value_at_risk')}, place,
   {dbl('cost', 'spent')}, {ARM} AS arm, coalesce(reason, '') AS reason
-FROM funded LEFT JOIN told USING (customer_id)"""
+FROM listed LEFT JOIN told USING (customer_id)"""
+
+
+CAMPAIGN_LIST = campaign_list("funded", assigned("kept"), funded("assigned"))
+WISHED = "wished AS (SELECT *, CAST(CASE campaign_id " + " ".join(
+    f"WHEN '{c}' THEN {w}" for c, w in WISHES.items()
+) + " ELSE priority END AS DOUBLE) AS wish FROM candidates)"
+# The best customers choose first, each the first of its wishes that can still pay for it.
+CHOICE = f"""turns AS (
+  SELECT customer_id, row_number() OVER (ORDER BY value_at_risk DESC, customer_id) AS turn,
+    list(campaign_id ORDER BY wish, campaign_id) AS names, list(cost ORDER BY wish, campaign_id) AS costs
+  FROM wished GROUP BY customer_id, value_at_risk),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS took, map_from_entries(list((campaign_id, cap))) AS purse FROM caps
+  UNION ALL
+  SELECT t.turn, t.names[pick], CASE WHEN pick IS NULL THEN purse
+    ELSE map_from_entries(list_transform(map_entries(purse), lambda e: (e.key,
+      CASE WHEN e.key = t.names[pick] THEN CAST(e.value - t.costs[pick] AS DECIMAL(18,2)) ELSE e.value END))) END
+  FROM (SELECT s.purse, t.*, list_position(list_transform(t.names,
+          lambda n, i: s.purse[n] >= t.costs[i]), true) AS pick
+        FROM steps s JOIN turns t ON t.turn = s.turn + 1) t)"""
 
 
 def purchase_rows(source: str, where: str = "") -> str:
@@ -471,6 +504,27 @@ FROM scored GROUP BY CUBE (segment, band)""",
     "c1_eligible": with_(*CANDIDATES) + f"SELECT {CANDIDATE_COLUMNS} FROM candidates",
     "c2_suppress": with_(*CANDIDATES, suppressed("candidates")) + f"SELECT {CANDIDATE_COLUMNS} FROM kept",
     "c3_assign": with_(*CANDIDATES, assigned("candidates")) + f"SELECT {CANDIDATE_COLUMNS} FROM assigned",
+    "c3_match": with_(*CANDIDATES, matched("candidates"))
+    + f"SELECT campaign_id, customer_id, place, {dbl('cost', 'spent')} FROM matched",
+    "c3_match_wishes": "WITH RECURSIVE " + with_(*CANDIDATES, CAPS, WISHED, CHOICE).removeprefix("WITH ")
+    + f"""SELECT campaign_id, customer_id, row_number() OVER ranked AS place, {dbl('cost')},
+  CAST(sum(cost) OVER ranked AS DOUBLE) AS spent
+FROM steps JOIN turns USING (turn) JOIN candidates USING (customer_id) WHERE campaign_id = took
+WINDOW ranked AS (PARTITION BY campaign_id ORDER BY value_at_risk DESC, customer_id ROWS UNBOUNDED PRECEDING)""",
+    "c3_blocking_pairs": with_(*CANDIDATES, assigned("candidates"), funded("assigned"), matched("candidates"),
+        """lists AS (SELECT 'first_offers' AS list, customer_id, campaign_id, priority, value_at_risk, cost FROM funded
+  UNION ALL SELECT 'matched', customer_id, campaign_id, priority, value_at_risk, cost FROM matched)""",
+        """names AS (SELECT DISTINCT list FROM lists)""",
+        """pairs AS (
+  SELECT n.list, c.campaign_id, c.customer_id, c.value_at_risk, c.cost FROM candidates c CROSS JOIN names n
+    LEFT JOIN lists l ON l.list = n.list AND l.customer_id = c.customer_id
+  WHERE l.customer_id IS NULL OR (c.priority, c.campaign_id) < (l.priority, l.campaign_id))""",
+        """blocking AS (
+  SELECT p.list, p.campaign_id FROM pairs p JOIN caps USING (campaign_id)
+  WHERE p.cost + coalesce((SELECT sum(l.cost) FROM lists l WHERE l.list = p.list AND l.campaign_id = p.campaign_id
+    AND (l.value_at_risk > p.value_at_risk OR (l.value_at_risk = p.value_at_risk AND l.customer_id < p.customer_id))), 0) <= cap)""")
+    + """SELECT n.list, c.campaign_id, (SELECT count(*) FROM blocking b WHERE b.list = n.list AND b.campaign_id = c.campaign_id) AS pairs
+FROM names n CROSS JOIN caps c""",
     "c4_top_k": with_(*CANDIDATES, assigned("candidates"), short(10))
     + "SELECT campaign_id, region, customer_id, place_in_region AS place FROM short",
     "c5_budget": with_(*CANDIDATES, assigned("candidates"), funded("assigned"))
@@ -478,6 +532,7 @@ FROM scored GROUP BY CUBE (segment, band)""",
     "c6_holdout": with_(*CANDIDATES, assigned("candidates"))
     + f"SELECT campaign_id, customer_id, {ARM} AS arm FROM assigned",
     "c7_campaign_list": CAMPAIGN_LIST,
+    "c7_matched_list": campaign_list("matched", matched("kept")),
     "c8_overlap": with_(
         *CANDIDATES,
         "a AS (SELECT customer_id FROM candidates WHERE campaign_id = 'rescue_value')",
@@ -539,6 +594,12 @@ FROM events LEFT JOIN scored s ON s.customer_id = user_id""",
   CAST(sum(TRY_CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value,
   count(*) FILTER (WHERE value IS NOT NULL AND TRY_CAST(value AS DECIMAL(18,2)) IS NULL) AS bad_values
 FROM events GROUP BY 1, 2""",
+    "p4_kept_activity": """WITH timed AS (SELECT *, CASE WHEN event_id % 97 <> 0 THEN ts END AS told FROM events)
+SELECT strftime(date_trunc('day', told), '%Y-%m-%d') AS day, user_id AS customer_id,
+  count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+  CAST(sum(TRY_CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value,
+  count(*) FILTER (WHERE value IS NOT NULL AND TRY_CAST(value AS DECIMAL(18,2)) IS NULL) AS bad_values
+FROM timed GROUP BY 1, 2""",
     "u1_global_rank": with_(PURCHASES) + """SELECT order_id,
   row_number() OVER (ORDER BY amount DESC, order_id) AS rn,
   ntile(7) OVER (ORDER BY amount DESC, order_id) AS tile,

@@ -4,11 +4,12 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from support import SMALL, rows
+from support import SMALL, plan_text, rows
 
 from lapsewise import sources, streaming
 from lapsewise.plans import catalogue
 from lapsewise.session import work_path
+from lapsewise.streaming import kept
 
 START = dt.datetime(2024, 1, 1)
 
@@ -128,3 +129,61 @@ def test_scoring_repeats_no_event(spark, folder):
     assert rows(got, "event_id", "customer_id", "risk", "band", "known") == [
         (1, 7, 80.0, "critical", 1), (2, 8, None, None, 0), (3, 7, 80.0, "critical", 1),
     ]
+
+
+# Days that are kept up to date
+
+
+SENT = [
+    # id, hours, user, type, value
+    [(1, 1, 7, "purchase", 2.5), (2, 2, 7, "view", 1.0), (3, 30, 8, "view", None)],
+    [(2, 2, 7, "view", 1.0), (4, 100, 7, "click", 1e30), (None, 3, 7, "view", 0.25), (None, 3, 7, "view", 0.25)],
+    [(5, 5, 7, "purchase", 9.0), (3, 30, 6, "view", None), (6, None, 9, "view", 1.0), (7, 31, None, None, 1.5)],
+    [(3, 30, 8, "view", None), (6, None, 9, "view", 1.0), (1, 1, 7, "purchase", 2.5), (1, 1, 7, "purchase", 2.5)],
+]
+KEPT = [
+    (None, 9, 1, 0, 1.0, 0), ("2024-01-01", 7, 5, 2, 13.0, 0), ("2024-01-02", None, 1, 0, 1.5, 0),
+    ("2024-01-02", 6, 1, 0, None, 0), ("2024-01-05", 7, 1, 0, None, 1),
+]
+
+
+def send(spark, folder, events):
+    data = [(i, h if h is None else START + dt.timedelta(hours=h), u, t, v, "{}") for i, h, u, t, v in events]
+    spark.createDataFrame(data, sources.SCHEMAS["events"]).coalesce(1).write.mode("append").parquet(folder)
+
+
+def kept_rows(spark, path, days=None):
+    day = F.date_format("day", "yyyy-MM-dd")
+    found = kept.activity(spark, path, days)
+    return rows(found, day, "customer_id", "events", "purchases", F.col("value").cast("double"), "bad_values")
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_kept_days_do_not_depend_on_the_order_of_files(spark, folder, order):
+    """Late rows, repeats, repeats that differ (event 3), rows without id, time, user or value."""
+    out = work_path(spark, "kept")
+    for k in order:
+        send(spark, folder, SENT[k])
+        stream = streaming.event_stream(spark, folder, files_per_batch=1)
+        kept.keep_activity(stream, f"{out}/days", f"{out}/state").awaitTermination()
+    assert kept_rows(spark, f"{out}/days") == sorted(KEPT, key=repr)
+    assert kept_rows(spark, f"{out}/days", [dt.date(2024, 1, 5), None]) == sorted([KEPT[0], KEPT[4]], key=repr)
+
+
+def test_a_batch_reads_its_own_days_only_and_can_be_repeated(spark):
+    out = work_path(spark, "kept")
+    events = spark.createDataFrame(
+        [(n, START + dt.timedelta(days=n % 40), n % 3, "view", 1.0, "{}") for n in range(400)], sources.SCHEMAS["events"]
+    )
+    stream = lambda k: events.where(f"event_id % 4 = {k}")
+    for name, schema in (("versions", kept.VERSIONS), ("partials", kept.PARTIALS)):
+        spark.createDataFrame([], schema).write.partitionBy("day", "batch").parquet(f"{out}/{name}")
+    for k in range(4):
+        kept.merge_batch(stream(k), k, out)
+    before = kept_rows(spark, out)
+    kept.merge_batch(stream(3), 3, out)
+    assert kept_rows(spark, out) == before and sum(r[2] for r in before) == 400
+    one = kept.known(spark, out, [START.date()], 9)
+    assert one.count() == 10
+    filters = [x for x in plan_text(one).splitlines() if "PartitionFilters" in x]
+    assert filters and "day" in filters[0].split("PartitionFilters")[1]  # other days' files are not opened
