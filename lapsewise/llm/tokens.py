@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -24,62 +25,107 @@ BLOCK_IDS = 1 << 20
 #: Terminal symbols: token ids below this, then the mark that ends a document.
 TERMINALS = 51_200
 MARK = TERMINALS
-#: Rounds of pair replacement, pairs of a round, and how often a pair must occur.
-ROUNDS, ROUND_PAIRS, LEAST = 10, 1_024, 12
-#: Chunks whose ids a task remembers.
-KNOWN_CHUNKS = 1_000_000
-JOINED = 512
+#: Pairs that a round replaces at most, and how often a pair must occur: a rule takes the room of
+#: four symbols, so that fewer would not pay.
+ROUND_PAIRS, LEAST = 16_384, 8
+#: Bytes of chunks, ids and hashes that a task remembers.
+KNOWN_BYTES = 96 << 20
+#: Chunks that are encoded as one text.
+JOINED = 128
+ASCII_LETTER, ASCII_MARK = np.zeros(256, bool), np.zeros(256, bool)
+ASCII_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+# Not the apostrophe, which the tokenizer may keep with letters after it.
+ASCII_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
 # White space beyond ASCII, and the vocabulary's own special text: such texts are encoded whole.
 UNUSUAL = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The bytes that its characters begin with in UTF-8.
+RARE = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
+
+
+def _gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of the runs ``start[i] .. start[i] + length[i]``, one run after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(start - (ends - length), length)
+
+
+class _Runs:
+    """A growing array of runs: run i is ``flat[begin[i] : begin[i + 1]]``."""
+
+    def __init__(self, kind):
+        self.flat, self.begin = np.zeros(1 << 16, kind), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.begin[-1])
+        if used + flat.size > self.flat.size:
+            self.flat = np.concatenate([self.flat, np.zeros(max(self.flat.size // 2, flat.size), self.flat.dtype)])
+        self.flat[used : used + flat.size] = flat
+        self.begin = np.concatenate([self.begin, used + np.cumsum(lengths)])
+
+    def places(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and lengths of some runs."""
+        length = self.begin[runs + 1] - self.begin[runs]
+        return _gather(self.begin[runs], length), length
 
 
 class Encoder:
     """Encodes texts by the chunks they consist of: white space and what follows up to the next
-    white space. The tokenizer never joins text across the start of a chunk, so a chunk's ids are
-    the same everywhere, and each distinct chunk is encoded once."""
+    white space, parted between an ASCII letter and a mark. The tokenizer never joins text across
+    the start of a chunk, so a chunk's ids are the same everywhere, and each distinct chunk is
+    encoded once. Chunks are found by a hash and compared byte by byte."""
 
     def __init__(self, model: str):
+        # Spark runs a task for each core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, int] = {}
-        self.begin: list[int] = []
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        vocabulary = self.tokenizer.get_vocab()
+        # Tokens are written in an alphabet of one character a byte.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.chunks, self.ids = _Runs(np.uint8), _Runs(np.uint16)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if SPACE[c[0]] and not SPACE[c[-1]]]
-        rest = [c for c in chunks if not SPACE[c[0]] or SPACE[c[-1]]]
-        found = self._whole([c.decode() for c in rest])
-        sizes = np.array([x.size for x in found], np.int64)
-        self._keep(rest, np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum(sizes) - sizes)
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            texts = [c.decode() for c in part]
-            starts = np.cumsum([0, *map(len, texts)])[:-1]
-            done = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-            begins = np.fromiter((a for a, _ in done.offsets), np.int64, len(done))
-            self._keep(part, np.array(done.ids, np.int32), np.searchsorted(begins, starts))
-
-    def _keep(self, chunks: list[bytes], ids: np.ndarray, begins: np.ndarray) -> None:
-        """Chunks with their ids one after the other, each from its place in ``begins``."""
-        if self.used + ids.size > self.flat.size:
-            self.flat = np.concatenate([self.flat, np.zeros(max(self.flat.size, ids.size), np.int32)])
-        self.flat[self.used : self.used + ids.size] = ids
-        self.known.update(zip(chunks, range(len(self.begin), len(self.begin) + len(chunks))))
-        self.begin += (self.used + begins).tolist()
-        self.used += ids.size
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, flat: np.ndarray, length: np.ndarray) -> None:
+        """Keep new chunks, which stand one after the other in ``flat``, and their ids."""
+        end = np.cumsum(length)
+        begin = end - length
+        plain = SPACE[flat[begin]] & ~SPACE[flat[end - 1]]
+        for some, together in ((plain, JOINED), (~plain, 1)):
+            chosen = np.flatnonzero(some)
+            if not chosen.size:
+                continue
+            data, lengths = flat[_gather(begin[chosen], length[chosen])], length[chosen]
+            ends = np.cumsum(lengths)
+            cuts = [0, *ends[together - 1 :: together].tolist()]
+            cuts += [] if cuts[-1] == data.size else [data.size]
+            found = self._whole([data[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:])])
+            ids = np.concatenate(found)
+            # No token crosses the start of a chunk, so the last byte of a chunk ends a token.
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
+            self.chunks.add(data, lengths)
+            self.ids.add(ids, np.diff(upto, prepend=0))
+
+    def _odd(self, text: str, data: bytes) -> bool:
+        # All unusual white space has one of few bytes, so most texts need no closer look.
+        if len(data) != len(data.translate(None, RARE)) and UNUSUAL.search(text):
+            return True
+        return any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [bool(UNUSUAL.search(t)) or any(s in t for s in self.special) for t in texts]
+        data = [t.encode() for t in texts]
+        odd = [self._odd(t, d) for t, d in zip(texts, data)]
         out: list = [None] * len(texts)
         whole = [k for k, o in enumerate(odd) if o]
         for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
             out[k] = ids
         usual = [k for k, o in enumerate(odd) if not o]
-        for k, ids in zip(usual, self._by_chunks([texts[k].encode() for k in usual])):
+        for k, ids in zip(usual, self._by_chunks([data[k] for k in usual])):
             out[k] = ids
         return out
 
@@ -87,28 +133,40 @@ class Encoder:
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         if not data.size:
-            return [np.zeros(0, np.int32)] * len(texts)
+            return [np.zeros(0, np.uint16)] * len(texts)
         space = SPACE[data]
         first = np.zeros(data.size, bool)
-        first[1:] = space[1:] & ~space[:-1]
+        first[1:] = (space[1:] & ~space[:-1]) | (ASCII_MARK[data[1:]] & ASCII_LETTER[data[:-1]])
         bounds = np.cumsum(sizes)
         first[(bounds - sizes)[sizes > 0]] = True
         start = np.flatnonzero(first)
-        end = np.append(start[1:], data.size)
-        _, sample, which = np.unique(run_hashes(_BYTE[data], start, end), return_index=True, return_inverse=True)
+        length = np.diff(np.append(start, data.size))
+        hashes, sample, which = np.unique(run_hashes(_BYTE[data], start, start + length), return_index=True, return_inverse=True)
+        if self.chunks.flat.nbytes + self.ids.flat.nbytes + 32 * self.known.size > KNOWN_BYTES:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        old = at < self.hashes.size
+        old[old] = self.hashes[at[old]] == hashes[old]
+        number = np.empty(hashes.size, np.int64)
+        number[old] = self.known[at[old]]
+        new = np.flatnonzero(~old)
+        if new.size:
+            # In the order in which they are kept: plain ones first.
+            begin = start[sample[new]]
+            plain = SPACE[data[begin]] & ~SPACE[data[begin + length[sample[new]] - 1]]
+            new = np.concatenate([new[plain], new[~plain]])
+            number[new] = self.known.size + np.arange(new.size)
+            self._learn(data[_gather(start[sample[new]], length[sample[new]])], length[sample[new]])
+            order = np.sort(new)
+            self.hashes, self.known = np.insert(self.hashes, at[order], hashes[order]), np.insert(self.known, at[order], number[order])
+        number = number[which]
         # The hash only finds equal chunks; that they are equal is compared.
-        alike = np.arange(data.size) + np.repeat(start[sample][which] - start, end - start)
-        if (end - start != (end - start)[sample][which]).any() or (data[alike] != data).any():
+        places, lengths = self.chunks.places(number)
+        if (lengths != length).any() or (self.chunks.flat[places] != data).any():
             return self._whole([t.decode() for t in texts])
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known, self.begin, self.used = {}, [], 0
-        chunks = [data[a:b].tobytes() for a, b in zip(start[sample], end[sample])]
-        self._learn([c for c in chunks if c not in self.known])
-        begin = np.array([*self.begin, self.used])
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[which]
-        lengths = begin[at + 1] - begin[at]
+        places, lengths = self.ids.places(number)
+        ids = self.ids.flat[places]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin[at] - (ends - lengths), lengths)]
         cuts = np.append(ends - lengths, ends[-1])[np.searchsorted(start, np.append(0, bounds))]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -116,16 +174,23 @@ class Encoder:
 def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: the sequence (16-bit symbols) with its frequent pairs replaced, and the rules, two symbols each.
 
-    A round counts all pairs that do not touch a document's end and takes the most frequent ones,
-    in which no symbol is a left and a right side at once; so occurrences never overlap and all
-    are replaced together.
+    A round counts all pairs that do not touch a document's end, in a run of one symbol every
+    second one, and takes the most frequent of them in which no symbol is a left and a right side
+    at once; so occurrences never overlap and all are replaced together. Rounds go on until no
+    pair occurs ``LEAST`` times or all names are given.
     """
     left: list[int] = []
     right: list[int] = []
-    for _ in range(ROUNDS):
+    while True:
         a, b = sequence[:-1], sequence[1:]
+        usable = (a != MARK) & (b != MARK)
+        twin = np.flatnonzero(a == b)
+        if twin.size:
+            # Place of a twin in its run of neighbouring twins: only even ones count.
+            run = np.flatnonzero(np.diff(twin, prepend=-2) > 1)
+            usable[twin[(np.arange(twin.size) - np.repeat(run, np.diff(np.append(run, twin.size)))) % 2 == 1]] = False
         # Two symbols of 16 bits in one number of 32, which sorts fast.
-        codes = (a.astype(np.uint32) << np.uint32(16) | b)[(a != MARK) & (b != MARK)]
+        codes = (a.astype(np.uint32) << np.uint32(16) | b)[usable]
         codes.sort()
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if codes.size else np.zeros(0, int)
         counts = np.diff(np.append(at, codes.size))
@@ -136,11 +201,12 @@ def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chosen = []
         for code in codes[at[often]].tolist():
             x, y = code >> 16, code & 0xFFFF
-            if x != y and x not in rights and y not in lefts:
+            if x not in rights and y not in lefts and (x != y or x not in lefts and x not in rights):
                 lefts.add(x)
                 rights.add(y)
                 chosen.append(code)
-        if not chosen or TERMINALS + 1 + len(left) + len(chosen) > 1 << 16:
+        chosen = chosen[: (1 << 16) - TERMINALS - 1 - len(left)]
+        if not chosen:
             break
         names = np.arange(len(chosen)) + TERMINALS + 1 + len(left)
         left += [c >> 16 for c in chosen]
@@ -149,7 +215,7 @@ def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table, names = np.array(chosen, np.uint32)[order], names[order].astype(np.uint16)
         is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         is_left[list(lefts)], is_right[list(rights)] = True, True
-        spots = np.flatnonzero(is_left[a] & is_right[b])
+        spots = np.flatnonzero(is_left[a] & is_right[b] & usable)
         wanted = sequence[spots].astype(np.uint32) << np.uint32(16) | sequence[spots + 1]
         found = np.minimum(np.searchsorted(table, wanted), table.size - 1)
         hit = table[found] == wanted
@@ -189,7 +255,10 @@ def pack(documents: list[np.ndarray], end_id: int = END_ID) -> bytes:
     and its first symbol, then the symbols. Ids must be below ``TERMINALS``."""
     marked = [np.append(d, MARK).astype(np.uint16) for d in documents]
     symbols, rules = compress(np.concatenate([np.zeros(0, np.uint16), *marked]))
-    lengths = np.diff(_expansions(rules)[1])
+    ids = [1] * (MARK + 1)  # by symbol
+    for x, y in rules.T.tolist():
+        ids.append(ids[x] + ids[y])
+    lengths = np.array(ids[MARK + 1 :])
     sizes = np.array([d.size for d in marked], np.int64)
     firsts = np.concatenate([[0], np.flatnonzero(symbols == MARK) + 1]).astype(np.int64)
     head = struct.pack("<4sIIIQ", MAGIC, end_id, len(documents), rules.shape[1], symbols.size)
@@ -270,7 +339,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             )
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 for name, ids in zip(part.column("_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     held.append(ids)
                     names.append(name)
