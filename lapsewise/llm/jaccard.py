@@ -20,6 +20,8 @@ from lapsewise.session import freeze
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 75 / 100.
 ABOVE, BELOW = 75, 100
+#: Bytes of text worked on at once, which take some thirty times as much in arrays.
+PIECE = 1 << 20
 #: Texts of a block, which two bytes name.
 BLOCK_TEXTS = 1 << 16
 #: Candidates that one search looks at together.
@@ -95,7 +97,7 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     def cut(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 for at in range(0, part.num_rows, BLOCK_TEXTS):
                     yield from one(part.slice(at, BLOCK_TEXTS), block)
                     block += 1
@@ -300,7 +302,7 @@ def _labelled(docs: DataFrame, id_column: str) -> DataFrame:
 
     def hashed(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 grams, first = shingle_sets(part.column("text"))
                 names = [x.tobytes() for x in digests(grams, first)]
                 sets = [grams[a:b].tobytes() for a, b in zip(first, first[1:])]
