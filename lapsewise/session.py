@@ -18,6 +18,8 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     # A total beyond its type is an error, never a wrong number.
     "spark.sql.ansi.enabled": "true",
+    # Rows go to Python in batches; whole texts are large rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Stream state may outgrow the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
