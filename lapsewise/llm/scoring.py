@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,14 @@ END = FREQUENT + CLASSES
 UNITS = END + 1
 DIMENSIONS = 16
 NOISE = 24
-BATCH = 1_024
-RATE = 0.05
-ROUNDS = 1
+BATCH = 512
+RATE = 0.1
+#: Shards by their number modulo ROUND_SHARDS in the rounds of training; each stands in one.
+ROUND_SHARDS, ROUNDS = 8, ((0,), (1, 2), (3, 4, 5, 6, 7))
+#: Shards of the training texts at most; beyond, a shard has several pieces.
+MOST_SHARDS = 65_536
+#: Parameters are added up as whole multiples of 1 / SCALE.
+SCALE = float(1 << 20)
 #: Words a task counts before it hands its counts on.
 COUNTER_WORDS = 500_000
 PIECE_WORDS = 1 << 20
@@ -95,8 +101,7 @@ def _unit_streams(texts, head: Head):
     known = head.known
     for text in texts:
         words = _tokens(text)
-        at = [known.get(w, -1) for w in words]
-        yield words, np.array(at, np.int64)
+        yield words, np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
 
 
 def _units(words: list[bytes], at: np.ndarray, head: Head) -> np.ndarray:
@@ -153,29 +158,30 @@ class LogBilinear:
         """One pass of noise-contrastive estimation: tell each unit from ``NOISE`` units drawn for
         the whole batch. AdaGrad steps, the gradient of a batch taken as a mean."""
         cumulated = np.cumsum(noise)
-        log_noise = np.log(noise * NOISE)
+        log_noise = np.log(noise * NOISE).astype(np.float32)
+        values = [x.astype(np.float32) for x in (self.r, self.q, self.a, self.b)]
+        r, q, a, bias = values
         for s in range(0, units.size, BATCH):
             w, v1, v2 = units[s : s + BATCH], one[s : s + BATCH], two[s : s + BATCH]
             n = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), UNITS - 1)
-            r1, r2 = self.r[v1], self.r[v2]
-            context = r1 * self.a[0] + r2 * self.a[1]
-            real = np.einsum("ij,ij->i", context, self.q[w]) + self.b[w] - log_noise[w]
-            drawn = context @ self.q[n].T + (self.b[n] - log_noise[n])
+            r1, r2, qw = r[v1], r[v2], q[w]
+            context = r1 * a[0] + r2 * a[1]
+            real = np.einsum("ij,ij->i", context, qw) + (bias - log_noise)[w]
+            drawn = context @ q[n].T + (bias - log_noise)[n]
             miss = 1 / (1 + np.exp(np.clip(real, -30, 30)))
             wrong = -1 / (1 + np.exp(np.clip(-drawn, -30, 30)))
-            back = miss[:, None] * self.q[w] + wrong @ self.q[n]
-            gq, gb = np.zeros_like(self.q), np.zeros_like(self.b)
+            back = miss[:, None] * qw + wrong @ q[n]
+            gq, gb, gr = np.zeros_like(q), np.bincount(w, miss, UNITS).astype(np.float32), np.zeros_like(r)
             _scatter(gq, w, miss[:, None] * context)
-            gb += np.bincount(w, miss, UNITS)
             np.add.at(gq, n, wrong.T @ context)
             np.add.at(gb, n, wrong.sum(0))
-            gr = np.zeros_like(self.r)
-            _scatter(gr, np.concatenate([v1, v2]), np.concatenate([back * self.a[0], back * self.a[1]]))
+            _scatter(gr, np.concatenate([v1, v2]), np.concatenate([back * a[0], back * a[1]]))
             ga = np.stack([(back * r1).sum(0), (back * r2).sum(0)])
-            for value, gradient, square in ((self.r, gr, squares[0]), (self.q, gq, squares[1]), (self.a, ga, squares[2]), (self.b, gb, squares[3])):
+            for value, gradient, square in zip(values, (gr, gq, ga, gb), squares):
                 gradient /= w.size
                 square += gradient * gradient
                 value += RATE * gradient / np.sqrt(square + 1e-10)
+        self.r, self.q, self.a, self.b = (x.astype(np.float64) for x in values)
 
     def tables(self):
         """``A[v1, w]`` and ``B[v2, w]``, whose sum is the score, and the logarithm of the
@@ -188,51 +194,92 @@ class LogBilinear:
         return first.astype(np.float32), second.astype(np.float32), z.astype(np.float32)
 
 
-def _train(docs: DataFrame, shared_head, unigram: np.ndarray) -> LogBilinear:
-    """Parameters averaged over tasks, weighted by tokens: every task passes over all its rows,
-    starting from the last round's average, and the next round starts from the new one."""
-    spark = docs.sparkSession
+def _pieces(docs: DataFrame, shared_head, tokens: int) -> DataFrame:
+    """The texts as unit streams, ``shard, piece, units`` (16 bits each, texts one after the other).
+
+    A text's shard is a hash of id and text, and texts stand in the order of that hash; a shard has
+    about ``PIECE_WORDS`` units, and a larger one several pieces. So the pieces are the same
+    whatever the partitions of ``docs``.
+    """
+
+    def units_of(batches):
+        head = Head(*shared_head.value)
+        for batch in batches:
+            streams = [_units(words, at, head).astype(np.uint16).tobytes() for words, at in _unit_streams(batch.column(2).to_pylist(), head)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(streams, pa.binary())], ["shard", "key", "units"])
+
+    key = F.xxhash64("_id", "text")
+    shards = min(MOST_SHARDS, 1 + 4 * tokens // (3 * PIECE_WORDS))
+    rows = docs.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("key"), "text").mapInArrow(
+        units_of, "shard bigint, key bigint, units binary"
+    )
+
+    def pack(batches):
+        held: list[bytes] = []
+        size, at, piece = 0, None, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int64()), pa.array([piece], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["shard", "piece", "units"]
+            )
+
+        for batch in batches:
+            for shard, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and (shard != at or size >= PIECE_WORDS):
+                    yield row()
+                    piece = piece + 1 if shard == at else 0
+                    held, size = [], 0
+                at = shard
+                held.append(units)
+                size += len(units) // 2
+        if held:
+            yield row()
+
+    # Equal keys are equal texts, but for a collision; then the units decide.
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "key", "units")
+    return freeze(ordered.select("shard", "units").mapInArrow(pack, "shard bigint, piece bigint, units binary"))[0]
+
+
+def _train(pieces: DataFrame, unigram: np.ndarray) -> LogBilinear:
+    """Parameters averaged over pieces, weighted by tokens: the pieces of a round all start from the
+    average of the round before, parameters and step sizes, and every piece is passed over once.
+    Sums are whole numbers, so they do not depend on their order."""
+    spark = pieces.sparkSession
     model = LogBilinear.start(unigram)
-    for round_ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((model.flat(), unigram))
-
-        def fit(batches, sent=sent, round_=round_):
-            head = Head(*shared_head.value)
-            flat, noise = sent.value
-            mine = LogBilinear.unflat(flat)
-            squares = [np.zeros_like(x) for x in (mine.r, mine.q, mine.a, mine.b)]
-            rng = np.random.default_rng([round_, TaskContext.get().partitionId()])
-            seen, held, size = 0, [], 0
-
-            def step():
-                parts = [np.concatenate(x) for x in zip(*held)]
-                order = rng.permutation(parts[0].size)
-                mine.learn(parts[0][order], parts[1][order], parts[2][order], noise, squares, rng)
+    steps = np.zeros(model.flat().size)
+    for shards in ROUNDS:
+        sent = spark.sparkContext.broadcast((model.flat(), steps, unigram))
 
+        def fit(batches, sent=sent):
+            flat, steps, noise = sent.value
+            total, seen = np.zeros(2 * flat.size, np.int64), 0
             for batch in batches:
-                for words, at in _unit_streams(batch.column(0).to_pylist(), head):
-                    units = _units(words, at, head)
-                    held.append((units, *_contexts(units)))
-                    size += units.size
-                    if size >= PIECE_WORDS:
-                        step()
-                        seen, held, size = seen + size, [], 0
-            if held:
-                step()
-                seen += size
+                for shard, piece, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    units = np.frombuffer(data, np.uint16).astype(np.int32)
+                    one, two = _contexts(units)
+                    # A text's end is the context before the next text, so no context crosses it.
+                    two[np.flatnonzero(units[:-1] == END) + 1] = END
+                    mine, sizes = LogBilinear.unflat(flat), LogBilinear.unflat(steps)
+                    squares = [(x * x).astype(np.float32) for x in (sizes.r, sizes.q, sizes.a, sizes.b)]
+                    rng = np.random.default_rng([shard, piece])
+                    order = rng.permutation(units.size)
+                    mine.learn(units[order], one[order], two[order], noise, squares, rng)
+                    done = np.concatenate([mine.flat(), *(np.sqrt(x.astype(np.float64)).ravel() for x in squares)])
+                    total += np.rint(done * (SCALE * units.size)).astype(np.int64)
+                    seen += units.size
             if seen:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(mine.flat().size), pa.int32()), pa.array(mine.flat() * seen), pa.array(np.full(mine.flat().size, float(seen)))],
-                    ["at", "value", "weight"],
+                    [pa.array(np.arange(total.size), pa.int32()), pa.array(total), pa.array(np.full(total.size, seen))], ["at", "value", "weight"]
                 )
 
-        sums = docs.select("text").mapInArrow(fit, "at int, value double, weight double").groupBy("at").agg(
-            (F.sum("value") / F.sum("weight")).alias("value")
+        mine = pieces.where((F.col("shard") % ROUND_SHARDS).isin(*shards))
+        sums = mine.mapInArrow(fit, "at int, value bigint, weight bigint").groupBy("at").agg(
+            F.sum(F.col("value").cast("decimal(38,0)")).cast("double").alias("value"), F.sum("weight").alias("weight")
         )
         found = sums.toArrow()
-        flat = model.flat()
-        flat[found.column("at").to_numpy()] = found.column("value").to_numpy()
-        model = LogBilinear.unflat(flat)
+        both = np.concatenate([model.flat(), steps])
+        both[found.column("at").to_numpy()] = found.column("value").to_numpy() / (SCALE * found.column("weight").to_numpy())
+        model, steps = LogBilinear.unflat(both[: steps.size]), both[steps.size :]
     return model
 
 
@@ -285,7 +332,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", folds: int = 7, held_out:
     class_total = np.log10(class_tokens + class_words + 1.0)
     base_total = float(np.log10(total_tokens + total_words + 1.0))
     shared_head = spark.sparkContext.broadcast((words, head_counts))
-    model = _train(training, shared_head, unigram)
+    model = _train(_pieces(training, shared_head, total_tokens), unigram)
     shared = spark.sparkContext.broadcast((*model.tables(), class_total, ends))
 
     def look(batches):

@@ -99,6 +99,30 @@ def test_model_is_normalised(monkeypatch):
     assert mean > math.log(0.25) + 0.1
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Many pieces in all rounds, rows in any order, one text with a third of all rows."""
+    monkeypatch.setattr(scoring, "PIECE_WORDS", 2_000)
+    docs = real(spark)
+    one = docs.where("doc_id = 3")
+    for _ in range(6):
+        one = one.union(one)
+    docs = docs.union(one)
+    few = scoring.score(docs.repartition(2)).select("doc_id", F.round("score", 6).alias("score"))
+    many = scoring.score(docs.orderBy(F.rand(5)).repartition(17)).select("doc_id", F.round("score", 6).alias("score"))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_more_text_makes_a_better_model(spark):
+    """What a held-out token gains over the base, learnt from a third and from all of the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def gain(some):
+        row = scoring.score(some).where("held_out and doc_id % 3 = 0").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()
+        return row[0]
+
+    assert gain(docs) > gain(docs.where("doc_id % 3 = 0")) + 0.02
+
+
 def test_class_of_a_word_is_the_same_in_sql(spark):
     words = [b"a", "é".encode(), b"abc", "xyzé".encode(), b"0", b"ab"]
     df = spark.createDataFrame([(w,) for w in words], "word binary")
