@@ -169,12 +169,12 @@ def top_k(
     Both tables have ``vec_id`` and ``vector``, an array of whole numbers (``quantized`` makes
     it); other columns are not read. Returns ``query_id, rank`` (from 1)``, vec_id, score``; all
     candidates if there are fewer than ``k``, no row for a query without any. Ties go to the
-    smaller id. A query never meets rows of its own id. Exactly repeated rows count once; an id
-    with several vectors stands as several candidates, and as a query with the smallest of them.
-    Rows with a null id or a null vector take no part; of vectors of different lengths the
+    smaller id. A query never meets rows of its own id. Repeated rows count one by one: as candidates
+    each is a row of the result, and an id with several query rows gets the best of what all of them
+    find. Rows with a null id or a null vector take no part; of vectors of different lengths the
     shorter one ends in zeros. Scores beyond 64 bits wrap around, as ``bigint`` does.
 
-    Vectors are dealt to shards by a hash of the id, and each shard becomes a tree, written once.
+    Vectors are dealt to shards by a hash of id and place, so that no id fills one, and each shard becomes a tree, written once.
     Queries are dealt to blocks. First every block searches one shard, by which each query gets a
     kth score; then the block searches the other shards, where a query visits only boxes that can
     reach that score. The kth scores travel with the queries, so no search waits for another.
@@ -187,13 +187,14 @@ def top_k(
     )
     shards = max(1, -(-clean.count() // shard_rows))
     blocks = max(1, -(-asked.count() // block_rows))
-    pick = F.xxhash64("vec_id")
+    pick = F.xxhash64("vec_id", F.monotonically_increasing_id())
 
     def build(key, rows):
         table = pa.Table.from_batches(rows) if not isinstance(rows, pa.Table) else rows
         points = _matrix(table.column("vector").combine_chunks())
         ids = table.column("vec_id").to_numpy()
-        both = np.unique(np.concatenate([ids[:, None], points], axis=1), axis=0)
+        both = np.concatenate([ids[:, None], points], axis=1)
+        both = both[np.lexsort(both.T[::-1])]  # whatever order the rows came in
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([Tree(both[:, 0], both[:, 1:]).dump()], pa.binary())})
 
     trees, _ = freeze(
@@ -201,17 +202,12 @@ def top_k(
     )
 
     def gather(key, table):
-        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-        firsts: dict[int, list[int]] = {}
-        ids, lists = table.column("vec_id").to_pylist(), table.column("vector").to_pylist()
-        for at in order:
-            if ids[at] not in firsts or lists[at] < firsts[ids[at]]:
-                firsts[ids[at]] = lists[at]
+        rows = sorted(zip(table.column("vec_id").to_pylist(), table.column("vector").to_pylist()))
         return pa.table(
             {
                 "block": pa.array([key[0].as_py()], pa.int32()),
-                "ids": pa.array([list(firsts)], pa.list_(pa.int64())),
-                "vectors": pa.array([list(firsts.values())], pa.list_(pa.list_(pa.int64()))),
+                "ids": pa.array([[i for i, _ in rows]], pa.list_(pa.int64())),
+                "vectors": pa.array([[v for _, v in rows]], pa.list_(pa.list_(pa.int64()))),
             }
         )
 

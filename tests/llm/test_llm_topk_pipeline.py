@@ -39,13 +39,30 @@ def test_search_over_shards_and_blocks(spark):
 def test_search_of_messy_vectors(spark):
     rows = [(0, [1, 2]), (0, [1, 2]), (1, [5]), (2, None), (None, [1, 1]), (3, []), (4, [1 << 40, 0]), (5, [1, 2])]
     df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id in (0, 3)"), 20).collect()}
-    assert got == {(0, 1, 4, 1 << 40), (0, 2, 1, 5), (0, 3, 5, 5), (0, 4, 3, 0), (3, 1, 0, 0), (3, 2, 1, 0), (3, 3, 4, 0), (3, 4, 5, 0)}
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id in (0, 3)"), 20).collect())
+    # Row 0 stands there twice: as a candidate, and as a query whose two rows find everything twice.
+    assert [x[1] for x in got] == [1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5]
+    assert [(q, i, s) for q, _, i, s in got if q == 0] == [(0, i, s) for i, s in ((4, 1 << 40), (1, 5), (5, 5), (3, 0)) for _ in range(2)]
+    assert [(i, s) for q, _, i, s in got if q == 3] == [(0, 0), (0, 0), (1, 0), (4, 0), (5, 0)]
     assert topk.top_k(df.limit(0), df, 3).count() == 0
     assert topk.top_k(df, df.limit(0), 3).count() == 0
     assert topk.top_k(df.where("vec_id = 1"), df.where("vec_id = 1"), 3).count() == 0
 
 
+def test_repeated_rows_match_the_sql(spark):
+    """Copies of candidates and of queries over many shards and blocks, one id with a third of all rows."""
+    rng = random.Random(9)
+    rows = [(n, [rng.randrange(-9, 10) for _ in range(4)]) for n in range(200)]
+    rows += [rng.choice(rows) for _ in range(200)] + [(40, [rng.randrange(-3, 4) for _ in range(4)]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>").repartition(5)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 6, shard_rows=50, block_rows=20).collect()
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for p, x in rows if p == q for i, y in rows if i != q)
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:6])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def test_quantized(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.01]), (1, None), (2, [nan]), (3, [inf, 1.0]), (4, [1.0, None]), (5, [])]
