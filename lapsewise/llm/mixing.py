@@ -47,25 +47,69 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def rates(goals: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
-    """Adds ``rate``, by Newton's method on the dual of
+def rates(goals: DataFrame, atoms: DataFrame | None = None, cap: float | None = None, steps: int = NEWTON_STEPS) -> DataFrame:
+    """Rates that balance the sources, by Newton's method on the dual of
 
-        minimise sum over documents of size * (r * log r - r)   given   sum of size * r = target
+        minimise sum of n * (r * log r - r)   given   sum of n * size * r = target,  r <= cap
 
-    for each source. The words are the atoms of the entropy, so a document's rate is
-    ``exp(lambda)`` with the multiplier of its source, and a long document is treated like a
-    short one. The gradient ``size * exp(lambda) - target`` and the curvature
-    ``size * exp(lambda)`` need the sources' sums only, which Spark has added up before. The dual
-    is convex: from 0 the steps approach its minimum, at most 1 a step downwards, and end there to
-    the last digits. A target of 0 has rate 0.
+    for each source. ``atoms`` are its documents, ``n`` of each ``size``; the solution tilts them
+    exponentially, ``r = min(cap, exp(lambda * size / mean size))`` with the multiplier of the
+    source. Returns ``source, size, rate``. Without ``atoms`` each source is one and ``goals`` come
+    back with ``rate``.
+
+    A step adds up mass and curvature over all atoms, where they lie, and moves every open source
+    by Newton's step for the logarithm of its mass, which is exact for a single atom; a step that
+    leaves the bracket of earlier ones halves it. A target of 0 has rate 0, one at the cap of all
+    words the cap.
     """
-    def newton(value: Column, _: Column) -> Column:
-        mass = F.col("source_size") * F.exp(value)
-        return value - (mass - F.col("target")) / mass
+    alone = atoms is None
+    if alone:
+        atoms = goals.select("source", F.col("source_size").alias("size"), F.lit(1).cast("bigint").alias("n"))
+    most = F.lit(float("inf") if cap is None else float(cap))
+    means = atoms.where("size > 0").groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("unit"))
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    state, _ = freeze(
+        goals.select("source", "source_size", "target").join(means.withColumnRenamed("source", "_m"), _same("source", "_m"), "left").select(
+            "source", "target", "unit", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+            F.when(F.col("unit").isNull() | (F.col("target") <= 0), 0.0).when(full, most).alias("fixed"),
+            (F.col("unit").isNull() | (F.col("target") <= 0) | full).alias("done"),
+        )
+    )
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), newton)
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(solved)).otherwise(0.0)
-    return goals.withColumn("rate", rate)
+    def tilted(size: str) -> Column:
+        # Beyond this exponent every rate is at a cap, and a double at its end.
+        return F.exp(F.least(F.col("tilt") * F.col(size) / F.col("unit"), F.lit(700.0)))
+
+    for _ in range(steps):
+        open_ = state.where("not done").select(F.col("source").alias("_s"), "tilt", "unit")
+        at = atoms.where("size > 0").join(open_, _same("source", "_s")).withColumn("r", tilted("size"))
+        words = F.col("n") * F.col("size")
+        sums = at.groupBy("_s").agg(
+            F.sum(words * F.least("r", most)).alias("mass"),
+            F.coalesce(F.sum(F.when(F.col("r") < most, words * F.col("size") / F.col("unit") * F.col("r"))), F.lit(0.0)).alias("curve"),
+        )
+        under = F.col("mass") < F.col("target")
+        low, high = F.when(under, F.col("tilt")).otherwise(F.col("low")), F.when(under, F.col("high")).otherwise(F.col("tilt"))
+        newton = F.col("tilt") + F.try_divide(F.ln(F.col("target") / F.col("mass")) * F.col("mass"), F.col("curve"))
+        inside = newton.isNotNull() & ~F.isnan(newton) & (F.coalesce(newton > F.col("_low"), F.lit(True))) & F.coalesce(newton < F.col("_high"), F.lit(True))
+        half = F.coalesce((F.col("_low") + F.col("_high")) / 2, F.col("_low") + 1, F.col("_high") - 1)
+        near = F.abs(F.col("mass") - F.col("target")) <= 1e-10 * F.col("target")
+        state, _ = freeze(
+            state.join(sums, _same("source", "_s"), "left").withColumns({"_low": low, "_high": high}).select(
+                "source", "target", "unit", F.when(F.col("done") | near, F.col("tilt")).when(inside, newton).otherwise(half).alias("tilt"),
+                F.when(F.col("done"), F.col("low")).otherwise(F.col("_low")).alias("low"),
+                F.when(F.col("done"), F.col("high")).otherwise(F.col("_high")).alias("high"),
+                "fixed", (F.col("done") | F.coalesce(near, F.lit(False))).alias("done"),
+            )
+        )
+        if not state.where("not done").limit(1).count():
+            break
+    solved = state.select(F.col("source").alias("_s"), "tilt", "unit", "fixed")
+    rate = F.coalesce("fixed", F.least(tilted("size"), most)).alias("rate")
+    found = atoms.join(solved, _same("source", "_s")).select("source", "size", rate)
+    if alone:
+        return goals.join(found.select(F.col("source").alias("_s"), "rate"), _same("source", "_s")).drop("_s")
+    return found
 
 
 def _same(left: str, right: str) -> Column:
@@ -146,8 +190,9 @@ def mix(
     same copies. Documents of size 0 may get copies but take no words. Empty tables give no rows.
     Reruns agree, since all that is random is a hash of the row.
 
-    Rounding keeps each source's sum: all documents get ``floor(rate)`` copies, and one more goes
-    to the documents with the smallest hashes. One that is larger than what is left of the gap is
+    Rates come from ``rates``: a document's is tilted by its size. Rounding keeps each source's sum:
+    every document gets ``floor(rate)`` copies, and one more goes to those whose hash is below, or
+    least above, the fraction that is left. One that is larger than what is left of the gap is
     left out, and the pass is made again over the others, until no free document fits. Where a gap
     is left, the smallest free document is tried too: it goes in, and others with one more go out
     by the same passes until none fits the excess; this stands where it ends nearer. So a source
@@ -157,30 +202,42 @@ def mix(
     source: a source may hold any part of the rows.
     """
     low = F.lit((1 << HASH_BITS) - 1)
-    sized, _ = freeze(
+    hashed, _ = freeze(
         docs.select(F.col(id_column).alias("_id"), F.col("source"), size_of(F.col("text")).alias("size"))
-        .withColumn("u", F.xxhash64("_id", "source", "size").bitwiseAND(low))
+        .withColumn("hash", F.xxhash64("_id", "source", "size").bitwiseAND(low))
+    )
+    atoms, _ = freeze(hashed.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    sizes, _ = freeze(atoms.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
+    goals, _ = freeze(targets(sizes, weights, share, cap))
+    tilts, _ = freeze(rates(goals, atoms, cap).select(F.col("source").alias("_t"), F.col("size").alias("_n"), "rate"))
+    # A rate of 1.9999999 for a target at the cap must not leave out the last word.
+    near = F.round("rate", 9)
+    floor = F.least(F.floor(near), F.lit(cap)).cast("int")
+    # One more copy is due where the hash is below the fraction that is left, so this is the order.
+    due = (F.col("hash") / float(1 << HASH_BITS) - (near - floor) + 1) / 2 * float(1 << (HASH_BITS - 10))
+    place = F.least(due.cast("bigint"), F.lit((1 << (HASH_BITS - 10)) - 1)) * 1024 + F.col("hash") % 1024
+    sized, _ = freeze(
+        hashed.join(tilts, _same("source", "_t") & (F.col("size") == F.col("_n"))).select(
+            "_id", "source", "size", "rate", floor.alias("floor"), place.alias("u")
+        )
     )
     # Rows that can't be told apart count as one block.
     blocks, _ = freeze(
-        sized.groupBy("source", "u", "size")
+        sized.groupBy("source", "u", "size", "floor")
         .agg((F.col("size") * F.count(F.lit(1))).alias("words"))
         .withColumn("bin", F.shiftright("u", HASH_BITS - BINS.bit_length() + 1))
     )
-    sizes, _ = freeze(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
-    goals = rates(targets(sizes, weights, share, cap))
-    # A rate of 1.9999999 for a target at the cap must not leave out the last word.
-    near = F.round("rate", 9)
     none = F.array().cast("array<struct<most: double, cut: bigint>>")
+    given = blocks.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("floor") * F.col("words")).alias("given"))
     state, _ = freeze(
-        goals.withColumn("floor", F.least(F.floor(near), F.lit(cap)))
-        .withColumn("gap", F.greatest(F.col("target") - F.col("floor") * F.col("source_size"), F.lit(0.0)))
-        .withColumn("gap", F.when(F.col("floor") >= cap, 0.0).otherwise(F.col("gap")))
-        .withColumn("added", none)
+        goals.join(given, _same("source", "_s"))
+        .select("source", "source_size", "target", F.greatest(F.col("target") - F.col("given"), F.lit(0.0)).alias("gap"), none.alias("added"))
     )
-    state = _fill(blocks, state, "gap", "added", F.lit(True))
+    # Documents at the cap get no further copy.
+    may = F.col("floor") < cap
+    state = _fill(blocks, state, "gap", "added", may)
     free = blocks.join(state.select(F.col("source").alias("_s"), "gap", "added"), _same("source", "_s")).where(
-        (F.col("gap") > 0) & (F.col("words") > 0) & ~_within("added")
+        (F.col("gap") > 0) & (F.col("words") > 0) & may & ~_within("added")
     )
     over = free.groupBy("source").agg(F.min(F.struct("words", "u")).alias("extra")).select(F.col("source").alias("_s"), "extra")
     state, _ = freeze(
@@ -189,13 +246,13 @@ def mix(
         .withColumn("excess", F.coalesce(F.col("extra.words") - F.col("gap"), F.lit(0.0)))
         .withColumn("dropped", none)
     )
-    state = _fill(blocks, state, "excess", "dropped", _within("added"))
+    state = _fill(blocks, state, "excess", "dropped", may & _within("added"))
     # As it was before the extra document, where that is as near.
     swap = F.col("extra").isNotNull() & (F.col("excess") < F.col("gap"))
     state = state.withColumn("extra", F.when(swap, F.col("extra.u"))).withColumn("dropped", F.when(swap, F.col("dropped")).otherwise(none))
     state, _ = freeze(state)
     more = (_within("added") & ~_within("dropped")) | F.col("u").eqNullSafe(F.col("extra"))
-    copies = (F.col("floor") + F.when(more & (F.col("floor") < cap), 1).otherwise(0)).cast("int")
+    copies = (F.col("floor") + F.when(more & may, 1).otherwise(0)).cast("int")
     # Only blocks of several rows have other words than each of their rows.
     several = blocks.where("words > size").select(F.col("source").alias("_b"), F.col("u").alias("_u"), F.col("size").alias("_n"), "words")
     return (
