@@ -149,3 +149,41 @@ SELECT * FROM (
     (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms
 ) WHERE rank <= 200
 """
+
+ORACLE["op6_substring_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT n, i, md5(array_to_string(w[i:i + 34], ' ')) AS g
+  FROM (SELECT n, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+), repeated AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT n, unnest(range(i, i + 35)) AS place FROM windows JOIN repeated USING (g)
+), kept AS (
+  SELECT n, string_agg(word, ' ' ORDER BY place) AS text
+  FROM (SELECT n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs) ANTI JOIN gone USING (n, place) GROUP BY n
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM gone g WHERE g.n = docs.n)::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (n)
+"""
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), members AS (
+  SELECT DISTINCT n, md5(array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT n, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT n, count(*) AS size FROM members GROUP BY n
+), shared AS (
+  SELECT a.n AS x, b.n AS y, count(*) AS common FROM members a JOIN members b USING (g) WHERE a.n <> b.n GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.n = x JOIN sizes q ON q.n = y WHERE 100 * common >= 75 * (p.size + q.size - common)
+), reach(n, m) AS (
+  SELECT n, n FROM docs UNION SELECT r.n, l.y FROM reach r JOIN links l ON r.m = l.x
+)
+SELECT d.doc_id, coalesce(any_value(size), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (n) JOIN reach r ON r.n = d.n JOIN docs o ON o.n = r.m GROUP BY d.n, d.doc_id
+"""
