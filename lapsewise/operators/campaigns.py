@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
@@ -50,11 +51,31 @@ def eligible(scored: DataFrame, campaigns: Sequence[Campaign]) -> DataFrame:
     )
 
 
-def suppress(candidates: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Drop candidates listed in ``excluded`` (customer ids, repeats allowed)."""
+def suppress(candidates: DataFrame, excluded: DataFrame, day: str | dt.date | None = None) -> DataFrame:
+    """Drop candidates listed in ``excluded`` (customer ids, repeats allowed).
+
+    With ``day`` an exclusion counts only while it holds: from its ``since`` through its ``until``,
+    both days included, NULL without a bound.
+    """
+    if day is not None:
+        on = F.lit(as_date(day))
+        begun, ended = F.coalesce(F.to_date("since") <= on, F.lit(True)), F.coalesce(F.to_date("until") < on, F.lit(False))
+        excluded = excluded.where(begun & ~ended)
     return candidates.join(excluded.select("customer_id").distinct(), "customer_id", "left_anti")
 
 
+def suppress_dated(candidates: DataFrame, excluded: DataFrame, day: str = "day") -> DataFrame:
+    """``suppress`` for candidates of many days: each row's own column ``day`` decides."""
+    spans = excluded.select(
+        F.col("customer_id").alias("_who"), F.to_date("since").alias("_since"), F.to_date("until").alias("_until")
+    ).distinct()
+    holds = (
+        (F.col("customer_id") == F.col("_who"))
+        & F.coalesce(F.col("_since") <= F.to_date(day), F.lit(True)) & F.coalesce(F.col("_until") >= F.to_date(day), F.lit(True))
+    )
+    return candidates.join(spans, holds, "left_anti")
+
+
 def recent_buyers(purchases: DataFrame, day, days: int) -> DataFrame:
     """Customers with an order in the ``days`` days before ``day``, as exclusions."""
     recent = purchases.where((F.col("order_ts") >= at(day, -days)) & (F.col("order_ts") < at(day)))
@@ -146,6 +167,43 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.groupBy("customer_id").agg(side.alias("side"))
 
 
+#: Lists that one number has bits for.
+MOST_LISTS = 63
+
+
+def overlaps(listed: DataFrame, lists: Sequence[str]) -> DataFrame:
+    """``a, b, both, only_a, only_b`` for every two of ``lists`` (names, ``a`` the smaller), from rows
+    (``campaign_id, customer_id``); repeats count once, other campaigns and NULL ids not at all.
+
+    A customer becomes one bitmap of the lists it is on, customers are counted per bitmap, and all
+    pairs are read off the bitmaps: one shuffle of the rows, whatever the number of lists.
+    """
+    names = sorted(set(lists))
+    if len(names) > MOST_LISTS:
+        raise ValueError(f"{len(names)} lists; a bitmap has room for {MOST_LISTS}")
+    bit = F.lit(None).cast("bigint")
+    for k, name in enumerate(names):
+        bit = F.when(F.col("campaign_id") == name, F.lit(1 << k)).otherwise(bit)
+    maps = (
+        listed.select("customer_id", bit.alias("_bit")).where("customer_id is not null and _bit is not null")
+        .groupBy("customer_id").agg(F.bit_or("_bit").alias("_map"))
+        .groupBy("_map").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    pairs = [{"a": a, "b": b, "x": 1 << x, "y": 1 << y} for x, a in enumerate(names) for y, b in enumerate(names) if x < y]
+    table = F.from_json(F.lit(json.dumps(pairs)), "array<struct<a string, b string, x bigint, y bigint>>")
+    # A bitmap of no list, so that every pair is told of.
+    nobody = maps.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_map"), F.lit(0).cast("bigint").alias("_n"))
+    each = maps.union(nobody).select("_map", "_n", F.inline(table))
+    on_a, on_b = ((F.col("_map").bitwiseAND(F.col(c)) != 0) for c in ("x", "y"))
+
+    def count(those: Column) -> Column:
+        return F.sum(F.when(those, F.col("_n")).otherwise(0))
+
+    return each.groupBy("a", "b").agg(
+        count(on_a & on_b).alias("both"), count(on_a & ~on_b).alias("only_a"), count(on_b & ~on_a).alias("only_b")
+    )
+
+
 def export(campaign_list: DataFrame, path: str, day: str | dt.date, fmt: str = "parquet") -> str:
     """One folder per day, and in it one per campaign; returns the day's folder.
 

@@ -6,7 +6,8 @@ and are stored with the model.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.functions import percent_bucket
 from lapsewise.operators.evaluation import auc
+from lapsewise.operators.prepare import input_stages
 from lapsewise.operators.ranking import global_rank, settle
 from lapsewise.session import freeze
 
@@ -26,7 +28,9 @@ LABEL = "churned"
 
 
 def as_doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    chosen = set(cols)
+    """``cols`` as doubles; those of text are categories and stay."""
+    text = {c for c, kind in df.dtypes if kind == "string"}
+    chosen = set(cols) - text
     return df.select(*[F.col(c).cast("double").alias(c) if c in chosen else F.col(c) for c in df.columns])
 
 
@@ -37,7 +41,9 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     )
 
 
-def _input_stages(cols: Sequence[str]) -> list:
+def _input_stages(cols: Sequence[str], categories: Sequence[str] = (), clip: tuple[float, float] | None = None) -> list:
+    if categories or clip is not None:
+        return input_stages(cols, categories, clip)
     filled = [f"_filled_{c}" for c in cols]
     return [
         Imputer(inputCols=list(cols), outputCols=filled, strategy="mean"),
@@ -45,10 +51,10 @@ def _input_stages(cols: Sequence[str]) -> list:
     ]
 
 
-def _logistic(weight: str | None) -> LogisticRegression:
+def _logistic(weight: str | None, reg: float = 0.01) -> LogisticRegression:
     # Already scaled in the stage before.
     learner = LogisticRegression(
-        featuresCol="_features", labelCol=LABEL, maxIter=50, regParam=0.01, standardization=False
+        featuresCol="_features", labelCol=LABEL, maxIter=50, regParam=reg, standardization=False
     )
     return learner.setWeightCol(weight) if weight else learner
 
@@ -58,9 +64,22 @@ def _gbt(seed: int, rounds: int, depth: int, weight: str | None) -> GBTClassifie
     return learner.setWeightCol(weight) if weight else learner
 
 
-def fit_logistic(train: DataFrame, cols: Sequence[str], weight: str | None = None) -> PipelineModel:
+def fit_logistic(
+    train: DataFrame,
+    cols: Sequence[str],
+    weight: str | None = None,
+    categories: Sequence[str] = (),
+    clip: tuple[float, float] | None = None,
+    reg: float = 0.01,
+    rounds: int = 50,
+) -> PipelineModel:
+    """Logistic baseline. With ``categories`` or ``clip`` (two quantiles) the features are prepared
+    by ``prepare.input_stages``, whose statistics come from ``train`` and stay with the model."""
     scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)
-    return Pipeline(stages=[*_input_stages(cols), scale, _logistic(weight)]).fit(as_doubles(train, cols))
+    learner = _logistic(weight, reg).setMaxIter(rounds)
+    if reg == 0:
+        learner = learner.setTol(1e-12)
+    return Pipeline(stages=[*_input_stages(cols, categories, clip), scale, learner]).fit(as_doubles(train, cols))
 
 
 def fit_gbt(
@@ -70,9 +89,12 @@ def fit_gbt(
     rounds: int = 20,
     depth: int = 4,
     weight: str | None = None,
+    categories: Sequence[str] = (),
+    clip: tuple[float, float] | None = None,
 ) -> PipelineModel:
-    """Boosted trees: the role of the named library, not its numbers."""
-    return Pipeline(stages=[*_input_stages(cols), _gbt(seed, rounds, depth, weight)]).fit(
+    """Boosted trees: the role of the named library, not its numbers. ``categories`` and ``clip``
+    as for ``fit_logistic``."""
+    return Pipeline(stages=[*_input_stages(cols, categories, clip), _gbt(seed, rounds, depth, weight)]).fit(
         as_doubles(train, cols)
     )
 
@@ -82,7 +104,8 @@ def tune(
 ) -> tuple[PipelineModel, DataFrame]:
     """Cross-validate the logistic penalty; folds follow a hash of the customer.
 
-    Returns the refitted best model and ``reg, mean_auc, best``.
+    Returns the refitted best model and ``reg, mean_auc, best``. ``search`` compares learners of
+    any kind.
     """
     scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)
     learner = _logistic(None)
@@ -105,6 +128,65 @@ def tune(
     )
 
 
+#: A candidate of a search: fits a pipeline on training rows.
+Learner = Callable[[DataFrame], PipelineModel]
+
+
+def search(
+    train: DataFrame,
+    learners: Mapping[str, Learner],
+    path: str,
+    cols: Sequence[str] = (),
+    rungs: Sequence[int] = (25, 100),
+    keep: float = 0.5,
+    folds: int = 3,
+    salt: str = "search",
+) -> tuple[PipelineModel, DataFrame]:
+    """Successive halving (Jamieson & Talwalkar 2016) over learners of any kind.
+
+    Each rung takes a hashed percentage of the customers, every rung all of the one before, and
+    cross-validates the learners that are left, scores taken to six digits; the best ``keep`` of them by mean fold AUC, ties
+    by name, go on to the next. Folds are a second hash, so a customer is in one fold at all
+    rungs. The scores of every held-out fold are stored at ``path`` (``rung, candidate, fold,
+    customer_id, churned, probability``) and all measures come from there. Returns the winner of
+    the last rung, fitted on all of ``train`` (``cols`` become doubles before), and ``rung, candidate, fold, rows, auc, kept``; a
+    fold without both classes has no AUC and does not count.
+    """
+    fold = (percent_bucket("customer_id", f"{salt}:fold") % folds).cast("int")
+    train = as_doubles(train, cols)
+    data, _ = freeze(train.withColumn("_fold", fold).withColumn("_share", percent_bucket("customer_id", f"{salt}:rung")))
+    left = sorted(learners)
+    report: list[tuple] = []
+    for rung, percent in enumerate(rungs):
+        rows, _ = freeze(data.where(F.col("_share") < percent))
+        for name in left:
+            for k in range(folds):
+                inner = rows.where(F.col("_fold") != k).drop("_fold", "_share")
+                outer = rows.where(F.col("_fold") == k)
+                if inner.select(LABEL).distinct().count() < 2:
+                    continue
+                scored = score(learners[name](inner), outer, ())
+                # Scores that differ by rounding errors of a learner are ties.
+                scored.select("customer_id", LABEL, F.round("probability", 6).alias("probability")).withColumns(
+                    {"rung": F.lit(rung), "candidate": F.lit(name), "fold": F.lit(k)}
+                ).write.mode("append").parquet(path)
+        stored = train.sparkSession.read.parquet(path).where(F.col("rung") == rung)
+        areas = auc(stored, by=["candidate", "fold"]).select("candidate", "fold", (F.col("positives") + F.col("negatives")).alias("rows"), "auc").collect()
+        means = {n: _mean([r["auc"] for r in areas if r["candidate"] == n]) for n in left}
+        ahead = sorted(left, key=lambda n: (-means[n], n))
+        last = rung == len(rungs) - 1
+        kept = ahead[: 1 if last else max(1, math.ceil(len(ahead) * keep))]
+        report += [(rung, r["candidate"], r["fold"], r["rows"], r["auc"], int(r["candidate"] in kept)) for r in areas]
+        left = sorted(kept)
+    found = train.sparkSession.createDataFrame(report, "rung int, candidate string, fold int, rows bigint, auc double, kept int")
+    return learners[left[0]](train), found
+
+
+def _mean(values: Sequence[float | None]) -> float:
+    known = [v for v in values if v is not None]
+    return sum(known) / len(known) if known else -math.inf
+
+
 def score(model: PipelineModel, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``probability`` and ``margin`` of churn and ``predicted``; a narrow projection."""
     raw = model.transform(as_doubles(df, cols))

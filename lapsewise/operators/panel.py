@@ -10,6 +10,8 @@ The work is linear in the orders and the result.
 from __future__ import annotations
 
 import datetime as dt
+import json
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -20,8 +22,6 @@ from lapsewise.functions import as_date, money, ratio
 from lapsewise.operators.facts import as_of, by_day
 from lapsewise.operators.features import (
     PART_TYPES,
-    _mix,
-    _mix_shares,
     _with_gap,
     gap_moments,
     slope,
@@ -29,10 +29,15 @@ from lapsewise.operators.features import (
 
 
 def _first_after(day: Column, snaps: Sequence[dt.date]) -> Column:
-    """Index of the first snapshot later than ``day``; NULL when there is none."""
-    # One constant array, so that the expression stays flat for any number of snapshots.
-    passed = F.size(F.filter(F.array(*[F.lit(s) for s in snaps]), lambda s: s <= day))
-    return F.when(passed < len(snaps), passed)
+    """Index of the first snapshot later than ``day``; NULL when there is none. ``snaps`` ascend.
+
+    Every day from the first snapshot to the last has its answer in one constant array, so a row
+    costs one look whatever the number of snapshots.
+    """
+    first, last = snaps[0], snaps[-1]
+    answers = [bisect_right(snaps, first + dt.timedelta(days=n)) for n in range((last - first).days)]
+    table = F.from_json(F.lit(json.dumps(answers)), "array<int>")
+    return F.when(day < F.lit(first), 0).when(day < F.lit(last), F.get(table, F.datediff(day, F.lit(first))))
 
 
 def _by_slot() -> WindowSpec:
@@ -209,25 +214,39 @@ def line_panel(
     first = F.min("slot").over(W.partitionBy("customer_id", "part_id"))
     placed = per_part.withColumn("is_new", (F.col("slot") == first).cast("bigint"))
     added = ["lines", "quantity", "discount", "is_new"]
-    per_slot = (
-        placed.join(parts, "part_id", "left")
-        .groupBy("customer_id", "slot", "part_type")
-        .agg(*[F.sum(c).alias(c) for c in added])
-        .groupBy("customer_id", "slot")
-        .agg(*[F.sum(c).alias(c) for c in added], _mix())
+    # Quantities per type only grow, so all that a state needs is a running sum or maximum of what
+    # changes at its snapshot: of q ln q for the entropy, of the new q for the favourite.
+    by_type = placed.join(parts, "part_id", "left").groupBy("customer_id", "part_type", "slot").agg(*[F.sum(c).alias(c) for c in added])
+    of_type = W.partitionBy("customer_id", "part_type").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    quantity = F.coalesce("quantity", F.lit(0))
+    after = F.sum(quantity).over(of_type)
+    grown = by_type.select("*", quantity.alias("_q"), after.alias("_after"), (after - quantity).alias("_before"))
+
+    def weighted(q: str) -> Column:
+        return F.when(F.col(q) > 0, F.col(q) * F.ln(q)).otherwise(0.0)
+
+    listed = {f"_t{k}": F.when(F.col("part_type") == t, F.col("_q")).otherwise(0) for k, t in enumerate(types)}
+    place = F.struct((-F.col("_after")).alias("q"), F.col("part_type").isNull().alias("n"), F.col("part_type").alias("t"))
+    per_slot = grown.groupBy("customer_id", "slot").agg(
+        *[F.sum(c).alias(c) for c in added], F.sum("_q").alias("_q"), F.sum(weighted("_after") - weighted("_before")).alias("_w"),
+        *[F.sum(value).alias(name) for name, value in listed.items()], F.min(place).alias("_best"),
     )
-    # At most one entry per snapshot and part type.
-    types_so_far = F.flatten(F.collect_list("_q").over(_so_far())).alias("_q")
-    state = _states(per_slot, [*[F.sum(c).over(_so_far()).alias(c) for c in added], types_so_far], dates)
-    return _mix_shares(
-        state.select(
-            "snapshot",
-            "customer_id",
-            "lines",
-            money("quantity").alias("quantity"),
-            F.col("is_new").alias("distinct_parts"),
-            ratio(F.col("discount") / 10000.0, F.col("lines")).alias("mean_discount"),
-            "_q",
-        ),
-        types,
+    summed = [*added, "_q", "_w", *listed]
+    state = _states(
+        per_slot, [*[F.sum(c).over(_so_far()).alias(c) for c in summed], F.min("_best").over(_so_far()).alias("_best")], dates
+    )
+    total = F.col("_q")
+    other = total - sum((F.col(c) for c in listed), F.lit(0))
+    return state.select(
+        "snapshot",
+        "customer_id",
+        "lines",
+        money("quantity").alias("quantity"),
+        F.col("is_new").alias("distinct_parts"),
+        ratio(F.col("discount") / 10000.0, F.col("lines")).alias("mean_discount"),
+        *[ratio(F.col(c), total).alias(f"share_{t.lower()}") for c, t in zip(listed, types)],
+        ratio(other, total).alias("share_other"),
+        # Sums of rounded terms may end a little below nothing.
+        F.when(total > 0, F.greatest(F.ln(total) - F.col("_w") / total, F.lit(0.0))).otherwise(0.0).alias("mix_entropy"),
+        F.when(total > 0, F.col("_best.t")).alias("favourite_type"),
     )

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.functions import ratio
+from lapsewise.functions import percent_bucket, ratio
+from lapsewise.operators.features import impute, impute_values
 from lapsewise.operators.ranking import ntiles, quantiles
 from lapsewise.session import freeze
 
@@ -78,6 +80,55 @@ def choose_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int =
     )
 
 
+def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows, rand``: how far two labellings of the same rows agree, 1 for the same groups and about
+    0 for unrelated ones (Hubert & Arabie 1985), from the table of their label pairs. NULL is a
+    label; undefined (both have one group, or each row its own) is 1, as the groups are the same.
+    """
+    cells = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def pairs(n: Column) -> Column:
+        # Decimals, as squares of counts leave 64 bits soon.
+        n = n.cast("decimal(19,0)")
+        return (n * (n - F.lit(1).cast("decimal(1,0)"))).cast("decimal(38,0)").cast("double") / 2
+
+    def side(label: str, name: str) -> DataFrame:
+        return cells.groupBy(label).agg(F.sum("_n").alias("_n")).agg(F.sum(pairs(F.col("_n"))).alias(name))
+
+    both = cells.agg(F.sum(pairs(F.col("_n"))).alias("_both"), F.sum("_n").alias("rows"))
+    left, right = side("_a", "_left").scalar(), side("_b", "_right").scalar()
+    counted = both.select("rows", "_both", left.alias("_left"), right.alias("_right")).where("rows > 0")
+    expected = F.try_divide(F.col("_left") * F.col("_right"), pairs(F.col("rows")))
+    most = (F.col("_left") + F.col("_right")) / 2
+    rand = F.when(most == F.coalesce(expected, most), 1.0).otherwise((F.col("_both") - expected) / (most - expected))
+    return counted.select("rows", rand.alias("rand"))
+
+
+def stability(
+    df: DataFrame, cols: Sequence[str], k: int, resamples: int = 5, percent: int = 80, seed: int = 7, salt: str = "resample"
+) -> DataFrame:
+    """``resample, rows, rand``: how far the clusters of all rows come back from hashed samples.
+
+    A resample fits k-means on ``percent`` of the customers and labels all of them; the adjusted
+    Rand index against the clusters of the whole table comes from counts of label pairs.
+    """
+    base, _ = freeze(df.select("customer_id", *cols))
+    _, whole = kmeans(base, cols, k, seed)
+    found = []
+    for r in range(resamples):
+        model, _ = kmeans(base.where(percent_bucket("customer_id", f"{salt}:{r}") < percent), cols, k, seed + 1 + r)
+        wide, _ = _vectors(whole.withColumnRenamed("cluster", "_whole"), cols)
+        found.append(adjusted_rand(model.transform(wide), "_whole", "cluster").select(F.lit(r).alias("resample"), "rows", "rand"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``customer_id`` and ``cols`` with the median in place of NULL, as clustering needs them."""
+    base, rows = freeze(df.select("customer_id", *[F.col(c).cast("double").alias(c) for c in cols]))
+    values = impute_values(base, dict.fromkeys(cols, "median"), rows)
+    return impute(base, values).select("customer_id", *cols)
+
+
 def profile(
     df: DataFrame,
     segment: str,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lapsewise import sources as S
 from lapsewise.functions import iso, ntile_of
 from lapsewise.operators import behaviour, campaigns, evaluation, explain, features, labels, matching, models
-from lapsewise.operators import quality, ranking, risk, segments, serving
+from lapsewise.operators import prepare, quality, ranking, risk, segments, serving, sketches, store
 from lapsewise.operators.facts import as_of, facts
 from lapsewise.operators.panel import line_panel, panel
 from lapsewise.plans import churn
@@ -75,7 +75,7 @@ BASKET_TYPES = {
     "lines": "double", "quantity": "double", "distinct_parts": "double", "mean_discount": "double",
 }
 MIX_TYPES = {
-    **{f"share_{t.lower()}": "double" for t in features.PART_TYPES},
+    **{f"share_{t.lower()}": "double" for t in (*features.PART_TYPES, "other")},
     "mix_entropy": "double:6",
     "favourite_type": "string",
 }
@@ -142,6 +142,26 @@ def d3_violation_counts(spark, folder):
     return quality.violation_counts(_violations(spark, folder))
 
 
+PROP_RULES = {
+    "k_in_range": quality.PathRule("$.k", "int", "value between 0 and 89"),
+    "k_not_of_seven": quality.PathRule("$.k", "int", "value % 7 <> 3"),
+    "tag_is_known": quality.PathRule("$.tag", "string", "value in ('a', 'b')", required=False),
+    "parts_are_there": quality.PathRule("$.parts[0].id", "int"),
+}
+
+
+@query
+def d3_json_rules(spark, folder):
+    """Rules on paths of the events' properties; every 50th text is cut, every 20th has more in it."""
+    events = S.load(spark, folder, "events").withColumn(
+        "props",
+        F.when(F.col("event_id") % 50 == 0, F.substring("props", 1, 4))
+        .when(F.col("event_id") % 20 == 1, F.concat(F.lit('{"parts": [{"id": 7}], "tag": "c", '), F.expr("substring(props, 2)")))
+        .otherwise(F.col("props")),
+    )
+    return quality.validate_json(events, "events", "event_id", "props", PROP_RULES)
+
+
 @query
 def d4_fk_check(spark, folder):
     orders = S.load(spark, folder, "orders")
@@ -355,6 +375,34 @@ def f12_winsorize(spark, folder):
     return typed(done, customer_id="bigint", monetary="double:6", recency="double:6")
 
 
+SKETCH_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+@query
+def f12_sketches(spark, folder):
+    """Quantiles of order amounts and sizes merged from a sketch per day, between the exact quantiles at
+    the stated rank error below and above."""
+    orders, rows = freeze(S.purchases(spark, folder).select(F.to_date("order_ts").alias("day"), (F.col("cents") / 100.0).alias("amount"), "order_id"))
+    path = work_path(spark, "sketches")
+    for late in (False, True):  # a table that grows by days
+        some = orders.where((F.col("day") >= F.lit(DAY).cast("date")) == F.lit(late))
+        sketches.daily_sketches(some, "day", ["amount"]).write.mode("append").parquet(path)
+    found = sketches.sketched_quantiles(spark.read.parquet(path), SKETCH_PROBS)
+    error = sketches.rank_error()
+    probs = sorted({min(1.0, max(0.0, p + d)) for p in SKETCH_PROBS for d in (-error, 0.0, error)})
+    exact, _ = freeze(ranking.quantiles(orders, ["amount"], probs, (), rows))
+    of = lambda d, name: exact.select(
+        F.col("feature").alias(f"_f{name}"), F.col("prob").alias(f"_p{name}"), F.col("value").alias(name)
+    )
+    for d, name in ((-error, "low"), (0.0, "exact"), (error, "high")):
+        wanted = F.least(F.greatest(F.col("prob") + F.lit(d), F.lit(0.0)), F.lit(1.0))
+        found = found.join(of(d, name), (F.abs(wanted - F.col(f"_p{name}")) < 1e-12) & (F.col("feature") == F.col(f"_f{name}")))
+    inside = F.col("value").between(F.col("low"), F.col("high"))
+    return typed(
+        found.withColumn("within", inside), feature="string", prob="double", n="bigint", exact="double:6", low="double:6", high="double:6", within="bigint"
+    )
+
+
 @query
 def f13_encode(spark, folder):
     df, train = _split(_placed_rfm(spark, folder))
@@ -505,6 +553,48 @@ def g4_choose_k(spark, folder):
     return segments.choose_k(rfm, CLUSTER_COLUMNS, (2, 3, 4, 5))
 
 
+def _apart(spark, folder):
+    """Customers as points that lie close together within a region and far from other regions."""
+    people = Inputs(spark, folder).customers.join(Inputs(spark, folder).places, "nation_id")
+    table, _ = freeze(
+        people.select(
+            "customer_id", "region", F.length("region").cast("double").alias("x"), F.ascii("region").cast("double").alias("y"),
+            (F.ascii(F.substring("region", 2, 1)) % 7 + F.coalesce(F.col("balance").cast("double"), F.lit(0.0)) / 1e6).alias("z"),
+        )
+    )
+    return table, ("x", "y", "z")
+
+
+@query
+def g3_regions(spark, folder):
+    """Clusters are named by their smallest member, since their numbers mean nothing."""
+    table, cols = _apart(spark, folder)
+    done = segments.kmeans(table, cols, 5)[1]
+    first = done.groupBy("cluster").agg(F.min("customer_id").alias("group_id"), F.count(F.lit(1)).alias("customers"))
+    return typed(done.join(first, "cluster"), customer_id="bigint", group_id="bigint", customers="bigint")
+
+
+@query
+def g4_regions(spark, folder):
+    table, cols = _apart(spark, folder)
+    return typed(segments.choose_k(table, cols, (2, 3, 4, 5, 6)).where("best = 1"), k="bigint", best="bigint")
+
+
+@query
+def g3_adjusted_rand(spark, folder):
+    scored, _ = freeze(_scored(spark, folder))
+    pairs = (("segment", "band"), ("region", "segment"), ("r5", "r5"))
+    found = [segments.adjusted_rand(scored, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rows", "rand") for a, b in pairs]
+    return typed(found[0].union(found[1]).union(found[2]), a="string", b="string", rows="bigint", rand="double:9")
+
+
+@query
+def g3_stability(spark, folder):
+    """Clusters on all columns of the models, missing ones filled."""
+    table = segments.filled(churn.feature_table(Inputs(spark, folder)), churn.MODEL_COLUMNS)
+    return segments.stability(table, churn.MODEL_COLUMNS, 4, resamples=3)
+
+
 @query
 def g5_profile(spark, folder):
     cols = ["recency", "frequency", "monetary"]
@@ -561,6 +651,31 @@ def c2_suppress(spark, folder):
     return typed(campaigns.suppress(_eligible(spark, folder), excluded), **CANDIDATE_TYPES)
 
 
+def _contacts(spark, folder):
+    """Every order keeps its customer from being contacted for 30 days; some customers opted out."""
+    ordered = S.purchases(spark, folder).select(
+        "customer_id", F.to_date("order_ts").alias("since"), F.date_add(F.to_date("order_ts"), 30).alias("until")
+    )
+    opted = S.customers(spark, folder).where("customer_id % 13 = 0").select(
+        "customer_id", F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("until")
+    )
+    return ordered.union(opted)
+
+
+@query
+def c2_suppress_until(spark, folder):
+    done = campaigns.suppress(_eligible(spark, folder), _contacts(spark, folder), DAY)
+    return typed(done, **CANDIDATE_TYPES)
+
+
+@query
+def c2_suppress_dated(spark, folder):
+    """Each candidate on one of sixty days, which its own id says."""
+    days = F.date_add(F.lit(DAY).cast("date"), (F.col("customer_id") % 60).cast("int") - 40)
+    done = campaigns.suppress_dated(_eligible(spark, folder).withColumn("day", days), _contacts(spark, folder))
+    return typed(done.withColumn("day", iso("day")), **CANDIDATE_TYPES, day="string")
+
+
 @query
 def c3_assign(spark, folder):
     return typed(_assigned(spark, folder), **CANDIDATE_TYPES)
@@ -646,6 +761,12 @@ def c8_overlap(spark, folder):
     return campaigns.overlap(valuable, lapsing)
 
 
+@query
+def c8_overlaps(spark, folder):
+    """All lists at once."""
+    return campaigns.overlaps(_eligible(spark, folder), [c.campaign_id for c in CAMPAIGNS])
+
+
 @query
 def c9_export(spark, folder):
     path = work_path(spark, "export")
@@ -705,6 +826,12 @@ def m9_calibrate(spark, folder):
     return typed(done, customer_id="bigint", probability="double", calibrated="double:9")
 
 
+@query
+def m9_crosswise(spark, folder):
+    done = evaluation.calibrate_crosswise(_rule_scores(spark, folder))
+    return typed(done, customer_id="bigint", probability="double", calibrated="double:9")
+
+
 @query
 def r1_risk_score(spark, folder):
     rows, _ = freeze(_rule_scores(spark, folder))
@@ -810,6 +937,126 @@ def m14_save_load(spark, folder):
     return models.score(models.load_model(path), table, churn.MODEL_COLUMNS).select(*SCORE_COLUMNS)
 
 
+# Learners whose answers can be worked out: on one category a model's probability is the churn rate
+# of the training rows of its cell.
+
+
+def _cells(spark, folder):
+    table, _ = freeze(labels.split_by_key(_scored(spark, folder)))
+    return table, table.where("split = 'train'"), table.where("split = 'test'")
+
+
+def _by_cell(train, cell, **options):
+    return models.fit_logistic(train, (), categories=(cell,), reg=0.0, rounds=200, **options)
+
+
+@query
+def m2_cells(spark, folder):
+    _, train, test = _cells(spark, folder)
+    done = models.score(_by_cell(train, "region"), test, ())
+    return typed(done, customer_id="bigint", region="string", probability="double:4")
+
+
+@query
+def m3_cells(spark, folder):
+    _, train, test = _cells(spark, folder)
+    model = models.fit_gbt(train, (), categories=("region",))
+    return typed(models.score(model, test, ()), customer_id="bigint", region="string", predicted="bigint")
+
+
+SEARCHED = {
+    "market": lambda train: _by_cell(train, "market_segment"),
+    "region": lambda train: _by_cell(train, "region"),
+    "region_trees": lambda train: models.fit_gbt(train, (), categories=("region",), rounds=40, depth=5),
+}
+
+
+@query
+def m4_search(spark, folder):
+    """Two rungs over learners of both kinds; the winner goes by the measures."""
+    _, train, _ = _cells(spark, folder)
+    _, report = models.search(train, SEARCHED, work_path(spark, "search"), rungs=(60, 100))
+    return typed(report, rung="bigint", candidate="string", fold="bigint", rows="bigint", auc="double:9", kept="bigint")
+
+
+@query
+def m5_cells(spark, folder):
+    table, train, _ = _cells(spark, folder)
+    done = models.score(_by_cell(train, "region"), table, ())
+    return typed(done, customer_id="bigint", probability="double:4", margin="double:4", predicted="bigint")
+
+
+@query
+def m10_cells(spark, folder):
+    _, train, test = _cells(spark, folder)
+    done = models.importance(_by_cell(train, "region"), test, ("region",))
+    return typed(done, feature="string", auc_drop="double:9")
+
+
+@query
+def m12_cells(spark, folder):
+    """The model looks at the region alone, so all of its probability is the region's share."""
+    table, train, test = _cells(spark, folder)
+    cols = ("region", "market_segment")
+    known = explain.background(train, cols, 32)
+    done = explain.explain_sampled(_by_cell(train, "region"), test, cols, known)
+    # Adding zero makes a negative zero a plain one.
+    return typed(done, customer_id="bigint", feature="string", contribution="double:4").withColumn(
+        "contribution", F.col("contribution") + F.lit(0.0)
+    )
+
+
+@query
+def m12_with_errors(spark, folder):
+    """As before, in rounds of eight draws until the background is used up."""
+    table, train, test = _cells(spark, folder)
+    cols = ("region", "market_segment")
+    done = explain.explain_with_errors(_by_cell(train, "region"), test, cols, explain.background(train, cols, 32), 0.0)
+    return typed(done, customer_id="bigint", feature="string", contribution="double:4", error="double:4", draws="bigint").withColumn(
+        "contribution", F.col("contribution") + F.lit(0.0)
+    )
+
+
+PREPARED = ("recency", "monetary", "mean_gap", "recency_to_gap")
+PREPARED_TYPES = {
+    "customer_id": "bigint",
+    **{name: "double:6" for name in PREPARED}, **{f"{name}_missing": "bigint" for name in PREPARED},
+    "market_segment_index": "bigint", "nation_index": "bigint",
+}
+
+
+@query
+def m14_prepared(spark, folder):
+    """Limits, fill values, scales and categories of the training rows, saved, loaded and applied."""
+    gaps = features.gaps(S.purchases(spark, folder), DAY)
+    table, _ = freeze(labels.split_by_key(_placed_rfm(spark, folder).join(gaps, "customer_id")))
+    stages = prepare.input_stages(PREPARED, ("market_segment", "nation"), (0.01, 0.99))
+    scaled = models.VectorAssembler(inputCols=[f"_p_{c}" for c in PREPARED], outputCol="_numbers")
+    scale = models.StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)
+    rows = models.as_doubles(table, PREPARED)
+    path = work_path(spark, "prepared")
+    models.save_model(models.Pipeline(stages=[*stages, scaled, scale]).fit(rows.where("split = 'train'")), path)
+    done = models.load_model(path).transform(rows)
+    slots = models.vector_to_array("_scaled")
+    return typed(
+        done.select(
+            "customer_id", *[slots[i].alias(c) for i, c in enumerate(PREPARED)],
+            *[F.col(f"_p_{c}_missing").alias(f"{c}_missing") for c in PREPARED],
+            F.col("_i_market_segment").alias("market_segment_index"), F.col("_i_nation").alias("nation_index"),
+        ),
+        **PREPARED_TYPES,
+    ).withColumns({c: F.col(c) + F.lit(0.0) for c in PREPARED})  # no negative zeros
+
+
+@query
+def m14_cells(spark, folder):
+    table, train, _ = _cells(spark, folder)
+    path = work_path(spark, "model")
+    models.save_model(_by_cell(train, "region", weight=None), path)
+    done = models.score(models.load_model(path), table, ())
+    return typed(done, customer_id="bigint", probability="double:4")
+
+
 # Serving
 
 
@@ -840,6 +1087,28 @@ def p2_lookup(spark, folder):
     return typed(done, request_id="bigint", **PREDICTION_TYPES, found="bigint")
 
 
+@query
+def p1_store(spark, folder):
+    """The same predictions, merged snapshot by snapshot into a bucketed table."""
+    past, _ = freeze(churn.history(Inputs(spark, folder)).select("snapshot", "customer_id", "segment", "risk", "band"))
+    path = work_path(spark, "store")
+    for day in SNAPSHOTS:
+        kept_rows = store.merge_snapshot(spark, path, past.where(F.col("snapshot") == F.lit(day).cast("timestamp_ntz")), 16)
+    return typed(kept_rows.withColumn("snapshot", iso("snapshot")), **PREDICTION_TYPES)
+
+
+@query
+def p2_store_lookup(spark, folder):
+    """A short list of ids, some unknown, asked for by value."""
+    predicted, _ = freeze(_predictions(spark, folder))
+    found = store.merge_snapshot(spark, work_path(spark, "store"), predicted, 16)
+    asked = S.load(spark, folder, "events").where("event_id % 40 = 0").select(
+        F.col("event_id").alias("request_id"), (F.col("user_id") * 11).alias("customer_id")
+    )
+    done = store.ask(found, asked).withColumn("snapshot", iso("snapshot"))
+    return typed(done, request_id="bigint", **PREDICTION_TYPES, found="bigint")
+
+
 @query
 def p3_score_stream(spark, folder):
     out = work_path(spark, "scored-events")

@@ -18,7 +18,8 @@ from lapsewise.operators import explain, features, labels, matching, models, ris
 from lapsewise.operators.evaluation import auc, calibrate, fit_calibration, metrics
 from lapsewise.operators.facts import facts
 from lapsewise.operators.panel import panel
-from lapsewise.operators.quality import handle_missing, key_check
+from lapsewise.operators.quality import handle_missing, key_check, validate
+from lapsewise.operators.ranking import settle
 from lapsewise.session import freeze
 
 DAY = "2001-02-01"
@@ -31,6 +32,15 @@ MODEL_COLUMNS = (
     "recency_to_gap", "orders_90", "spend_90", "orders_365", "spend_365", "spend_trend",
     "spend_slope", "lines", "quantity", "distinct_parts", "mean_discount", "mix_entropy",
 )
+# What a stored table's rows should hold: table -> key and predicates.
+RULES = {
+    "orders": ("o_orderkey", {"amount_not_negative": "o_totalprice >= 0", "dated": "o_orderdate is not null"}),
+    "customer": ("c_custkey", {"nation_known": "c_nationkey is not null"}),
+    "lineitem": ("l_orderkey", {"quantity_positive": "l_quantity > 0", "discount_is_a_share": "l_discount between 0 and 1"}),
+}
+MODEL_CATEGORIES = ("market_segment", "nation")
+# Quantiles of the training rows to which the model's columns are clipped.
+CLIP = (0.01, 0.99)
 
 CAMPAIGNS = (
     C.Campaign("rescue_value", "value_at_risk >= 250000", 1, Decimal("12.50"), Decimal("250.00")),
@@ -167,7 +177,9 @@ def campaign_list(
         if per_region is not None:
             short = C.top_k(short, per_region).drop("place")
         caps: Mapping[str, Decimal] = {c.campaign_id: c.cap for c in campaigns}
-        funded = C.budget(short, caps, "value_at_risk", inputs.population, single_task_rows)
+        # Ranges are drawn from a first run over the rows, so a scoring is not left in their plan.
+        short, most = settle(short, inputs.population, single_task_rows)
+        funded = C.budget(short, caps, "value_at_risk", most, single_task_rows)
     parts = {
         "recency": 50 * (5 - F.col("r5")) / 4,
         "frequency": 30 * (5 - F.col("f5")) / 4,
@@ -206,6 +218,7 @@ def run_batch(
     model_id: str = "gbt",
     permutations: int = 16,
     matched: bool = False,
+    rules: Mapping[str, tuple[str, Mapping[str, str]]] = RULES,
 ) -> dict[str, str]:
     """From stored tables to exported campaign lists; returns the paths written.
 
@@ -213,14 +226,15 @@ def run_batch(
     Facts, both feature tables and the predictions are written and read back, so that a later
     stage never repeats an earlier one. Orders without a customer record are set aside in
     ``quarantine``; the facts leave them out by their own join. Rows with values that do not fit
-    their types are in ``rejected``, broken keys in ``key_faults``. A training snapshot whose label
+    their types are in ``rejected``, rows that break one of ``rules`` (by table: key and predicates)
+    in ``violations``, repeated keys in ``key_faults``; none of these stops the run. A training snapshot whose label
     window runs past the data is refused, since its labels would be wrong. ``evaluation`` has
     the fitted model's measures on the test side, ``predictions`` are kept per snapshot and model,
     and the campaigns' reasons explain the model's own score.
     """
     raw = Inputs(spark, folder)
     names = (
-        "rejected", "key_faults", "quarantine", "facts", "train", "current", "evaluation", "predictions",
+        "rejected", "violations", "key_faults", "quarantine", "facts", "train", "current", "evaluation", "predictions",
         "model", "campaigns",
     )
     paths = {n: f"{out.rstrip('/')}/{n}" for n in names}
@@ -234,7 +248,13 @@ def run_batch(
 
     aside = [sources.set_aside(spark, folder, table) for table in sources.MAPPINGS]
     store(reduce(DataFrame.unionByName, aside), "rejected")
-    store(key_check(raw.purchases, ["order_id"]), "key_faults")
+    checked = [validate(sources.load(spark, folder, t), t, key, broken) for t, (key, broken) in rules.items()]
+    store(reduce(DataFrame.unionByName, checked), "violations")
+    keyed = {"orders": (raw.purchases, "order_id"), "customer": (raw.customers, "customer_id")}
+    repeated = [
+        key_check(df, [key]).select(F.lit(t).alias("table"), F.col(key).cast("string").alias("key"), "rows") for t, (df, key) in keyed.items()
+    ]
+    store(reduce(DataFrame.unionByName, repeated), "key_faults")
     store(handle_missing(raw.purchases, raw.customers, "quarantine"), "quarantine")
     full = facts(raw.purchases, raw.lines, raw.customers, raw.places)
     stored = store(full.withColumn("order_year", F.year("order_ts")), "facts", ("order_year",))
@@ -242,7 +262,7 @@ def run_batch(
     train = store(labels.split_by_key(training_table(inputs, earlier, horizon)), "train")
     current = store(feature_table(inputs, day), "current")
 
-    model = models.fit_gbt(train.where("split = 'train'"), MODEL_COLUMNS)
+    model = models.fit_gbt(train.where("split = 'train'"), MODEL_COLUMNS, categories=MODEL_CATEGORIES, clip=CLIP)
     models.save_model(model, paths["model"])
     tested, _ = freeze(models.score(model, train.where("split = 'test'"), MODEL_COLUMNS))
     measures = metrics(tested, (0.25, 0.5, 0.75)).withColumn("auc", auc(tested).select("auc").scalar())
@@ -257,7 +277,8 @@ def run_batch(
     )
     listed, _ = freeze(campaign_list(inputs, day, campaigns, per_region=per_region, scored=predicted, matched=matched))
     chosen = current.join(listed.select("customer_id"), "customer_id", "left_semi")
-    known = explain.background(train.where("split = 'train'"), MODEL_COLUMNS, permutations)
-    told = explain.explain_sampled(model, chosen, MODEL_COLUMNS, known)
+    inputs_of_model = (*MODEL_COLUMNS, *MODEL_CATEGORIES)
+    known = explain.background(train.where("split = 'train'"), inputs_of_model, permutations)
+    told = explain.explain_sampled(model, chosen, inputs_of_model, known)
     C.export(with_reasons(listed, told), paths["campaigns"], day)
     return paths

@@ -6,6 +6,7 @@ correlated EXISTS are fine here and are what the Spark side avoids.
 
 from __future__ import annotations
 
+from lapsewise.operators.sketches import rank_error
 from lapsewise.plans.churn import CAMPAIGNS, DAY, HORIZON, SNAPSHOTS, WISHES
 
 T = f"TIMESTAMP '{DAY}'"
@@ -76,6 +77,9 @@ def bucket(key: str, salt: str) -> str:
     return f"CAST(concat('0x', substr(md5('{salt}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
 
 
+SKETCH_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+#: Prepared column -> its source.
+PREPARED = {"recency": "recency", "monetary": "spent", "mean_gap": "mean_gap", "recency_to_gap": "recency_to_gap"}
 SPLIT = f"CASE WHEN {bucket('customer_id', 'split')} < 70 THEN 'train' ELSE 'test' END"
 
 
@@ -123,6 +127,7 @@ shares AS (SELECT *, q / sum(q) OVER (PARTITION BY customer_id) AS s FROM typed)
 mix AS (
   SELECT customer_id,
     {", ".join(f"coalesce(max(s) FILTER (WHERE p_type = '{t}'), 0) AS share_{t.lower()}" for t in TYPES)},
+    coalesce(sum(s) FILTER (WHERE p_type IS NULL OR p_type NOT IN ({", ".join(f"'{t}'" for t in TYPES)})), 0) AS share_other,
     round(sum(CASE WHEN s > 0 THEN -s * ln(s) ELSE 0 END), 6) AS mix_entropy,
     first(p_type ORDER BY q DESC, p_type) AS favourite_type
   FROM shares GROUP BY customer_id)"""
@@ -204,6 +209,9 @@ funded AS (SELECT * FROM spending JOIN caps USING (campaign_id) WHERE spent <= c
 
 
 ARM = f"CASE WHEN {bucket('customer_id', 'holdout')} < 10 THEN 'control' ELSE 'contact' END"
+CONTACTS = """contacts AS (
+  SELECT customer_id, CAST(order_ts AS DATE) AS since, CAST(order_ts AS DATE) + 30 AS until FROM purchases
+  UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 13 = 0)"""
 CANDIDATE_COLUMNS = f"campaign_id, customer_id, priority, {dbl('cost', 'value_at_risk')}"
 def matched(source: str) -> str:
     """The match by priority: each campaign in turn takes whom the ones before left."""
@@ -326,11 +334,47 @@ FEATURE_COLUMNS = ", ".join(
         "mean_gap, round(sd_gap, 6) AS sd_gap, max_gap, round(recency_to_gap, 9) AS recency_to_gap",
         *[f"orders_{n}, trailing_sums.spend_{n} AS spend_{n}" for n in (30, 90, 180, 365)],
         "spend_trend, spend_slope, lines, quantity, distinct_parts, mean_discount",
-        *[f"share_{t.lower()}" for t in TYPES],
+        *[f"share_{t.lower()}" for t in (*TYPES, "other")],
         "mix_entropy, favourite_type, market_segment, nation, region",
     ]
 )
 
+
+def area(score: str) -> str:
+    """Area under the ROC curve of ``swapped``: pairs won, ties as half."""
+    return f"""(SELECT sum(CASE WHEN p.{score} > n.{score} THEN 1.0 WHEN p.{score} = n.{score} THEN 0.5 ELSE 0.0 END) / count(*)
+    FROM swapped p JOIN swapped n ON p.churned = 1 AND n.churned = 0)"""
+
+
+CELLS = with_(*FULL, SPLIT_OF.format("scored"), """rates AS (
+  SELECT region, CAST(avg(churned) AS DOUBLE) AS rate FROM side WHERE split = 'train' GROUP BY region)""",
+    "celled AS (SELECT side.*, rate FROM side JOIN rates USING (region))").rstrip("\n")
+# A search's folds and rungs come from hashes; a customer's score is the rate of its cell in the other folds.
+SEARCH = with_(
+    *FULL, SPLIT_OF.format("scored"),
+    f"""drawn AS (SELECT *, {bucket("customer_id", "search:fold")} % 3 AS fold, {bucket("customer_id", "search:rung")} AS share
+  FROM side WHERE split = 'train')""",
+    """rungs(rung, percent) AS (VALUES (0, 60), (1, 100))""",
+    """cells AS (""" + " UNION ALL ".join(
+        f"SELECT rung, '{name}' AS candidate, fold, customer_id, churned, {cell} AS cell FROM drawn JOIN rungs ON share < percent"
+        for name, cell in (("market", "market_segment"), ("region", "region"), ("region_trees", "region"))
+    ) + ")",
+    """sums AS (SELECT rung, candidate, cell, fold, sum(churned) AS ones, count(*) AS n FROM cells GROUP BY ALL)""",
+    """graded AS (SELECT c.rung, c.candidate, c.fold, c.customer_id, c.churned,
+    CAST(sum(s.ones) AS DOUBLE) / sum(s.n) AS p
+  FROM cells c JOIN sums s ON s.rung = c.rung AND s.candidate = c.candidate AND s.cell = c.cell AND s.fold <> c.fold GROUP BY ALL)""",
+    """areas AS (SELECT p.rung, p.candidate, p.fold,
+    sum(CASE WHEN round(p.p, 6) > round(n.p, 6) THEN 1.0 WHEN round(p.p, 6) = round(n.p, 6) THEN 0.5 ELSE 0.0 END) / count(*) AS auc
+  FROM graded p JOIN graded n ON n.rung = p.rung AND n.candidate = p.candidate AND n.fold = p.fold
+  WHERE p.churned = 1 AND n.churned = 0 GROUP BY ALL)""",
+    """means AS (SELECT rung, candidate, avg(auc) AS mean FROM areas GROUP BY ALL)""",
+    """first AS (SELECT candidate FROM means WHERE rung = 0 ORDER BY mean DESC, candidate LIMIT 2)""",
+    """last AS (SELECT candidate FROM means WHERE rung = 1 AND candidate IN (FROM first) ORDER BY mean DESC, candidate LIMIT 1)""",
+) + """SELECT rung, candidate, fold, (SELECT count(*) FROM graded g WHERE g.rung = a.rung AND g.candidate = a.candidate AND g.fold = a.fold) AS rows,
+  round(auc, 9) AS auc, CAST(candidate IN (FROM first) AND (rung = 0 OR candidate IN (FROM last)) AS BIGINT) AS kept
+FROM areas a WHERE rung = 0 OR candidate IN (FROM first)"""
+
+
 ORACLE: dict[str, str] = {
     "d1_load_parquet": "SELECT * FROM customer",
     "d1_load_csv": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate), false AS corrupt FROM orders",
@@ -343,6 +387,17 @@ ORACLE: dict[str, str] = {
     "d3_validate": with_(VIOLATIONS) + "SELECT * FROM violations",
     "d3_violation_counts": with_(VIOLATIONS)
     + 'SELECT "table", rule, count(*) AS violations FROM violations GROUP BY 1, 2',
+    "d3_json_rules": """WITH told AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN substr(props, 1, 4)
+    WHEN event_id % 20 = 1 THEN '{"parts": [{"id": 7}], "tag": "c", ' || substr(props, 2) ELSE props END AS props FROM events),
+docs AS (SELECT event_id, props, CASE WHEN json_valid(props) THEN CAST(props AS JSON) END AS doc FROM told),
+found AS (SELECT event_id, props, doc, TRY_CAST(json_extract_string(doc, '$.k') AS INTEGER) AS k,
+    json_extract_string(doc, '$.tag') AS tag, TRY_CAST(json_extract_string(doc, '$.parts[0].id') AS INTEGER) AS part FROM docs)
+SELECT 'events' AS "table", rule, CAST(event_id AS VARCHAR) AS key FROM (
+  SELECT event_id, 'not_json' AS rule FROM found WHERE props IS NOT NULL AND doc IS NULL
+  UNION ALL SELECT event_id, 'k_in_range' FROM found WHERE (props IS NULL OR doc IS NOT NULL) AND NOT coalesce(k BETWEEN 0 AND 89, false)
+  UNION ALL SELECT event_id, 'k_not_of_seven' FROM found WHERE (props IS NULL OR doc IS NOT NULL) AND NOT coalesce(k % 7 <> 3, false)
+  UNION ALL SELECT event_id, 'tag_is_known' FROM found WHERE tag IS NOT NULL AND tag NOT IN ('a', 'b')
+  UNION ALL SELECT event_id, 'parts_are_there' FROM found WHERE (props IS NULL OR doc IS NOT NULL) AND part IS NULL)""",
     "d4_fk_check": """SELECT o_custkey AS missing_key, count(*) AS "rows" FROM orders
   WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY 1""",
     "d5_missing_drop": with_(PURCHASES) + purchase_rows("purchases", f"WHERE customer_id IN {KNOWN}"),
@@ -421,6 +476,13 @@ SELECT customer_id, round(coalesce(mean_gap, m), 6) AS mean_gap, round(coalesce(
   FROM side WHERE split = 'train')""") + """
 SELECT customer_id, round(least(greatest(CAST(monetary AS DOUBLE), ml), mh), 6) AS monetary,
   round(least(greatest(CAST(recency AS DOUBLE), rl), rh), 6) AS recency FROM rfm, bound""",
+    "f12_sketches": with_(PURCHASES) + " UNION ALL ".join(
+        f"""SELECT 'amount' AS feature, CAST({p} AS DOUBLE) AS prob, count(*) AS n, """ + ", ".join(
+            f"round(quantile_cont(CAST(amount AS DOUBLE), {min(1.0, max(0.0, p + d))!r}), 6) AS {name}"
+            for d, name in ((0.0, "exact"), (-rank_error(), "low"), (rank_error(), "high"))
+        ) + ", 1 AS within FROM purchases"
+        for p in SKETCH_PROBS
+    ),
     "f13_encode": with_(
         *BASE, PEOPLE, SPLIT_OF.format("rfm JOIN people USING (customer_id)"),
         *[
@@ -447,7 +509,7 @@ SELECT customer_id, round((recency - rm) / rs, 6) AS recency, round((frequency -
         BOUGHT, BASKET, MIX,
         "ids AS (SELECT DISTINCT customer_id, snapshot, id FROM cut)",
     ) + f"""SELECT strftime(snapshot, '%Y-%m-%d') AS snapshot, id AS customer_id, lines, quantity,
-  distinct_parts, mean_discount, {", ".join(f"share_{t.lower()}" for t in TYPES)}, mix_entropy, favourite_type
+  distinct_parts, mean_discount, {", ".join(f"share_{t.lower()}" for t in (*TYPES, "other"))}, mix_entropy, favourite_type
 FROM basket JOIN mix USING (customer_id) JOIN ids USING (customer_id)""",
     "f16_feature_table": with_(
         *BASE, PEOPLE, GAPS, TRAILING, TREND, BOUGHT, BASKET, MIX
@@ -503,6 +565,14 @@ GROUP BY 1, 2""",
 FROM scored GROUP BY CUBE (segment, band)""",
     "c1_eligible": with_(*CANDIDATES) + f"SELECT {CANDIDATE_COLUMNS} FROM candidates",
     "c2_suppress": with_(*CANDIDATES, suppressed("candidates")) + f"SELECT {CANDIDATE_COLUMNS} FROM kept",
+    "c2_suppress_until": with_(*CANDIDATES, CONTACTS) + f"""SELECT {CANDIDATE_COLUMNS} FROM candidates
+WHERE customer_id NOT IN (SELECT customer_id FROM contacts
+  WHERE (since IS NULL OR since <= CAST({T} AS DATE)) AND (until IS NULL OR until >= CAST({T} AS DATE)))""",
+    "c2_suppress_dated": with_(
+        *CANDIDATES, CONTACTS, f"dated AS (SELECT *, CAST({T} AS DATE) + CAST(customer_id % 60 - 40 AS INTEGER) AS day FROM candidates)"
+    ) + f"""SELECT {CANDIDATE_COLUMNS}, strftime(day, '%Y-%m-%d') AS day FROM dated
+WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.customer_id = dated.customer_id
+  AND (since IS NULL OR since <= day) AND (until IS NULL OR until >= day))""",
     "c3_assign": with_(*CANDIDATES, assigned("candidates")) + f"SELECT {CANDIDATE_COLUMNS} FROM assigned",
     "c3_match": with_(*CANDIDATES, matched("candidates"))
     + f"SELECT campaign_id, customer_id, place, {dbl('cost', 'spent')} FROM matched",
@@ -540,6 +610,14 @@ FROM names n CROSS JOIN caps c""",
     ) + """SELECT customer_id, CASE WHEN b.customer_id IS NULL THEN 'only_a'
   WHEN a.customer_id IS NULL THEN 'only_b' ELSE 'both' END AS side
 FROM a FULL JOIN b USING (customer_id)""",
+    "c8_overlaps": with_(
+        *CANDIDATES, f"names AS (SELECT unnest({sorted(c.campaign_id for c in CAMPAIGNS)}) AS name)",
+        "held AS (SELECT DISTINCT campaign_id, customer_id FROM candidates)",
+    ) + """SELECT x.name AS a, y.name AS b,
+  (SELECT count(*) FROM held p JOIN held q USING (customer_id) WHERE p.campaign_id = x.name AND q.campaign_id = y.name) AS both,
+  (SELECT count(*) FROM held p WHERE p.campaign_id = x.name AND customer_id NOT IN (SELECT customer_id FROM held WHERE campaign_id = y.name)) AS only_a,
+  (SELECT count(*) FROM held p WHERE p.campaign_id = y.name AND customer_id NOT IN (SELECT customer_id FROM held WHERE campaign_id = x.name)) AS only_b
+FROM names x JOIN names y ON x.name < y.name""",
     "c9_export": CAMPAIGN_LIST,
     "m6_auc": auc_sql(),
     "m6_auc_by_region": auc_sql("region"),
@@ -573,6 +651,20 @@ FROM rule_scores GROUP BY 1""",
   CAST(frequency AS DOUBLE) AS frequency, CAST(monetary AS DOUBLE) AS monetary FROM rfm""",
     "m9_calibrate": with_(*CALIBRATED) + """SELECT customer_id, probability, round(calibrated, 9) AS calibrated
 FROM rule_scores JOIN fitted ON x = probability""",
+    "m9_crosswise": with_(
+        *RULE_SCORES, f"""folded AS (SELECT *, {bucket("customer_id", "calibration")} % 5 AS fold FROM rule_scores)""",
+        """cells AS (SELECT k, probability AS x, sum(churned) AS y, count(*) AS w
+  FROM folded JOIN (SELECT unnest(range(5)) AS k) ON fold <> k GROUP BY ALL)""",
+        """runs AS (SELECT s.k, s.x AS sx, e.x AS ex, CAST(sum(c.y) AS DOUBLE) / sum(c.w) AS rate
+  FROM cells s JOIN cells e ON e.k = s.k AND e.x >= s.x JOIN cells c ON c.k = s.k AND c.x BETWEEN s.x AND e.x GROUP BY ALL)""",
+        """least AS (SELECT i.k, i.x, m.sx, min(m.rate) AS rate FROM cells i JOIN runs m ON m.k = i.k AND m.sx <= i.x AND m.ex >= i.x GROUP BY ALL)""",
+        """fitted AS (SELECT k, x, max(rate) AS rate FROM least GROUP BY ALL)""",
+        """near AS (SELECT customer_id, probability, fold,
+    (SELECT max(x) FROM fitted WHERE k = fold AND x <= probability) AS lo, (SELECT min(x) FROM fitted WHERE k = fold AND x >= probability) AS hi
+  FROM folded)""",
+    ) + """SELECT customer_id, probability, round(CASE WHEN lo IS NULL THEN h.rate WHEN hi IS NULL OR lo = hi THEN l.rate
+  ELSE l.rate + (h.rate - l.rate) * (probability - lo) / (hi - lo) END, 9) AS calibrated
+FROM near LEFT JOIN fitted l ON l.k = fold AND l.x = lo LEFT JOIN fitted h ON h.k = fold AND h.x = hi""",
     "r1_risk_score": with_(*CALIBRATED) + """SELECT customer_id, round(100 * calibrated, 2) AS risk
 FROM rule_scores JOIN fitted ON x = probability""",
     "m11_linear_contributions": with_(*CONTRIBUTIONS)
@@ -586,6 +678,12 @@ FROM rule_scores JOIN fitted ON x = probability""",
   strftime(snapshot, '%Y-%m-%d') AS snapshot, segment, risk, band,
   CAST(l.customer_id IS NOT NULL AS BIGINT) AS found
 FROM events LEFT JOIN latest l ON l.customer_id = user_id * 11""",
+    "p1_store": with_(*HISTORY) + """SELECT customer_id,
+  strftime(snapshot, '%Y-%m-%d') AS snapshot, segment, risk, band FROM latest""",
+    "p2_store_lookup": with_(*HISTORY) + """SELECT event_id AS request_id, user_id * 11 AS customer_id,
+  strftime(snapshot, '%Y-%m-%d') AS snapshot, segment, risk, band,
+  CAST(l.customer_id IS NOT NULL AS BIGINT) AS found
+FROM events LEFT JOIN latest l ON l.customer_id = user_id * 11 WHERE event_id % 40 = 0""",
     "p3_score_stream": with_(*FULL) + """SELECT event_id, user_id AS customer_id, event_type, risk, band,
   CAST(s.customer_id IS NOT NULL AS BIGINT) AS known
 FROM events LEFT JOIN scored s ON s.customer_id = user_id""",
@@ -594,6 +692,67 @@ FROM events LEFT JOIN scored s ON s.customer_id = user_id""",
   CAST(sum(TRY_CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value,
   count(*) FILTER (WHERE value IS NOT NULL AND TRY_CAST(value AS DECIMAL(18,2)) IS NULL) AS bad_values
 FROM events GROUP BY 1, 2""",
+    "m2_cells": CELLS + "SELECT customer_id, region, round(rate, 4) AS probability FROM celled WHERE split = 'test'",
+    "m3_cells": CELLS + "SELECT customer_id, region, CAST(rate > 0.5 AS BIGINT) AS predicted FROM celled WHERE split = 'test'",
+    "m4_search": SEARCH,
+    "m5_cells": CELLS + """SELECT customer_id, round(rate, 4) AS probability, round(ln(rate / (1 - rate)), 4) AS margin,
+  CAST(rate > 0.5 AS BIGINT) AS predicted FROM celled""",
+    "m10_cells": CELLS + f""", tested AS (
+  SELECT customer_id, churned, rate,
+    row_number() OVER (ORDER BY md5('importance:donor:' || CAST(customer_id AS VARCHAR)), customer_id) AS donor,
+    row_number() OVER (ORDER BY md5('importance:receiver:' || CAST(customer_id AS VARCHAR)), customer_id) AS receiver
+  FROM celled WHERE split = 'test'),
+swapped AS (SELECT a.churned, a.rate, b.rate AS other FROM tested a JOIN tested b ON a.receiver = b.donor)
+SELECT 'region' AS feature, round({area("rate")} - {area("other")}, 9) AS auc_drop""",
+    "m12_cells": CELLS + """, known AS (
+  SELECT rate FROM celled WHERE split = 'train' ORDER BY md5('background:' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 32)
+SELECT customer_id, 'region' AS feature, round(rate - (SELECT avg(rate) FROM known), 4) + 0.0 AS contribution
+FROM celled WHERE split = 'test'
+UNION ALL SELECT customer_id, 'market_segment', 0.0 FROM celled WHERE split = 'test'""",
+    "m12_with_errors": CELLS + """, known AS (
+  SELECT rate FROM celled WHERE split = 'train' ORDER BY md5('background:' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 32)
+SELECT customer_id, 'region' AS feature, round(rate - (SELECT avg(rate) FROM known), 4) + 0.0 AS contribution,
+  round((SELECT stddev_samp(rate) / sqrt(count(*)) FROM known), 4) AS error, (SELECT count(*) FROM known) AS draws
+FROM celled WHERE split = 'test'
+UNION ALL SELECT customer_id, 'market_segment', 0.0, 0.0, (SELECT count(*) FROM known) FROM celled WHERE split = 'test'""",
+    "m14_cells": CELLS + "SELECT customer_id, round(rate, 4) AS probability FROM celled",
+    "m14_prepared": with_(
+        *BASE, PEOPLE, GAPS, SPLIT_OF.format("(SELECT *, CAST(monetary AS DOUBLE) AS spent FROM rfm) JOIN people USING (customer_id) JOIN gaps USING (customer_id)"),
+        "train AS (SELECT * FROM side WHERE split = 'train')",
+        "bound AS (SELECT " + ", ".join(
+            f"quantile_cont(CAST({c} AS DOUBLE), 0.01) AS {n}_lo, quantile_cont(CAST({c} AS DOUBLE), 0.99) AS {n}_hi"
+            for n, c in PREPARED.items()
+        ) + " FROM train)",
+        "clipped AS (SELECT customer_id, split, market_segment, nation, " + ", ".join(
+            f"CASE WHEN {c} IS NOT NULL THEN least(greatest(CAST({c} AS DOUBLE), {n}_lo), {n}_hi) END AS {n}" for n, c in PREPARED.items()
+        ) + " FROM side, bound)",
+        "fill AS (SELECT " + ", ".join(f"avg({n}) AS fill_{n}" for n in PREPARED) + " FROM clipped WHERE split = 'train')",
+        "filled AS (SELECT customer_id, split, market_segment, nation, " + ", ".join(
+            f"coalesce({n}, fill_{n}) AS {n}, CAST({n} IS NULL AS BIGINT) AS {n}_missing" for n in PREPARED
+        ) + " FROM clipped, fill)",
+        "scale AS (SELECT " + ", ".join(f"avg({n}) AS mean_{n}, stddev_samp({n}) AS sd_{n}" for n in PREPARED) + " FROM filled WHERE split = 'train')",
+        *[
+            f"""seen_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i
+  FROM (SELECT DISTINCT {c} FROM train WHERE {c} IS NOT NULL))"""
+            for c in ("market_segment", "nation")
+        ],
+    ) + "SELECT customer_id, " + ", ".join(f"round(({n} - mean_{n}) / sd_{n}, 6) + 0.0 AS {n}, {n}_missing" for n in PREPARED) + """,
+  coalesce(a.i, (SELECT count(*) FROM seen_market_segment)) AS market_segment_index,
+  coalesce(b.i, (SELECT count(*) FROM seen_nation)) AS nation_index
+FROM scale, filled LEFT JOIN seen_market_segment a ON market_segment = a.v LEFT JOIN seen_nation b ON nation = b.v""",
+    "g3_regions": """WITH people AS (
+  SELECT c_custkey AS customer_id, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT customer_id, min(customer_id) OVER (PARTITION BY region) AS group_id, count(*) OVER (PARTITION BY region) AS customers FROM people""",
+    "g3_adjusted_rand": with_(*FULL, *[
+        f"""rand_{k} AS (SELECT '{a}' AS a, '{b}' AS b, sum(n) AS rows, sum(n * (n - 1) / 2) AS common,
+    (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM scored GROUP BY {a})) AS l,
+    (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM scored GROUP BY {b})) AS r
+  FROM (SELECT count(*) AS n FROM scored GROUP BY {a}, {b}))"""
+        for k, (a, b) in enumerate((("segment", "band"), ("region", "segment"), ("r5", "r5")))
+    ]) + """SELECT a, b, CAST(rows AS BIGINT) AS rows, round((common - l * r / (rows * (rows - 1) / 2)) / ((l + r) / 2 - l * r / (rows * (rows - 1) / 2)), 9) AS rand
+FROM (FROM rand_0 UNION ALL FROM rand_1 UNION ALL FROM rand_2)""",
+    "g4_regions": """SELECT count(DISTINCT r_name) AS k, 1 AS best
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "p4_kept_activity": """WITH timed AS (SELECT *, CASE WHEN event_id % 97 <> 0 THEN ts END AS told FROM events)
 SELECT strftime(date_trunc('day', told), '%Y-%m-%d') AS day, user_id AS customer_id,
   count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,

@@ -105,10 +105,17 @@ PART = {
 MAPPINGS = {"orders": PURCHASE, "customer": CUSTOMER, "lineitem": LINE, "part": PART}
 
 
-def taken_over(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Rows whose values all fit; the others are in ``set_aside``."""
+#: Without these a row says nothing about anybody.
+KEYS = {"orders": ("order_id", "customer_id"), "customer": ("customer_id",), "lineitem": ("order_id",), "part": ("part_id",)}
+
+
+def taken_over(spark: SparkSession, folder: str, table: str, flags: bool = False) -> DataFrame:
+    """Rows as they are taken over: a value that does not fit is NULL, and only a row whose key does
+    not fit is left out. ``set_aside`` tells of both; with ``flags`` the rows keep ``bad_fields``."""
     done = conform(load(spark, folder, table), MAPPINGS[table])
-    return done.where("bad_fields = ''").drop("bad_fields")
+    for key in KEYS[table]:
+        done = done.where(F.find_in_set(F.lit(key), "bad_fields") == 0)
+    return done if flags else done.drop("bad_fields")
 
 
 def set_aside(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 from decimal import Decimal
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 from support import plan_text, rows
 
 from lapsewise.operators import campaigns as C
-from lapsewise.operators import risk, segments, serving
+from lapsewise.operators import risk, segments, serving, store
 from lapsewise.session import work_path
 
 OFFERS = [
@@ -112,3 +113,63 @@ def test_lookup_reports_unknown_and_repeated_ids(spark):
     latest = serving.predictions(hist)
     asked = spark.createDataFrame([(1,), (1,), (9,)], "customer_id bigint")
     assert rows(serving.lookup(latest, asked), "customer_id", "s", "found") == [(1, "new", 1), (1, "new", 1), (9, None, 0)]
+
+
+def test_suppression_holds_from_its_first_to_its_last_day(scored, spark):
+    spans = spark.createDataFrame(
+        [
+            (1, None, "2001-01-31"), (2, None, "2001-02-01"), (3, "2001-02-01", None), (4, "2001-02-02", None),
+            (5, None, None), (6, "2001-01-01", "2001-01-31"), (6, "2001-02-03", "2001-02-03"), (9, None, None), (None, None, None),
+        ],
+        "customer_id bigint, since string, until string",
+    )
+    assert rows(C.suppress(scored, spans, "2001-02-01"), "customer_id") == [(1,), (4,), (6,)]
+    assert rows(C.suppress(scored, spans, "2001-02-03"), "customer_id") == [(1,), (2,)]
+    assert rows(C.suppress(scored, spans), "customer_id") == []
+    days = scored.withColumn("day", F.when(F.col("customer_id") == 6, "2001-02-03").otherwise("2001-02-01"))
+    assert rows(C.suppress_dated(days, spans), "customer_id") == [(1,), (4,)]
+    assert C.suppress_dated(days, spans.limit(0)).count() == 6
+
+
+def test_overlaps_of_all_lists(scored, spark):
+    on = spark.createDataFrame(
+        [("a", 1), ("a", 2), ("a", 2), ("b", 2), ("b", 3), ("c", 2), ("z", 1), (None, 1), ("a", None)], "campaign_id string, customer_id bigint"
+    )
+    want = [("a", "b", 1, 1, 1), ("a", "c", 1, 1, 0), ("a", "empty", 0, 2, 0), ("b", "c", 1, 1, 0), ("b", "empty", 0, 2, 0), ("c", "empty", 0, 1, 0)]
+    assert rows(C.overlaps(on, ["a", "b", "c", "empty"])) == want
+    assert rows(C.overlaps(on.limit(0), ["a", "b"])) == [("a", "b", 0, 0, 0)]
+    assert rows(C.overlaps(on, ["a"])) == []
+    many = [f"l{k:02d}" for k in range(63)]
+    crowd = spark.range(200).select(F.explode(F.array(*map(F.lit, many))).alias("campaign_id"), F.col("id").alias("customer_id"))
+    assert {r[2] for r in rows(C.overlaps(crowd, many))} == {200}
+    with pytest.raises(ValueError, match="63"):
+        C.overlaps(on, [f"l{k}" for k in range(64)])
+
+
+def test_the_store_keeps_the_latest_row_and_opens_few_buckets(spark):
+    path = work_path(spark, "store")
+    day = lambda text, data: spark.createDataFrame(data, "customer_id bigint, risk double, band string").withColumn("snapshot", F.lit(text))
+    store.merge_snapshot(spark, path, day("2001-01-01", [(c, float(c), "low") for c in range(200)]), buckets=8)
+    # Bigger of two rows of one customer; an older snapshot changes nothing; a null id is nobody.
+    store.merge_snapshot(spark, path, day("2001-02-01", [(5, 1.0, "high"), (5, 2.0, "high"), (900, 3.0, None), (None, 1.0, "low")]))
+    found = store.merge_snapshot(spark, path, day("2000-01-01", [(6, 9.0, "high"), (901, 1.0, "low")]))
+    want = [(c, float(c), "low", "2001-01-01") for c in range(200) if c != 5]
+    want += [(5, 2.0, "high", "2001-02-01"), (900, 3.0, None, "2001-02-01"), (901, 1.0, "low", "2000-01-01")]
+    got = rows(found, "customer_id", "risk", "band", "snapshot")
+    assert got == sorted(want, key=repr)
+    asked = spark.createDataFrame([(1, 5), (2, 77), (3, 5), (4, None), (5, 12345)], "request_id bigint, customer_id bigint")
+    answered = store.ask(found, asked)
+    assert rows(answered, "request_id", "risk", "found") == [(1, 2.0, 1), (2, 77.0, 1), (3, 2.0, 1), (4, None, 0), (5, None, 0)]
+    assert rows(answered, *answered.columns) == rows(store.ask(found, asked, most_ids=1), *answered.columns)
+    plan = answered._jdf.queryExecution().explainString(answered._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    chosen = [line for line in plan.splitlines() if "SelectedBucketsCount" in line]
+    assert chosen and " 8" in chosen[0] and "8 out of 8" not in chosen[0]
+    # Merging deals out the new rows only: the stored side is read by its buckets.
+    again = store.open_store(spark, path).join(day("2001-03-01", [(1, 1.0, "low")]).repartition(8, "customer_id"), "customer_id", "full")
+    assert plan_text(again).count("Exchange hashpartitioning") <= 1
+    # What was not finished is not seen; another session finds the same.
+    unfinished = f"{path.removeprefix('file:')}/v00000009"
+    os.makedirs(unfinished)
+    assert rows(store.open_store(spark.newSession(), path), "customer_id", "risk", "band", "snapshot") == got
+    with pytest.raises(ValueError, match="no prediction store"):
+        store.open_store(spark, work_path(spark, "nothing"))

@@ -49,7 +49,7 @@ def plain(data):
     return sorted(((k, c, place + 1) for k, cs in held.items() for place, c in enumerate(cs)), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_match_is_deferred_acceptance(spark, seed, limit):
     rng = random.Random(seed)

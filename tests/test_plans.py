@@ -132,6 +132,7 @@ def test_batch_run(spark):
     assert spent and all(spent[c] <= caps[c] for c in spent)
     assert {r["model_id"] for r in predicted.select("model_id").distinct().collect()} == {"gbt"}
     assert spark.read.parquet(paths["rejected"]).count() == spark.read.parquet(paths["key_faults"]).count() == 0
+    assert spark.read.parquet(paths["violations"]).columns == ["table", "rule", "key"]
     assert spark.read.parquet(paths["evaluation"]).where("auc between 0 and 1").count() == 3
     told = listed.where("reason is not null").count()
     assert told == listed.count()

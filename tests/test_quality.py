@@ -78,13 +78,49 @@ def test_values_that_do_not_fit_are_set_aside(spark):
     df = sources.load(spark, SMALL, "orders").limit(20)
     big = F.when(F.col("o_orderkey") == df.first()["o_orderkey"], F.lit(1e30)).otherwise(F.col("o_totalprice"))
     df.withColumn("o_totalprice", big).write.parquet(f"{folder}/orders.parquet")
-    assert sources.purchases(spark, folder).count() == 19
+    kept = sources.purchases(spark, folder)
+    assert kept.count() == 20 and kept.where("cents is null").count() == 1  # the amount is lost, not the order
+    flagged = sources.taken_over(spark, folder, "orders", flags=True).where("bad_fields <> ''")
+    assert rows(flagged, "bad_fields") == [("cents",)]
     bad = sources.set_aside(spark, folder, "orders").collect()
     assert [(r["table"], r["bad_fields"]) for r in bad] == [("orders", "cents")] and "1.0E30" in bad[0]["row"]
 
 
+def test_only_a_key_that_does_not_fit_costs_the_row(spark, monkeypatch):
+    folder = work_path(spark, "misfits")
+    df = sources.load(spark, SMALL, "customer").limit(5)
+    first = df.first()["c_custkey"]
+    df.withColumn("c_acctbal", F.when(F.col("c_custkey") == first, F.lit(1e30)).otherwise(F.col("c_acctbal"))).write.parquet(
+        f"{folder}/customer.parquet"
+    )
+    assert rows(sources.customers(spark, folder).where("balance is null"), "customer_id") == [(first,)]
+    broken = {**sources.CUSTOMER, "customer_id": sources.Target(f"if(c_custkey = {first}, 'x', cast(c_custkey as string))", "bigint")}
+    monkeypatch.setitem(sources.MAPPINGS, "customer", broken)
+    assert sources.customers(spark, folder).count() == 4
+    assert sources.set_aside(spark, folder, "customer").count() == 1
+
+
 def test_unreadable_rows_are_kept_with_a_mark(spark):
     folder = work_path(spark, "broken")
     spark.createDataFrame([('{"p_partkey": 1, "p_size": 3}',), ('{"p_partkey": ',)], "value string").write.text(f"{folder}/part.json")
     got = sources.load(spark, folder, "part", "json")
     assert rows(got, "p_partkey", F.col(sources.CORRUPT).isNotNull()) == [(1, False), (None, True)]
+
+
+def test_rules_on_paths_of_documents(spark):
+    docs = spark.createDataFrame(
+        [
+            (1, '{"a": {"b": [1, 5]}, "t": "x"}'), (2, '{"a": {"b": [1, "five"]}}'), (3, '{"a": '), (4, None), (5, '{"a": null, "t": null}'),
+            (6, '[1]'), (7, '{"a": {"b": [1, 50]}, "t": "q"}'), (None, '{}'), (8, ''),
+        ],
+        "id bigint, doc string",
+    ).withColumn("_key", F.lit(0)).withColumn("value", F.lit(5))
+    rules = {
+        "small": quality.PathRule("$.a.b[1]", "int", "value < 10"),
+        "tag": quality.PathRule("$.t", "string", "value = 'x'", required=False),
+    }
+    got = quality.validate_json(docs, "docs", "id", "doc", rules)
+    assert rows(got, "rule", "key") == sorted(
+        [("small", k) for k in ("2", "4", "5", "6", "7", None)] + [("tag", "7"), ("not_json", "3"), ("not_json", "8")], key=repr
+    )
+    assert not rows(quality.validate_json(docs.limit(0), "docs", "id", "doc", rules))
