@@ -268,7 +268,9 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with all its columns, every row as often as ``mix`` takes it."""
+    """``docs`` with all its columns, every row as often as ``mix`` takes it. Null ids, sources and texts
+    are values like others, repeated rows are taken alike, extra columns come along whatever their
+    names; an empty table stays empty."""
     copies = mix(docs, id_column=id_column, **options).select(
         F.col(id_column).alias("_of"), F.col("source").alias("_from"), F.col("size").alias("_size"), "copies"
     ).distinct()

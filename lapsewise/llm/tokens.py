@@ -358,7 +358,8 @@ def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id", with_ids
     """From the files of ``write_ids``: the id, ``start`` (ids of all documents before),
     ``n_tokens, ids_crc32`` and, if wanted, ``ids``, for every document.
 
-    Offsets add up one row per shard, not per document.
+    Ids are null where they were written as null, and repeat as they were written. Files without
+    documents give no rows. Offsets add up one row per shard, not per document.
     """
     table = spark.read.parquet(path)
     earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -390,7 +391,8 @@ def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id", with_ids
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_column: str = "doc_id") -> DataFrame:
     """Writes the ids of ``docs`` to a new place in the shared folder and returns what the files
-    say: the id, ``start, n_tokens, ids_crc32`` of every document."""
+    say: the id, ``start, n_tokens, ids_crc32`` of every document. Null texts, null and repeated ids and
+    empty tables are as in ``write_ids``: one row for every row of ``docs``, other columns unread."""
     spark = docs.sparkSession
     path = work_path(spark, "ids")
     write_ids(docs, path, tokenizer, end_id, id_column)

@@ -55,7 +55,7 @@ MARKS = frozenset(
     "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar aside "
     "complementary widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer contentinfo copyright "
     "comment comments reply replies respond disqus discussion share sharing social related recommended recommendations "
-    "toolbar search form dialog".split()
+    "toolbar search form dialog commentlist commentform adsbygoogle adslot adbox adunit topnav sidenav subnav submenu".split()
 )
 #: These count outside the article only, and the second set alone counts on an article itself.
 PAGE_MARKS = frozenset("header masthead topbar".split())
@@ -63,7 +63,7 @@ ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment c
 MAIN = frozenset(["article", "main"])
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
@@ -76,7 +76,9 @@ class Node:
 def _sign(name: str, attributes: str) -> str:
     """Kind of an element: its name, its classes without their digits, ``!`` where it is no main
     text, ``^`` where it is main text."""
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
+    found: dict[str, str] = {}
+    for k, a, b, c in ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), a or b or c)  # of repeated attributes the first counts
     words = set(re.split(r"[^a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower())) if found else set()
     main = name in MAIN or "main" in found.get("role", "").lower().split()
     if name in ("html", "body", "main"):

@@ -212,6 +212,17 @@ def test_copies_of_one_page_are_no_template(spark):
     assert texts(spark, [(n, "http://h/x", html) for n in range(5)]) == [(n, "The same words on every page") for n in range(5)]
 
 
+def test_signs_come_from_attributes_and_not_from_their_values():
+    sign = wrappers._sign
+    assert sign("p", ' title="a hidden ad" data-x=\'class="ad"\'') == "p"
+    assert sign("p", " hidden") == sign("p", ' HIDDEN=""') == sign("p", " aria-hidden=true") == "p!"
+    assert sign("div", ' class="post-12 Story" id=x') == "div.Story.post-"
+    assert sign("div", " id='comments'") == "div!" and sign("ol", ' class=commentlist') == "ol!.commentlist"
+    assert sign("div", ' class="lead" class="ad"') == "div.lead" and sign("div", ' role="main"') == "div^"
+    assert sign("article", ' class="has-sidebar"') == "article^.has-sidebar" and sign("article", ' class="comment"') == "article!.comment"
+    assert sign("header", "") == "header~" and sign("body", ' class="menu"') == "body.menu"
+
+
 def test_no_pages(spark):
     assert texts(spark, []) == []
 

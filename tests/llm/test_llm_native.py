@@ -1,5 +1,7 @@
 """URL filter, sharding, mixing and decontamination."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -168,6 +170,23 @@ def test_newton_reaches_the_targets(spark):
     assert got["a"] == pytest.approx(2) and got["b"] == pytest.approx(1e-7) and got["c"] == got["d"] == 0
 
 
+def test_documents_are_tilted_by_their_size(spark):
+    """Rates solve the balance: exponential in the size up to the cap, and the source's words meet its target."""
+    rng = random.Random(4)
+    sizes = {s: [rng.choice([1, 5, 40, 41, 300, 5_000]) for _ in range(60)] for s in "abc"}
+    rows = [(100 * k + n, "w " * w, "en", s, 1) for k, (s, ws) in enumerate(sizes.items()) for n, w in enumerate(ws)]
+    for share in (0.3, 1.2):
+        got = mixing.mix(documents(spark, rows), share=share).collect()
+        for s, ws in sizes.items():
+            mine = [r for r in got if r.source == s]
+            rate = {r.size: r.rate for r in mine}
+            assert sum(r.size * r.rate for r in mine) == pytest.approx(mine[0].target, rel=1e-6)
+            assert max(rate.values()) <= 2
+            if mine[0].target < 2 * sum(ws) - 1e-6:
+                tilt = {w: math.log(x) / w for w, x in rate.items() if x < 2 and w}
+                assert len(set(rate.values())) > 1 and max(tilt.values()) == pytest.approx(min(tilt.values()), rel=1e-6, abs=1e-12)
+
+
 def normal(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
