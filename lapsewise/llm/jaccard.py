@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.arrays import Words, mix, pieces, run_hashes
+from lapsewise.llm.arrays import Words, give_back, mix, pieces, run_hashes
 from lapsewise.llm.components import connected
 from lapsewise.session import freeze
 
@@ -101,6 +101,7 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
                 for at in range(0, part.num_rows, BLOCK_TEXTS):
                     yield from one(part.slice(at, BLOCK_TEXTS), block)
                     block += 1
+        give_back()
 
     def one(part, block):
         grams, first = shingle_sets(part.column("text"))
@@ -307,6 +308,7 @@ def _labelled(docs: DataFrame, id_column: str) -> DataFrame:
                 names = [x.tobytes() for x in digests(grams, first)]
                 sets = [grams[a:b].tobytes() for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["digest", "hashes"])
+        give_back()
 
     texts = keyed.join(nodes.select(F.col("id").alias("_node")), F.col("_id") == F.col("_node")).select("text")
     made = texts.mapInArrow(hashed, "digest binary, hashes binary")

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.arrays import Words, pieces
+from lapsewise.llm.arrays import Words, give_back, pieces
 from lapsewise.llm.common import crc_mod
 
 UNKNOWN = "und"
@@ -64,6 +64,7 @@ def learn(docs: DataFrame) -> Model:
                 [pa.array([lang] * at.size, pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())],
                 ["lang", "bucket", "n"],
             )
+        give_back()
 
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
     counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -191,6 +192,7 @@ def identify(
                     ],
                     ["_id", "held_out", "lang_pred", "score", "languages"],
                 )
+        give_back()
 
     schema = f"_id {kind}, held_out boolean, lang_pred string, score double, languages map<string,double>"
     return keyed.select("_id", "_held", "text").mapInArrow(predict, schema).withColumnRenamed("_id", id_column)
@@ -212,5 +214,6 @@ def keep_identified(
             for part in pieces(batch, "text", PIECE):
                 found = infer(part.column("text"), known)
                 yield part.filter(pa.array([x[0] != UNKNOWN and x[2][0][1] >= least for x in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)

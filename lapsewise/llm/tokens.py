@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lapsewise.llm.arrays import _BYTE, SPACE, pieces, run_hashes
+from lapsewise.llm.arrays import _BYTE, SPACE, give_back, pieces, run_hashes
 from lapsewise.session import work_path
 
 MAGIC = b"RPG1"
@@ -349,6 +349,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                         block, before, held, names, size = block + 1, before + size, [], [], 0
         if held:
             yield row()
+        del encoder
+        give_back()
 
     schema = "shard int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, payload binary"
     placed.mapInArrow(blocks, schema).write.parquet(path)
