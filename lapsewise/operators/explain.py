@@ -55,37 +55,36 @@ def background(df: DataFrame, cols: Sequence[str], size: int, salt: str = "backg
 
 def _draws(df: DataFrame, cols: Sequence[str], rows: Column, salt: str) -> DataFrame:
     """One row per customer and background row of the array ``rows``: the customer's values
-    ``_x_``, the background's ``_bg`` and an order of the features drawn by hash."""
-    draws = as_doubles(df.select("customer_id", *cols), cols).select(
+    ``_x_``, the background's ``_bg`` and an order of the features drawn by hash.
+
+    Customers are dealt to all tasks, since a few files of them become many rows to score."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = as_doubles(df.select("customer_id", *cols), cols).repartition(parts).select(
         "customer_id",
         *[F.col(c).alias(f"_x_{c}") for c in cols],
         F.posexplode(rows).alias("_perm", "_bg"),
         F.size(rows).alias("_perms"),
     )
     name = F.concat_ws(":", F.lit(salt), F.col("customer_id").cast("string"), F.col("_perm").cast("string"))
-    order = F.transform(
-        F.array_sort(
-            F.array(
-                *[F.struct(F.md5(F.concat(name, F.lit(f":{c}"))).alias("h"), F.lit(c).alias("c")) for c in cols]
-            )
-        ),
-        lambda s: s["c"],
-    )
-    return draws.withColumn("_order", order)
+    # Sorted and read without lambdas, which are not compiled.
+    hashed = F.array(*[F.struct(F.md5(F.concat(name, F.lit(f":{c}"))).alias("h"), F.lit(c).alias("c")) for c in cols])
+    return draws.withColumn("_order", F.sort_array(hashed)["c"])
 
 
 def _switched(model: PipelineModel, draws: DataFrame, cols: Sequence[str], of: str, *kept: str) -> DataFrame:
     """``customer_id``, ``kept``, ``feature, v``: the model is asked after every switch of a feature
     from the background's to the customer's value; an answer counts for the feature switched last
     and against the one switched next."""
-    steps = draws.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(cols)))).alias("_step"))
+    # Places of the features are looked up once a draw, not at every step.
+    places = F.struct(*[F.array_position("_order", c).cast("int").alias(c) for c in cols])
+    steps = draws.withColumn("_at", places).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(cols)))).alias("_step"))
     coalition = steps.select(
         "customer_id",
         *kept,
         F.when(F.col("_step") > 0, F.get("_order", F.col("_step") - 1)).alias("_last"),
         F.get("_order", F.col("_step")).alias("_next"),
         *[
-            F.when(F.array_position("_order", c) <= F.col("_step"), F.col(f"_x_{c}"))
+            F.when(F.col("_at")[c] <= F.col("_step"), F.col(f"_x_{c}"))
             .otherwise(F.col("_bg")[f"_b_{c}"])
             .alias(c)
             for c in cols

@@ -1,13 +1,14 @@
 """Errors of sampled contributions, stability of clusters, sketches, panels of many snapshots."""
 
 import datetime as dt
+import hashlib
 import itertools
 import math
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from support import SMALL, purchases, rows
+from support import SMALL, plan_text, purchases, rows
 
 from lapsewise import sources
 from lapsewise.operators import explain, features, models, segments, sketches
@@ -113,6 +114,23 @@ def test_pairs_of_orders_vary_less(linear):
     assert max(worst) < 1e-6 or sum(w > 1e-6 for w in worst) <= 0.05 * len(worst)
 
 
+def test_switches_are_dealt_to_all_tasks_and_compiled(linear):
+    """One file of customers keeps every task busy; what a draw fixes is not worked out at every step."""
+    df, model = linear
+    cols = ("a", "b", "c")
+    known = explain.background(df, cols, 4)
+    one_task = df.coalesce(1)
+    draws = explain._draws(one_task, cols, explain._as_array(known, cols), "order")
+    got = draws.select("customer_id", "_perm", "_order", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 1600 and len({r.task for r in got}) == 8
+    for r in got:
+        drawn = sorted(cols, key=lambda c: hashlib.md5(f"order:{r.customer_id}:{r._perm}:{c}".encode()).hexdigest())
+        assert r._order == drawn
+    plan = plan_text(explain.explain_sampled(model, one_task, cols, known))
+    assert "Generate explode" in plan and "array_position" in plan and "lambda" not in plan
+    assert "array_position" not in plan.split("Generate explode")[0]
+
+
 def test_sketches_stay_within_their_error(spark):
     df = spark.range(60_000).select(
         (F.col("id") % 30).alias("day"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("x"),
